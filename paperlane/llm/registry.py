@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import leaks, plainform, tokenize, truncation
+from paperlane.llm import batches, leaks, plainform, tokenize, truncation
 from paperlane.sources import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of scanned documents of one company that are the same paper."""
+    documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), F.col("id").alias("doc_id"), "content_sha256")
+    journal = table(spark, folder, "upload_journal").select(F.col("document_id").alias("doc_id"), batches.file_hash(F.col("sha256")).alias("hash"))
+    hashes = documents.select("doc_id", batches.file_hash(F.col("content_sha256")).alias("hash")).unionByName(journal)
+    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), F.col("document_id").alias("doc_id"), "page_number")
+    results = table(spark, folder, "ocr_results").filter("is_current and markdown is not null").select("page_id", "markdown")
+    joined = pages.join(results, "page_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "markdown"))).alias("pages"))
+    texts = joined.select("doc_id", F.array_join("pages.markdown", "\n\n").alias("text"))
+    return batches.same_papers(documents.select("scope", "doc_id"), hashes, texts)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of master_matches and texts of ocr_results that are not in plain form."""
     matches = table(spark, folder, "master_matches")
@@ -41,7 +53,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 
