@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import batches, leaks, plainform, tokenize, truncation
+from paperlane.llm import batches, canonical, leaks, mojibake, plainform, tokenize, truncation
 from paperlane.sources import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference entry of every typed city, brand and job title; -1 where the list has none."""
+    wanted = F.col("field_key").isin("city", "brand", "job_title")
+    matches = table(spark, folder, "master_matches").filter(wanted)
+    typed = [matches.select(F.lit(c).alias("source"), F.col("id").alias("row_id"), F.lit(0).alias("ordinal"), "field_key", F.col(c).alias("text")) for c in ("matched_text", "master_value")]
+    aliases = table(spark, folder, "master_records").select("id", F.posexplode("aliases").alias("ordinal", "alias"))
+    typed.append(aliases.select(F.lit("alias").alias("source"), F.col("id").alias("row_id"), "ordinal", F.col("alias.field_key").alias("field_key"), F.col("alias.text").alias("text")).filter(wanted))
+    values = typed[0].unionByName(typed[1]).unionByName(typed[2]).dropDuplicates(["source", "row_id", "ordinal"])  # some matches are delivered twice
+    found = canonical.map_values(values, "field_key", "text", table(spark, folder, "reference_entries"), ["source", "row_id", "ordinal"])
+    return found.select("source", "row_id", "ordinal", "entry_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of scanned documents of one company that are the same paper."""
     documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), F.col("id").alias("doc_id"), "content_sha256")
@@ -32,6 +44,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.distinct()  # some matches are delivered twice
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of master_records.data decoded with a wrong encoding."""
+    values = table(spark, folder, "master_records").select(F.col("id").alias("record_id"), F.explode("data").alias("field_key", "value"))
+    return mojibake.garbled_values(values, ["record_id", "field_key"]).select("record_id", "field_key").distinct()
+
+
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled values with their text where it can be restored."""
+    values = table(spark, folder, "master_records").select(F.col("id").alias("record_id"), F.explode("data").alias("field_key", "value"))
+    return mojibake.garbled_values(values, ["record_id", "field_key"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -53,7 +77,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 
