@@ -43,6 +43,8 @@ _LATIN, _GREEK, _CYRILLIC = (re.compile(f"[{x}]") for x in _LETTER.values())
 #: Greek and Cyrillic are left out, as words may mix them with Latin.
 SURELY_PLAIN = r"^[\t\n\r -~¡-§©«¬®°±¶·»¿-ÿĀ-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•‰‹›₠-₧€、-〃〇-〒〓々ぁ-ゖゝゞァ-ヾ一-鿿]*$"
 
+_SURELY = re.compile(SURELY_PLAIN)
+
 
 class MappingConflict(ValueError):
     """Two images for one source, or an image that contains a source."""
@@ -130,7 +132,7 @@ def _unmix(match: re.Match[str]) -> str:
 
 def plain(text: str | None) -> str | None:
     """The plain form of a text."""
-    if text is None or text.isascii():
+    if text is None or text.isascii() or _SURELY.match(text):
         return text
     out = WORD.sub(_unmix, _compiled()[1].sub(_cluster, text))
     # a mark may follow what was invisible or wide between it and its letter, or a letter that was a look-alike
@@ -139,7 +141,7 @@ def plain(text: str | None) -> str | None:
 
 def is_plain(text: str | None) -> bool:
     """Whether a text is in plain form; NULL is."""
-    if text is None or text.isascii():
+    if text is None or text.isascii() or _SURELY.match(text):
         return True
     return not any(_cluster(m) != m.group() for m in _compiled()[1].finditer(text)) and not any(is_mixed(w) for w in WORD.findall(text))
 

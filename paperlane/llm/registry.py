@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import batches, canonical, leaks, mojibake, plainform, tokenize, truncation
+from paperlane.llm import batches, canonical, leaks, mojibake, pii, plainform, tokenize, truncation
 from paperlane.sources import table
 
 
@@ -23,6 +23,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("source", "row_id", "ordinal", "entry_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of ocr_results.markdown on which personal information begins."""
+    found = pii.found_lines(table(spark, folder, "ocr_results"), "id", "markdown")
+    return found.select(F.col("row_id").alias("result_id"), "pii_type", "line_no")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of scanned documents of one company that are the same paper."""
     documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), F.col("id").alias("doc_id"), "content_sha256")
@@ -77,7 +83,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 
