@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import batches, canonical, leaks, mojibake, pii, plainform, tokenize, truncation
+from paperlane.llm import batches, canonical, leaks, mojibake, pii, plainform, scannoise, tokenize, truncation
 from paperlane.sources import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scan noise in ocr_results.markdown."""
+    results = table(spark, folder, "ocr_results").select(F.col("id").alias("row_id"), F.col("page_id").alias("page"), F.col("markdown").alias("text"))
+    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page"), F.col("document_id").alias("doc"), "page_number")
+    documents = table(spark, folder, "scan_documents").select(F.col("id").alias("doc"), F.col("page_count").alias("pages"))
+    known = results.join(pages.join(documents, "doc", "left"), "page", "left")
+    return scannoise.noise(known).select(F.col("row_id").alias("result_id"), "noise")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Reference entry of every typed city, brand and job title; -1 where the list has none."""
     wanted = F.col("field_key").isin("city", "brand", "job_title")
@@ -35,10 +44,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     journal = table(spark, folder, "upload_journal").select(F.col("document_id").alias("doc_id"), batches.file_hash(F.col("sha256")).alias("hash"))
     hashes = documents.select("doc_id", batches.file_hash(F.col("content_sha256")).alias("hash")).unionByName(journal)
     pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), F.col("document_id").alias("doc_id"), "page_number")
-    results = table(spark, folder, "ocr_results").filter("is_current and markdown is not null").select("page_id", "markdown")
-    joined = pages.join(results, "page_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "markdown"))).alias("pages"))
-    texts = joined.select("doc_id", F.array_join("pages.markdown", "\n\n").alias("text"))
-    return batches.same_papers(documents.select("scope", "doc_id"), hashes, texts)
+    results = table(spark, folder, "ocr_results").filter("is_current and markdown is not null").select("page_id", batches.figures(F.col("markdown")).alias("figures"))
+    joined = pages.join(results, "page_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "figures"))).alias("pages"))
+    figures = joined.select("doc_id", F.array_join("pages.figures", " ").alias("figures"))
+    return batches.same_papers(documents.select("scope", "doc_id"), hashes, figures)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +92,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 
