@@ -97,7 +97,7 @@ def view(text: str) -> tuple[str, list[int]]:
         follows = lines[n + 1].strip()
         if not stripped or not follows or stripped[0] in "|#" or follows[0] in "|#" or (len(stripped) < 30 and _SHORT_END.search(stripped) and not _OPEN_END.search(stripped)):
             gap = "\n"
-        elif stripped[-1] in _HYPHEN and len(stripped) > 1 and stripped[-2].isalpha() and follows[0].islower():
+        elif stripped[-1] in _HYPHEN and len(stripped) > 1 and stripped[-2].isalpha() and (follows[0].islower() or (follows[0] in "0159" and follows[1:2].islower())):
             out[-1] = stripped[:-1].rstrip(_HYPHEN)
             del at[len(at) - (len(stripped) - len(out[-1])) :]
             gap = ""
