@@ -3,7 +3,7 @@
 What identifies a paper is what scanning never changes: its figures.  A document's figures, in page order, are one
 stream of digits; a rolling hash over ``window`` digits sets content-defined boundaries, so an inserted number (a page
 mark, a telephone number) changes the chunks around it only.  A document number is a chunk of its own.  The chunk table
-holds (scope, chunk, doc_id, bytes, total); a new batch is chunked alone and joined with it, never with the history's
+holds (id, number, chunk, bytes, total), the scope (company) being part of a chunk's hash; a new batch is chunked alone and joined with it, never with the history's
 texts.  Two documents are one paper if the bytes of their shared chunks cover enough of the smaller one; different
 document numbers exclude it.  Accepted chunks are appended.
 
@@ -19,19 +19,25 @@ rows of a document count once.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlane.sources import checkpoints
 
 WIDE = "０１２３４５６７８９"
-_NUMBER = re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,4}-\d{3,}-\d{2,}(?!\d)")
-CHUNKS = "scope string, doc_id string, number string, chunk long, bytes int, total int"
+#: A document number, or a run of digits.
+_FIGURES = r"(?<![A-Za-z0-9])[A-Z]{1,4}-[0-9]{3,}-[0-9]{2,}(?![0-9])|[0-9]+"
+
+
+def figures(text: Column) -> Column:
+    """The document numbers and digits of a text, all that chunks are made of; far shorter than the text."""
+    return F.array_join(F.regexp_extract_all(F.translate(text, WIDE, "0123456789"), F.lit(_FIGURES), F.lit(0)), " ")
 
 
 def chunk_stream(digits: str, window: int = 3, spread: int = 3, least: int = 5) -> list[str]:
@@ -46,63 +52,76 @@ def chunk_stream(digits: str, window: int = 3, spread: int = 3, least: int = 5)
     return out
 
 
-def page_chunks(text: str) -> tuple[str | None, dict[str, int]]:
-    """(document number, chunk -> bytes) of a document's text."""
-    text = text.translate(str.maketrans(WIDE, "0123456789"))
-    numbers = _NUMBER.findall(text)
-    digits = re.sub(r"[^0-9]+", "", _NUMBER.sub(" ", text))
+def chunks_of(found: str) -> tuple[str | None, dict[str, int]]:
+    """(document number, chunk -> bytes) of a document's figures."""
+    parts = found.split()
+    numbers = [p for p in parts if "-" in p]
     out: dict[str, int] = {}
-    for piece in chunk_stream(digits):
+    for piece in chunk_stream("".join(p for p in parts if "-" not in p)):
         out[piece] = out.get(piece, 0) + len(piece)
     for number in set(numbers):
         out[number] = sum(map(str.isdigit, number))
     return (numbers[0] if numbers else None), out
 
 
+def _hash(scope: str, piece: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{scope}\x1f{piece}") - 2**63
+
+
 def chunk_table(texts: DataFrame) -> DataFrame:
-    """The chunk rows of (scope, doc_id, text)."""
+    """The chunk rows (id, number, chunk, bytes, total) of (scope, id, figures)."""
+    schema = T.StructType([texts.schema["id"], T.StructField("number", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("bytes", T.IntegerType()), T.StructField("total", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for scope, doc, text in zip(batch["scope"], batch["doc_id"], batch["text"], strict=True):
-                number, chunks = page_chunks(text)
+            for scope, i, found in zip(batch["scope"], batch["id"], batch["figures"], strict=True):
+                number, chunks = chunks_of(found)
                 total = sum(chunks.values())
-                rows.extend((scope, doc, number, zlib.crc32(c.encode()) << 32 | zlib.adler32(c.encode()), n, total) for c, n in chunks.items())
-            frame = pd.DataFrame(rows, columns=["scope", "doc_id", "number", "chunk", "bytes", "total"])
-            frame["chunk"] = frame["chunk"].astype("uint64").astype("int64") if len(frame) else frame["chunk"].astype("int64")
-            yield frame
+                rows.extend((i, None if number is None else _hash("", number), _hash(scope, c), n, total) for c, n in chunks.items())
+            yield pd.DataFrame(rows, columns=["id", "number", "chunk", "bytes", "total"]).astype({"number": "Int64", "chunk": "int64"})
 
-    return texts.filter("text is not null and scope is not null and doc_id is not null").select("scope", "doc_id", "text").mapInPandas(run, CHUNKS)
+    return texts.filter("figures is not null and scope is not null and id is not null").select("scope", "id", "figures").mapInPandas(run, schema)
 
 
-def similar(new: DataFrame, accepted: DataFrame, cover: float = 0.45, cover_same_number: float = 0.2, least_bytes: int = 8) -> DataFrame:
-    """(scope, doc_a, doc_b): pairs of a document of ``new`` and another one of ``accepted`` that are one paper.
+def similar(new: DataFrame, accepted: DataFrame | None = None, cover: float = 0.45, cover_same_number: float = 0.2, least_bytes: int = 8) -> DataFrame:
+    """(a, b): pairs of a document of the chunk table ``new`` and one of ``accepted`` (or of ``new`` again) that are one paper.
 
-    Both are chunk tables; pass one table twice for the pairs within it.  ``cover`` is the share of the smaller document's
-    bytes that must be common, ``cover_same_number`` that of documents with one number.
+    ``cover`` is the share of the smaller document's bytes that must be common, ``cover_same_number`` that of documents
+    with one number.
     """
     low = min(cover, cover_same_number)
-    frequent = accepted.groupBy("scope", "chunk").agg(F.count("*").alias("df"))
+    alone = accepted is None
+    every = new if accepted is None else new.unionByName(accepted)
+    frequent = every.groupBy("chunk").agg(F.count("*").alias("df")).filter("df > 1")
 
-    def prefix(rows: DataFrame) -> DataFrame:
-        rarest = Window.partitionBy("scope", "doc_id").orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = rows.join(frequent, ["scope", "chunk"])  # a chunk without any partner can't be shared
-        return ranked.withColumn("before", F.coalesce(F.sum("bytes").over(rarest), F.lit(0))).filter(F.col("before") <= (1 - low) * F.col("total")).select("scope", "chunk", "doc_id")
+    def met(rows: DataFrame) -> DataFrame:  # chunks that some other document has; most have none
+        return rows.join(frequent, "chunk")
 
+    def prefix(rows: DataFrame) -> DataFrame:
+        rarest = Window.partitionBy("id").orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+        # the chunks that nobody else has are the rarest of all: they come first
+        unshared = F.col("total") - F.sum("bytes").over(Window.partitionBy("id"))
+        ranked = rows.withColumn("before", F.coalesce(F.sum("bytes").over(rarest), F.lit(0)) + unshared)
+        return ranked.filter(F.col("before") <= (1 - low) * F.col("total")).select("chunk", "id")
+
+    mine = met(new)
+    theirs = mine if alone else met(accepted)
     # the smaller document's prefix meets all chunks of the other one, from whichever side
-    left = prefix(new).join(accepted.select("scope", "chunk", F.col("doc_id").alias("other")), ["scope", "chunk"]).select("scope", F.col("doc_id").alias("n"), F.col("other").alias("a"))
-    right = prefix(accepted).join(new.select("scope", "chunk", F.col("doc_id").alias("other")), ["scope", "chunk"]).select("scope", F.col("other").alias("n"), F.col("doc_id").alias("a"))
-    pairs = left.unionByName(right).filter("n <> a").distinct()
-    mine = new.select("scope", F.col("doc_id").alias("n"), "chunk", F.col("bytes").alias("bn"), F.col("total").alias("tn"), F.col("number").alias("kn"))
-    theirs = accepted.select("scope", F.col("doc_id").alias("a"), "chunk", F.col("bytes").alias("ba"), F.col("total").alias("ta"), F.col("number").alias("ka"))
-    shared = pairs.join(mine, ["scope", "n"]).join(theirs, ["scope", "a", "chunk"]).groupBy("scope", "n", "a").agg(
+    pairs = prefix(mine).withColumnRenamed("id", "n").join(theirs.select("chunk", F.col("id").alias("a")), "chunk").select("n", "a")
+    if alone:
+        pairs = pairs.filter("n <> a").select(F.least("n", "a").alias("n"), F.greatest("n", "a").alias("a"))
+    else:
+        pairs = pairs.unionByName(prefix(theirs).withColumnRenamed("id", "a").join(mine.select("chunk", F.col("id").alias("n")), "chunk").select("n", "a")).filter("n <> a")
+    left = mine.select(F.col("id").alias("n"), "chunk", F.col("bytes").alias("bn"), F.col("total").alias("tn"), F.col("number").alias("kn"))
+    right = theirs.select(F.col("id").alias("a"), "chunk", F.col("bytes").alias("ba"), F.col("total").alias("ta"), F.col("number").alias("ka"))
+    shared = pairs.distinct().join(left, "n").join(right, ["a", "chunk"]).groupBy("n", "a").agg(
         F.sum(F.least("bn", "ba")).alias("bytes"), F.first("tn").alias("tn"), F.first("ta").alias("ta"), F.first("kn").alias("kn"), F.first("ka").alias("ka"))
     covered = F.col("bytes") / F.least("tn", "ta")
     one_number = F.col("kn") == F.col("ka")
     known = F.coalesce(one_number, F.lit(True))
     kept = shared.filter((F.col("bytes") >= least_bytes) & known & ((covered >= cover) | (one_number & (covered >= cover_same_number))))
-    return kept.select("scope", F.least("n", "a").alias("doc_a"), F.greatest("n", "a").alias("doc_b")).distinct()
+    return kept.select(F.least("n", "a").alias("a"), F.greatest("n", "a").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -116,7 +135,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         best = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("best"))
         jump = best.join(labels.select(F.col("node").alias("best"), F.col("root").alias("far")), "best", "left")
-        moved = checkpoints.cut(jump.select("node", F.least("best", F.coalesce("far", "best")).alias("root"), (F.col("root") != F.least("best", F.coalesce("far", "best"))).alias("moved")))
+        lowest = F.least("best", F.coalesce("far", "best"))
+        moved = checkpoints.cut(jump.select("node", lowest.alias("root"), (F.col("root") != lowest).alias("moved")))
         labels = moved.select("node", "root")
         if moved.filter("moved").isEmpty():
             return labels
@@ -128,42 +148,45 @@ def file_hash(value: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(value), r"([0-9a-f]{64})", 1), F.lit(""))
 
 
-def same_papers(documents: DataFrame, hashes: DataFrame, texts: DataFrame) -> DataFrame:
+def same_papers(documents: DataFrame, hashes: DataFrame, figures_of: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents of one scope that are one paper.
 
-    ``documents`` has (scope, doc_id), ``hashes`` (doc_id, hash) and ``texts`` (doc_id, text).  Equal files are one node
-    through their hash, equal digit streams through their stream; near copies through :func:`similar` of the
-    representatives.  The groups come from the components of these links.
+    ``documents`` has (scope, doc_id), ``hashes`` (doc_id, hash) and ``figures_of`` (doc_id, figures).  Equal files and
+    equal figures are linked to the first of their group, near copies through :func:`similar` of these; the groups are
+    the components of the links.  Documents are numbered once, and only numbers are joined.
     """
-    documents = documents.filter("scope is not null and doc_id is not null").distinct()
-    by_hash = hashes.filter("hash is not null").distinct().join(documents, "doc_id").select("scope", "doc_id", F.concat_ws(":", F.lit("file"), "scope", "hash").alias("key"))
-    read = texts.join(documents, "doc_id").withColumn("stream", F.regexp_replace(F.translate("text", WIDE, "0123456789"), "[^0-9]+", "")).filter(F.length("stream") >= 6)
-    read = read.withColumn("key", F.concat_ws(":", F.lit("text"), "scope", F.sha2("stream", 256)))
-    # one text per stream; the others hang on it by their key
-    chunks = checkpoints.cut(chunk_table(read.groupBy("scope", "key").agg(F.min("text").alias("text")).select("scope", F.col("key").alias("doc_id"), "text")))
-    near = similar(chunks, chunks).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    links = by_hash.select(F.col("doc_id").alias("a"), F.col("key").alias("b")).unionByName(read.select(F.col("doc_id").alias("a"), F.col("key").alias("b")))
-    groups = components(links.unionByName(near)).join(documents, F.col("node") == F.col("doc_id")).select("root", "doc_id")
-    other = groups.select("root", F.col("doc_id").alias("doc_b"))
-    return groups.join(other, "root").filter("doc_id < doc_b").select(F.col("doc_id").alias("doc_a"), "doc_b").distinct()
+    named = documents.filter("scope is not null and doc_id is not null").select("scope", "doc_id").distinct()
+    numbered = checkpoints.cut(named.withColumn("id", F.monotonically_increasing_id()))
+
+    def grouped(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("id").alias("first"), F.first("scope").alias("scope"), F.first(key).alias(key), F.count("*").alias("n"))
+
+    by_hash = hashes.filter("hash is not null").distinct().join(numbered, "doc_id").select("id", "scope", "hash", F.xxhash64("scope", "hash").alias("key"))
+    read = checkpoints.cut(figures_of.filter(F.length(F.regexp_replace("figures", "[^0-9]", "")) >= 6).join(numbered, "doc_id").select("id", "scope", "figures", F.xxhash64("scope", "figures").alias("key")))
+    streams = grouped(read, "figures")
+    chunks = checkpoints.cut(chunk_table(streams.select("scope", F.col("first").alias("id"), "figures")))
+    links = [rows.select("id", "key").join(grouped(rows, value).filter("n > 1").select("key", "first"), "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")) for rows, value in ((by_hash, "hash"), (read, "figures"))]
+    groups = components(links[0].unionByName(links[1]).unionByName(similar(chunks)))
+    members = groups.join(numbered, F.col("node") == F.col("id")).select("root", "doc_id")
+    other = members.select("root", F.col("doc_id").alias("doc_b"))
+    return members.join(other, "root").filter("doc_id < doc_b").select(F.col("doc_id").alias("doc_a"), "doc_b").distinct()
 
 
 def check_batch(batch: DataFrame, store: str, **options: float) -> DataFrame:
-    """(scope, doc_a, doc_b) of the documents of a new batch (scope, doc_id, text) with earlier ones or with each other.
+    """(a, b) of the documents of a new batch (scope, id, figures) with earlier ones or with each other.
 
     Reads the batch and the chunk table at ``store``, not the history's texts.  Call :func:`accept` for what is kept.
     """
     new = checkpoints.cut(chunk_table(batch))
-    spark = batch.sparkSession
     try:
-        history = spark.read.schema(CHUNKS).parquet(store)
+        history = batch.sparkSession.read.schema(new.schema).parquet(store)
     except Exception as error:  # the first batch has no table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        history = spark.createDataFrame([], CHUNKS)
-    return similar(new, history.unionByName(new), **options)
+        return similar(new, **options)
+    return similar(new, **options).unionByName(similar(new, history, **options)).distinct()
 
 
 def accept(batch: DataFrame, store: str) -> None:
-    """Append the chunks of accepted documents (scope, doc_id, text) to the table at ``store``."""
-    chunk_table(batch).write.mode("append").partitionBy("scope").parquet(store)
+    """Append the chunks of accepted documents (scope, id, figures) to the table at ``store``."""
+    chunk_table(batch).write.mode("append").parquet(store)
