@@ -150,15 +150,23 @@ def html_rows(html: str) -> list[list[str]]:
     return [r for r in parser.rows if any(r)]
 
 
+def drawn(rows: list[list[str]]) -> str:
+    """Rows as a Markdown table, as :func:`rendered_table` draws them."""
+    width = max(map(len, rows), default=0)
+    cell = lambda c: c.strip().replace("|", "\\|").replace("\n", "<br>")
+    lines = ["| " + " | ".join([*map(cell, r), *[""] * (width - len(r))]) + " |" for r in rows]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines else ""
+
+
 def html_table(html: Column) -> Column:
     """An HTML table as Markdown; text without rows loses its tags."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def rows(values: pd.Series) -> pd.Series:
-        return values.map(html_rows, na_action="ignore")
+    @F.pandas_udf(T.StringType())
+    def table(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: drawn(html_rows(v)), na_action="ignore")
 
-    found = F.when(html.rlike(r"(?i)<t[dhr]\b"), rows(html)).otherwise(F.array().cast("array<array<string>>"))
-    return F.when(html.isNotNull(), F.when(F.size(found) > 0, rendered_table(found)).otherwise(stripped_tags(html)))
+    found = F.when(html.rlike(r"(?i)<t[dhr]\b"), F.nullif(table(html), F.lit("")))
+    return F.coalesce(found, stripped_tags(html))
 
 
 def stripped_tags(html: Column) -> Column:
