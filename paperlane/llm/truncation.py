@@ -37,7 +37,8 @@ _FORMS = "|".join((
 ))
 #: The date behind a signature or a department.
 _DATED = r", ?(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}年\d{1,2}月\d{1,2}日)$"
-_TRIM = r"^[\s\u0085\p{Z}\p{Cf}]+|[\s\u0085\p{Z}\p{Cf}]+$"
+#: White space and format characters, trimmed from the end without a pattern over the whole text.
+_BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\xad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 #: Lengths at which paragraph heads are counted.
 HEADS = (2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 64)
 
@@ -50,7 +51,7 @@ def endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", so
     """One narrow row per document with letters or digits: lengths, text hash, and how its text ends."""
     raw = F.col(text)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), raw.alias("t")).filter(F.col("t").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.withColumn("body", F.regexp_replace("t", _TRIM, ""))
+    rows = rows.withColumn("body", F.rtrim("t", F.lit(_BLANK)))
     rows = rows.withColumn("line", F.substring_index("body", "\n", -1)).withColumn("block", F.substring_index("body", "\n\n", -1))
     bars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit("")))
     header = F.regexp_extract("block", r"(?m)^(\|[^\n]*)", 1)
