@@ -49,21 +49,22 @@ _NAME_CUES = "|".join((
     rf"\b(?:Mr\.?|Mrs\.?|Ms\.|Herrn?|Frau|Mme|Mlle|Monsieur|Madame) (?P<d>{_LATIN_NAME})",
     rf"(?:wurde von|angenommen von|erhalten von|unterzeichnet von|Empfangen durch|geprüft von) (?:Herrn?|Frau)? ?(?P<e>{_LATIN_NAME})",
     rf"(?:reçue?s? par|[Ss]ignée?s? par|[Vv]isée?s? par|contrôlée?s? par|remise?s? à|S[’']adresser à|Demander|Reçu par|validée?s? par) (?:M\.|Mme)? ?(?P<f>{_LATIN_NAME})",
-    rf"(?:担当(?:者)?|受領者?|立会(?:人)?|氏名|検収者|承認者|連絡者|宛名)[:： ] ?(?P<g>{_HAN_NAME})(?=[。)） \n、/]|$)",
+    rf"(?:担当(?:者)?|受領者?|立会(?:人)?|氏名|検収者|承認者|連絡者|宛名)[:： ] ?(?P<g>{_HAN_NAME})(?=[。)） \n、/,]|$)",
     rf"(?:検収は|受領は|確認は) ?(?P<h>{_HAN_NAME})(?=が)",
     rf"(?:営業|担当|経理|購買|窓口)の(?P<i>{_HAN_NAME})(?=まで|が|に|へ|より)",
-    rf"(?:^|[\n。、(（ ])(?P<j>{_HAN_NAME}) ?(?=様|殿|さん|氏)",
+    rf"(?:^|[\n。、(（, ])(?P<j>{_HAN_NAME}) ?(?=様|殿|さん|氏)",
 ))
 NAMES = re.compile(_NAME_CUES)
 _HAS_CJK = re.compile(f"[{_CJK}]")
 #: Names that stand alone on a line, with an initial, or in figures of address.
 ALONE = re.compile(rf"(?m)^(?P<l>(?:[A-Z]\. ?)?{_CAP}(?:, ?{_CAP}| (?:[A-Z]\. ?)?{_CAP}))[.,]?$|^(?P<m>[㐀-鿿々]{{2,3}} ?[㐀-鿿々]{{2,3}})。?$")
 EMAIL = re.compile(r"(?ai)<?(?<![\w.+-])[a-z0-9][\w.+-]{0,60} ?(?:@|\(at\)|\[at\]|\{at\}) ?[a-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[a-z0-9-]+){1,4}")
-NUMBER = re.compile(r"(?a)(?<![\w.,¥$€#@-])(?:\+ ?\d{1,3}[ -]?|00\d{2}[ -])?\(?\d{1,6}\)?(?:[ ./()-]{1,2}\d{1,6}){1,5}(?!\d|[,.-]\d)|(?<![\w.,¥$€#@-])\d{9,13}(?!\w|,\d)|(?<![A-Za-z0-9-])[A-Z]{1,2}\d{6,9}(?![A-Za-z0-9])")
+NUMBER = re.compile(r"(?a)(?<![\w.,¥$€#@-])(?:\+ ?\d{1,3}[ -]?|00\d{2}[ -])?\(?\d{1,6}(?:(?:[ ./-]|\)[ -]?| ?\()\d{1,8}){1,6}(?!\d|[,.-]\d)|(?<![\w.,¥$€#@-])\d{9,13}(?!\w|,\d)|(?<![A-Za-z0-9-])[A-Z]{1,2}\d{6,9}(?![A-Za-z0-9])")
 _ADDRESSES = (
     r"(?:〒 ?)?(?:\d{3}-\d{4} ?)?[㐀-鿿]{1,4}[都道府県][㐀-鿿]{1,5}[市区町村郡][㐀-鿿ぁ-んァ-ヶ]{0,6}(?:\d{1,4}丁目\d{1,4}番?地?\d{0,4}号?|\d{1,5}番地?(?:の?\d+号?)?|\d{1,4}(?:-\d{1,4}){1,3})",
     r"\b\d{1,5}[a-z]?,? (?:[NSEW]\. )?(?:[A-Z][\w'’]+ ){1,3}(?:Road|Rd\.?|Street|Str?\.|Row|Lane|Ln\.?|Avenue|Ave\.?|Hill|Drive|Dr\.|Way|Court|Square|Place|Terrace|Close|Quay|Boulevard|Blvd\.?|Walk|Yard|Wharf|Crescent|Parade|Gate)(?![a-z])",
     r"\b[A-ZÄÖÜ][\wäöüß-]*(?:gasse|straße|strasse|str\.|weg|allee|platz|ufer|steig|markt|kai|chaussee|zeile|pfad)\.? \d{1,4} ?[a-z]?(?!\w)",
+    r"\b(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der|Bei der|Vor dem) (?:[A-ZÄÖÜ][\wäöüß-]+ ){1,3}\d{1,4} ?[a-z]?(?=,? \d{5}\b|[.,]?(?:\n|$))",
     r"\b\d{1,4}(?: (?:bis|ter))?,? (?:rue|quai|avenue|allée|boulevard|place|chemin|impasse|route|cours|ruelle|passage|sentier|montée|square)\b[^,.;\n]{2,40}",
     r"\b(?:rue|quai|avenue|allée|boulevard|chemin|impasse) (?:d[eu]s?|de la|d[’'])? ?[^,.;\n\d]{2,30},? \d{1,4}(?: bis)?(?!\d)",
 )
@@ -72,7 +73,7 @@ _NOT_NAME = re.compile(r"(?i)\b(ltd|gmbh|sa|co|inc|works|industries|partners|log
 #: What makes the name before it a firm's or a department's.
 _FIRM = re.compile(r"(?: |-in |-)(?:Ltd|GmbH|SA\b|Co\b|Inc|Works|Industries|Partners|Logistics|Components|Supply|Trading|Fournitures|desk|store|team|office|group|bench)", re.IGNORECASE)
 _CUES = {
-    "phone": (r"(?i)te[l1i]|phone|fax|mobil|reach|erreichb|chauffeur|driver|anruf|rufnummer|portable|joindre|appel|call|電話|電|携帯|携|連絡先|番号は", r"(?i)until|bis \d|avant|へご連絡|まで"),
+    "phone": (r"(?i)t[eé][l1i]|phone|fax|mobil|reach|erreichb|chauffeur|driver|anruf|rufnummer|portable|joindre|appel|call|電話|電|携帯|携|連絡先|番号は", r"(?i)until|bis \d|avant|へご連絡|まで"),
     "id_number": (r"(?i)\b[il1]d\b|[i1l]dent|passe?p|ausweis|steuer|fiscal|sécurité|permis|licen[cs]e|personal|personnel|pièce|card|carte|個人|本人|免許|旅券|保険|マイナンバー", r"(?i)at the gate|です|vorgelegt|présent"),
     "address": (r"(?i)deliver|address|anschrift|adresse|go to|geht an|livrer|wohn|resid|住所|納品先|お届け先|〒|送付先", r"(?i)instead of|statt ins|et non|に変更|zz\d|\d{5} [A-Z]"),
 }
@@ -120,6 +121,18 @@ _PHONE_FORM = re.compile(r"^(\+ ?\d|00\d|\(?0\d|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$
 _DATE = re.compile(r"^(\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})\b")
 
 
+def _number_end(text: str, start: int, stop: int) -> tuple[int, int]:
+    """Where a number ends: groups behind it that make it none (a house number, say) are left out."""
+    stop = start + len(text[start:stop].rstrip(" ./(-"))
+    end = stop
+    while end > start:
+        number = text[start:end]
+        if _ID_FORM.match(number) or (_PHONE_FORM.match(number) and 9 <= sum(map(str.isdigit, number)) <= 13):
+            return start, end
+        end = start + len(re.sub(r"[ ./()-]*\d+$", "", number).rstrip(" ./(-")) if re.search(r"[ ./()-]\d+$", number) else start
+    return start, stop
+
+
 def _vote(pattern: str, text: str) -> int:
     return 1 if re.search(pattern, text) else 0
 
@@ -150,8 +163,8 @@ def spans(text: str) -> list[tuple[str, int, int, int, int, str, list[str], list
         before, behind = joined[max(0, a - 28) : a], joined[m.end() : m.end() + 24]
         put("address", a, m.end(), [1, _vote(_CUES["address"][0], before), _vote(_CUES["address"][1], behind), 0, 0, 0, int(a == 0 or joined[a - 1] in "\n")])
     for m in NUMBER.finditer(joined):
-        a, b = m.span()
-        number = m.group().strip(" ./(-") if not m.group().startswith("(") else m.group().strip(" ./-")
+        a, b = _number_end(joined, m.start(), min([m.end(), *(x for x, _ in taken if x > m.start())]))
+        number = joined[a:b]
         digits = sum(c.isdigit() for c in number)
         if not 7 <= digits <= 14 or _DATE.match(number) or not free(a, b):
             continue
