@@ -33,7 +33,7 @@ _SPLIT = re.compile(r"[^\w]+|_+")
 _CODE = re.compile(r"^(?=.*\d)[a-z0-9]{3,8}$")
 # What people write around a name without meaning another one.
 BEFORE = ("city of", "dep", "deputy", "senior", "sr", "junior", "jr", "acting", "the")
-BEHIND = ("city", "shi", "jp", "de", "fr", "us", "uk", "brand", "r", "tm", "inc", "ltd", "co", "day shift", "night shift", "late shift")
+BEHIND = ("city", "shi", "jp", "de", "fr", "us", "uk", "brand", "r", "tm", "inc", "ltd", "co", "day shift", "night shift", "late shift", "acting")
 UNITS = "市区町村"
 _AROUND = {w for x in BEFORE + BEHIND for w in x.split()}
 
@@ -106,16 +106,19 @@ class Trie:
                 return set()
         return set(node.get("", ())) if key else set()
 
-    def search(self, key: str, most: int) -> dict[int, int]:
-        """Entry -> least distance, of all entries within ``most`` edits (insert, delete, replace, swap of neighbours)."""
+    def search(self, key: str, most: int, by_length: bool = False) -> dict[int, int]:
+        """Entry -> least distance, of all entries within ``most`` edits (insert, delete, replace, swap of neighbours).
+
+        With ``by_length`` a path allows no more edits than its own length does.
+        """
         found: dict[int, int] = {}
         n = len(key)
-        stack: list[tuple[dict, str, list[int], list[int] | None]] = [(self.root, "", list(range(n + 1)), None)]
+        stack: list[tuple[dict, str, list[int], list[int] | None, int]] = [(self.root, "", list(range(n + 1)), None, 0)]
         while stack:
-            node, last, row, before = stack.pop()
+            node, last, row, before, depth = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= most:
+                    if row[n] <= (min(most, allowance(depth, False)) if by_length else most):
                         for entry, exact in child.items():
                             if row[n] == 0 or not exact:
                                 found[entry] = min(found.get(entry, most), row[n])
@@ -127,7 +130,7 @@ class Trie:
                         v = min(v, before[j - 2] + 1)
                     new.append(v)
                 if min(new) <= most:
-                    stack.append((child, c, new, row))
+                    stack.append((child, c, new, row, depth + 1))
         return found
 
 
@@ -146,14 +149,14 @@ def _near(a: str, b: str) -> bool:
 
 
 def abbreviated(trie: Trie, words: list[str]) -> set[int]:
-    """Entries whose words the given ones stand for, one by one and at least one of them in full."""
+    """Entries whose words the given ones stand for, one by one."""
     out = set()
     key = "".join(words)
     for names, entry in trie.words:
         start = "".join(names[:-1])
         if start and key.startswith(start) and _stands_for(key[len(start) :], names[-1]):
             out.add(entry)
-        if len(names) == len(words) > 1 and all(w == n or _stands_for(w, n) or _near(w, n) for w, n in zip(words, names, strict=True)) and any(w == n or _near(w, n) for w, n in zip(words, names, strict=True)):
+        if len(names) == len(words) > 1 and all(w == n or _stands_for(w, n) or _near(w, n) for w, n in zip(words, names, strict=True)):
             out.add(entry)
     return out
 
@@ -170,7 +173,8 @@ def resolve(trie: Trie, value: str) -> tuple[int, int]:
         key = "".join(words)
         if not key:
             continue
-        for entry, d in trie.search(key, allowance(len(key), bool(_CODE.match(key)))).items():
+        code = bool(_CODE.match(key))
+        for entry, d in trie.search(key, 0 if code else allowance(len(key) + 2, False), by_length=True).items():
             best[entry] = min(best.get(entry, d), d)
     if not best:
         for words in readings:
