@@ -11,7 +11,11 @@ from paperlane.operators import diffs, engines, extraction, layout
 from paperlane.sources import sinks, table
 
 _REGION = "struct<bbox:array<double>,kind:string,markdown:string,confidence:double,vertical:boolean,lines:array<struct<text:string,score:double,box:array<array<double>>>>>"
-SQL: dict[str, str] = {}
+_TABLE = "'| 品目 | 数量 | 単価 | 金額 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| サンプル品目A | 2 | ¥1,000 | ¥2,000 |' || chr(10) || '| サンプル品目B | 1 | ¥5,000 | ¥5,000 |'"
+SQL = {
+    "mock_regions": f"""SELECT p.id || '.png' AS name, r.* REPLACE (replace(r.markdown, '@', p.id) AS markdown) FROM ocr_pages p, (VALUES (50.0, 40.0, 550.0, 80.0, 'title', '# 請求書', 0.99, false),
+(50.0, 100.0, 550.0, 140.0, 'text', '株式会社サンプル 御中 (mock page: @)', 0.97, false), (50.0, 160.0, 550.0, 320.0, 'table', {_TABLE}, 0.93, false), (300.0, 340.0, 550.0, 380.0, 'text', '合計: ¥7,000 (税込)', 0.95, false)) r(x0, y0, x1, y1, kind, markdown, confidence, vertical)"""
+}
 
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
