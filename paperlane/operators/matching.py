@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paperlane.functions.markdown import text_units
 from paperlane.functions.text import normal_form
+from paperlane.sources import checkpoints
 
 THRESHOLD = 0.82
 
@@ -55,17 +56,26 @@ def _value_keys(norm: Column) -> Column:
     return F.array_distinct(F.when(n >= 3, pieces).otherwise(F.array(norm)))
 
 
-def _unit_keys(norm: Column) -> Column:
-    grams = lambda k: F.when(F.length(norm) >= k, F.transform(F.sequence(F.lit(1), F.length(norm) - (k - 1)), lambda i: F.substring(norm, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(grams(2), grams(3)))
+def _grams(norm: Column, k: int) -> Column:
+    found = F.transform(F.sequence(F.lit(1), F.length(norm) - (k - 1)), lambda i: F.substring(norm, i, F.lit(k)))
+    return F.array_distinct(F.when(F.length(norm) >= k, found).otherwise(F.array().cast("array<string>")))
 
 
 def candidates(values: DataFrame, found: DataFrame, scope: str = "company_id") -> DataFrame:
-    """Values with the units of their company that they may match, each pair once; found by the pigeonhole keys."""
-    v = values.select(scope, "norm", F.explode(_value_keys(F.col("norm"))).alias("k")).distinct()
-    u = found.select(scope, "unit_norm", F.explode(_unit_keys(F.col("unit_norm"))).alias("k")).distinct()
-    pairs = v.join(u, [scope, "k"]).select(scope, "norm", "unit_norm").distinct()
-    return pairs.withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null")
+    """Values with the units of their company that they may match, each pair once; found by the pigeonhole keys.
+
+    Texts are made distinct before they are cut up; keys that no value has are dropped by the join's bloom filter or broadcast.
+    """
+    v, u = values.select(scope, "norm").distinct(), found.select(scope, "unit_norm").distinct()
+    pairs = None
+    for k, some in ((3, v.filter(F.length("norm") >= 3)), (2, v.filter(F.length("norm") == 2))):
+        keyed = some.select(scope, "norm", F.explode(_value_keys(F.col("norm"))).alias("k"))
+        cut = u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), k)).alias("k"))
+        met = keyed.join(cut, [scope, "k"]).select(scope, "norm", "unit_norm")
+        # most pairs share a piece by chance: the score is checked before pairs are made distinct
+        met = met.withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
 
 
 def best_matches(pages: DataFrame, records: DataFrame, types: DataFrame) -> DataFrame:
@@ -75,7 +85,7 @@ def best_matches(pages: DataFrame, records: DataFrame, types: DataFrame) -> Data
     similar canonical value, but not one that is there exactly.
     """
     values = matchable_values(records, types)
-    found = units(pages, "company_id", "page_id", "ocr_result_id")
+    found = checkpoints.cut(units(pages, "company_id", "page_id", "ocr_result_id"))
     scored = candidates(values, found)
     canonical = values.join(scored, ["company_id", "norm"]).join(found, ["company_id", "unit_norm"]).withColumn("pass", F.lit(0)).withColumn("alias_ord", F.lit(0))
     learned = alias_values(records, values).join(found, (F.col("alias_norm") == F.col("unit_norm")) & (values["company_id"] == found["company_id"])).drop(found["company_id"]).withColumn("score", F.lit(1.0)).withColumn("pass", F.lit(1))
