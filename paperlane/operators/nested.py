@@ -140,24 +140,25 @@ def walk(value: Any) -> list[tuple[str, str, str, str, bool, dict[str, str], dic
 
     Two passes without recursion: top-down for paths, then bottom-up for the automaton's states.
     """
-    order: list[list[Any]] = []  # value, path, role, parent object's path, is element
+    # Only objects keep their paths, and a state lives until its parent has read it: arrays nested deeply cost no more than one path.
+    order: list[tuple[Any, str, str, str, bool]] = []  # value, path, role, parent object's path, is element
     todo: list[tuple[Any, str, str, str, bool]] = [(value, "$", "$", "$", False)]
     while todo:
-        node = todo.pop()
-        order.append(list(node))
-        v, path, role, parent, _ = node
+        v, path, role, parent, element = todo.pop()
         if isinstance(v, dict):
+            order.append((v, path, role, parent, element))
             todo.extend((x, f"{path}.{k}", f"{role}.{k}", path, False) for k, x in v.items() if isinstance(x, (dict, list)))
         else:
+            order.append((v, "", "", "", element))
             todo.extend((x, f"{path}[{i}]", f"{role}[]", parent, True) for i, x in enumerate(v) if isinstance(x, (dict, list)))
     state: dict[int, str] = {}
     rows = []
     for v, path, role, parent, element in reversed(order):
         if isinstance(v, list):
-            kinds = sorted({state[id(x)] if isinstance(x, (dict, list)) else _kind(x) for x in v})
+            kinds = sorted({state.pop(id(x)) if isinstance(x, (dict, list)) else _kind(x) for x in v})
             state[id(v)] = f"array<{'|'.join(kinds)}>"
             continue
-        kinds = {_clean(k): state[id(x)] if isinstance(x, (dict, list)) else _kind(x) for k, x in v.items()}
+        kinds = {_clean(k): state.pop(id(x)) if isinstance(x, (dict, list)) else _kind(x) for k, x in v.items()}
         variant = hashlib.md5("\x1f".join(f"{k}:{kinds[k]}" for k in sorted(kinds)).encode()).hexdigest()[:16]
         state[id(v)] = f"object<{variant}>"
         members = {_clean(k): _clean(x) if isinstance(x, str) else json.dumps(x) for k, x in v.items() if x is not None and not isinstance(x, (dict, list))}
@@ -165,24 +166,6 @@ def walk(value: Any) -> list[tuple[str, str, str, str, bool, dict[str, str], dic
     return rows[::-1]
 
 
-def elements(value: Any) -> list[tuple[str, str]]:
-    """(parent_path, node_path) of each object that is an array's element; the walk of :func:`walk` without states."""
-    rows = []
-    todo: list[tuple[Any, str, str]] = [(value, "$", "$")]
-    while todo:
-        v, path, parent = todo.pop()
-        if isinstance(v, dict):
-            todo.extend((x, f"{path}.{k}", path) for k, x in v.items() if isinstance(x, (dict, list)))
-        else:
-            for i, x in enumerate(v):
-                if isinstance(x, (dict, list)):
-                    at = f"{path}[{i}]"
-                    if isinstance(x, dict):
-                        rows.append((_clean(parent), _clean(at)))
-                    todo.append((x, at, parent))
-    return rows
-
-
 def _parsed(texts: pd.Series) -> Iterator[tuple[int, Any]]:
     for i, text in enumerate(texts):
         try:
@@ -207,18 +190,8 @@ def nodes(records: DataFrame, record_id: str, text: str) -> DataFrame:
 
 
 def element_links(records: DataFrame, record_id: str, text: str) -> DataFrame:
-    """(record_id, parent_path, node_path) of each object that is an array's element.
-
-    The narrow form of :func:`nodes`: the same walk, only the link columns leave the Python worker.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["record_id"].tolist()
-            yield pd.DataFrame([(ids[i], *row) for i, value in _parsed(batch["text"]) for row in elements(value)], columns=["record_id", "parent_path", "node_path"])
-
-    picked = records.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return picked.mapInPandas(run, "record_id string, parent_path string, node_path string")
+    """(record_id, parent_path, node_path) of each object of :func:`nodes` that is an array's element."""
+    return nodes(records, record_id, text).filter("is_element").select("record_id", "parent_path", "node_path")
 
 
 def variants(flat: DataFrame) -> DataFrame:
@@ -249,3 +222,20 @@ def subtype_table(flat: DataFrame, role: str, variant: str, kinds: dict[str, str
     links = [F.col(c) for c in ("record_id", "parent_path", "node_path")]
     scalars = [k for k, kind in sorted(kinds.items()) if not kind.startswith(("object", "array"))]
     return flat.filter((F.col("role") == role) & (F.col("variant") == variant)).select(*links, *[_typed(k, kinds[k]).alias(f"m_{k}") for k in scalars])
+
+
+def subtypes(flat: DataFrame) -> DataFrame:
+    """The rows of the subtype tables of all variants, one row per object, routed by (role, variant).
+
+    Scalar members are typed as in :func:`subtype_table`: ``numbers``, ``flags`` and ``texts``, the latter with the members
+    that the variant knows as null only.  One pass over ``flat``, whatever the number of variants.
+    """
+
+    def of(*kinds: str) -> Column:
+        return F.map_filter("kinds", lambda _, kind: kind.isin(*kinds))
+
+    def typed(kind: str, type_name: str) -> Column:
+        return F.transform_values(of(*([kind, "null"] if kind == "text" else [kind])), lambda key, _: F.col("members")[key].cast(type_name))
+
+    links = ("role", "variant", "record_id", "parent_path", "node_path")
+    return flat.select(*links, typed("number", "double").alias("numbers"), typed("bool", "boolean").alias("flags"), typed("text", "string").alias("texts"))

@@ -17,7 +17,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per object that is an element of an array in layout_json or extracted_json."""
-    return nested.element_links(_records(spark, folder), "id", "json")
+    return nested.nodes(_records(spark, folder), "id", "json").filter("is_element").select("record_id", "parent_path", "node_path")
 
 
 def p5_supertypes(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,12 @@ def p5_supertypes(spark: SparkSession, folder: str) -> DataFrame:
     return nested.supertypes(nested.nodes(_records(spark, folder), "id", "json"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_supertypes": p5_supertypes}
+def p5_subtypes(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the typed subtype tables of every variant."""
+    return nested.subtypes(nested.nodes(_records(spark, folder), "id", "json"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_supertypes": p5_supertypes, "p5_subtypes": p5_subtypes}
 _UNWRAPPED = "CASE WHEN json_valid({0}) AND json_type({0}) = 'VARCHAR' THEN json_extract_string({0}, '$') ELSE {0} END"
 SQL = {
     "p5_found": f"""WITH r AS (SELECT id, layout_json AS j FROM ocr_results UNION ALL SELECT id, extracted_json FROM scan_documents), u AS (SELECT id, {_UNWRAPPED.format('j')} AS j FROM r), w AS (SELECT id, {_UNWRAPPED.format('j')} AS j FROM u),

@@ -59,6 +59,22 @@ def test_variants_and_supertypes(spark):
     assert sorted((r["node_path"], r["m_k"], r["m_v"]) for r in typed.collect()) == [("$.f[0]", "a", 1.0), ("$.f[2]", "c", 2.0)]
 
 
+def test_every_object_is_in_its_subtype_table(spark):
+    doc = {"f": [{"k": "a", "v": 1.5, "on": True, "x": None}, {"k": "b", "v": "2"}, {"k": "c", "in": {"v": 3, "deep": [[{"v": False}]]}}], "n": 7}
+    flat = nested.nodes(spark.createDataFrame([("1", json.dumps(doc)), ("2", json.dumps(json.dumps(doc))), ("3", "{")], "id string, j string"), "id", "j")
+    stacked = nested.subtypes(flat).collect()
+    assert sorted((r["record_id"], r["node_path"]) for r in stacked) == sorted((r["record_id"], r["node_path"]) for r in flat.collect())
+    shapes = nested.variants(flat).collect()
+    assert len(shapes) == 6
+    for shape in shapes:
+        typed = nested.subtype_table(flat, shape["role"], shape["variant"], shape["kinds"])
+        want = sorted(([r[c] for c in ("record_id", "parent_path", "node_path")], {c[2:]: r[c] for c in typed.columns[3:]}) for r in typed.collect())
+        mine = [r for r in stacked if (r["role"], r["variant"]) == (shape["role"], shape["variant"])]
+        assert sorted(([r["record_id"], r["parent_path"], r["node_path"]], r["numbers"] | r["flags"] | r["texts"]) for r in mine) == want
+    first = next(r for r in stacked if r["node_path"] == "$.f[0]")
+    assert (first["numbers"], first["flags"], first["texts"]) == ({"v": 1.5}, {"on": True}, {"k": "a", "x": None})
+
+
 # relations
 
 
