@@ -19,21 +19,25 @@ SQL = {
 
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
-    """(ocr_result_id, page_id, ord, kind, markdown, x0, y0, x1, y1, confidence, vertical, lines) of current results."""
+    """(ocr_result_id, page_id, ord, kind, markdown, x0, y0, x1, y1, confidence, vertical, lines) of current results.
+
+    Regions without a whole bbox have NULL for their place.
+    """
     rows = table(spark, folder, "ocr_results").filter("is_current and layout_json is not null").select("id", "page_id", "layout_json")
     text = F.when(F.col("layout_json").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), F.col("layout_json"), F.lit("}")), "v string")["v"]).otherwise(F.col("layout_json"))
     layout_of = F.from_json(text, f"regions array<{_REGION}>, layout struct<regions:array<{_REGION}>>, pages array<struct<regions:array<{_REGION}>>>")
     parsed = rows.select("id", "page_id", layout_of.alias("l"))
     every = F.coalesce("l.regions", "l.layout.regions", F.flatten("l.pages.regions"))
     r = F.col("r")
-    flat = parsed.select(F.col("id").alias("ocr_result_id"), "page_id", F.posexplode(every).alias("ord", "r")).filter(F.size(r["bbox"]) >= 4)
-    return flat.select("ocr_result_id", "page_id", "ord", r["kind"].alias("kind"), F.coalesce(r["markdown"], F.lit("")).alias("markdown"), *[r["bbox"][i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], r["confidence"].alias("confidence"), F.coalesce(r["vertical"], F.lit(False)).alias("vertical"), r["lines"].alias("lines"))
+    flat = parsed.select(F.col("id").alias("ocr_result_id"), "page_id", F.posexplode(every).alias("ord", "r")).filter("r is not null")
+    box = F.when((F.size(r["bbox"]) >= 4) & ~F.exists(F.slice(r["bbox"], 1, 4), lambda v: v.isNull()), r["bbox"])
+    return flat.select("ocr_result_id", "page_id", "ord", r["kind"].alias("kind"), F.coalesce(r["markdown"], F.lit("")).alias("markdown"), *[box[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], r["confidence"].alias("confidence"), F.coalesce(r["vertical"], F.lit(False)).alias("vertical"), r["lines"].alias("lines"))
 
 
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
     """Each page's regions in reading order."""
     rows = regions(spark, folder).filter("trim(markdown) <> ''").withColumnRenamed("markdown", "text")
-    return layout.ordered_regions(rows.select("ocr_result_id", "x0", "y0", "x1", "y1", "text", "vertical"), "ocr_result_id")
+    return layout.ordered_regions(rows.select("ocr_result_id", F.col("ord").alias("position"), "x0", "y0", "x1", "y1", "text", "vertical"), "ocr_result_id")
 
 
 def table_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,9 +49,9 @@ def table_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extracted_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """The default fields of every document with a layout."""
+    """The default fields of every document with a layout; a region without a place is at the origin, without extent."""
     pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), "document_id", "page_number")
-    rows = regions(spark, folder).join(pages, "page_id").select("document_id", "page_number", "ord", "kind", "markdown", "x0", "y0", "x1", "y1", "confidence")
+    rows = regions(spark, folder).join(pages, "page_id").select("document_id", "page_number", "ord", "kind", "markdown", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("x0", "y0", "x1", "y1")], "confidence")
     return extraction.extract(rows, "document_id")
 
 

@@ -197,6 +197,26 @@ def test_layout_over_pages(spark):
     assert layout.reconstructed(rows, "page").count() == 3
 
 
+def test_regions_without_a_box_are_kept(spark, tmp_path):
+    from paperlane.plans import layout_queries
+
+    def at(text, *bbox, kind="text", **more):
+        return {"kind": kind, "markdown": text, "confidence": 0.9, **({"bbox": list(bbox)} if bbox else {}), **more}
+
+    corners = [[0, 0], [50, 0], [50, 20], [0, 20]]
+    found = [at("below", 0, 100, 200, 120), at("Total due: 370,400"), at("合計金額: 844,950", lines=[{"text": "合計金額: 844,950", "score": 0.9, "box": corners}]), at("above", 0, 0, 200, 20), at("short", 1, 2), at("| 発行日 | 2024/3/5 |", kind="table")]
+    text = json.dumps({"regions": found})
+    spark.createDataFrame([("r", "p", True, text), ("s", "q", True, json.dumps({"regions": [at("発行日"), at("無関係 2024-01-01")]}))], "id string, page_id string, is_current boolean, layout_json string").write.parquet(str(tmp_path / "ocr_results.parquet"))
+    spark.createDataFrame([("p", "d", 1), ("q", "e", 1)], "id string, document_id string, page_number int").write.parquet(str(tmp_path / "ocr_pages.parquet"))
+    assert layout_queries.regions(spark, str(tmp_path)).count() == 8
+    fields = {(r["document_id"], r["key"]): r["value"] for r in layout_queries.extracted_fields(spark, str(tmp_path)).collect()}
+    assert fields["d", "total"] == "844950"
+    assert fields["e", "date"] is None  # regions without a place are nobody's neighbours
+    order = [r["text"] for r in sorted(layout_queries.reading_order(spark, str(tmp_path)).filter("ocr_result_id = 'r'").collect(), key=lambda r: r["ord"])]
+    assert order == ["above", "short", "| 発行日 | 2024/3/5 |", "below", "Total due: 370,400", "合計金額: 844,950"]
+    assert [r["text"] for r in layout_queries.table_reconstruction(spark, str(tmp_path)).collect()] == ["合計金額: 844,950"]
+
+
 # extraction, differences, engines
 
 
