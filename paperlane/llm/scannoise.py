@@ -5,8 +5,9 @@ neighbours.  Counts cover all pages.  Candidates come from inverted joins on cha
 words that share enough q-grams; a character meets the frequent ones between the same neighbours (the q-gram with a hole).
 A pair (seen, meant) carries its counts, how many different tokens show the same confusion, how exclusive the confusion
 is, and how much of the seen character's use it explains.  Gradient-boosted trees rank the candidates; they learn from
-pages that were recognised more than once, where a token of one result stands in another's place (a bounded number of
-such pages, ``label_pages``; everything else covers all pages).
+pages that were recognised more than once, where a token of one result stands in another's place.  All such pages are
+counted, as the counts are evidence for the decision too; only the pairs that the trees are trained on are sampled
+(``train_pairs``).
 
 Line pairs.  A logistic classifier decides for two lines whether the hyphen between them divides a word (the joined word's
 count against the compound's), another whether an edge line of a page is furniture (its counterpart on the document's
@@ -203,9 +204,9 @@ class Rule:
         return clear.astype(float)
 
 
-def labelled(pages: DataFrame, pairs: DataFrame, label_pages: int) -> DataFrame:
+def labelled(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with the number of pages that show them misread (``yes``) and read alike twice (``no``)."""
-    twice = pages.groupBy("page").agg(F.count("*").alias("results")).filter("results > 1 and results < 20").orderBy(F.xxhash64("page")).limit(label_pages)
+    twice = pages.groupBy("page").agg(F.count("*").alias("results")).filter("results > 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,11 +227,11 @@ def labelled(pages: DataFrame, pairs: DataFrame, label_pages: int) -> DataFrame:
     return judged.groupBy("seen", "meant").agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no")).filter("yes + no > 0")
 
 
-def misreadings(pages: DataFrame, label_pages: int = 20_000, train_pairs: int = 40_000) -> tuple[DataFrame, DataFrame]:
+def misreadings(pages: DataFrame, train_pairs: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """((seen, meant), counted tokens): the best replacement of each misread token of (page, text)."""
     counted = checkpoints.cut(_counted(pages))
     pairs = with_evidence(checkpoints.cut(candidate_pairs(counted)), counted)
-    labels = checkpoints.cut(labelled(pages, pairs.select("seen", "meant"), label_pages))
+    labels = checkpoints.cut(labelled(pages, pairs.select("seen", "meant")))
     pairs = pairs.join(labels, ["seen", "meant"], "left").fillna(0, ["yes", "no"])
     for key in ("conf", "source"):  # what the labels say of the same confusion
         said = pairs.groupBy(key).agg(F.sum("yes").alias(f"{key}_yes"), F.sum("no").alias(f"{key}_no"))
@@ -378,13 +379,13 @@ def furniture(edges: DataFrame, train: int = 20_000) -> DataFrame:
     return rows.withColumn("score", score).filter((F.col("pages") > 1) & F.col("any_form") & ((F.col("score") > 0) | (F.col("on_pages") > 1) | alone))
 
 
-def noise(pages: DataFrame, label_pages: int = 20_000, most_in_memory: int = 300_000) -> DataFrame:
+def noise(pages: DataFrame, most_in_memory: int = 300_000) -> DataFrame:
     """(row_id, noise) of pages (row_id, page, doc, page_number, pages, text).
 
     Replacements are sent to the executors while they are at most ``most_in_memory``; more of them are joined.
     """
     known = pages.filter("text is not null and row_id is not null")
-    replace, counted = misreadings(known.select("page", "text"), label_pages)
+    replace, counted = misreadings(known.select("page", "text"))
     replace = checkpoints.cut(replace)
     few = replace.count() <= most_in_memory
     wrong = {r["seen"] for r in replace.select("seen").toLocalIterator()} if few else set()
@@ -469,14 +470,14 @@ def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], fu
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def repair(pages: DataFrame, out: str, label_pages: int = 20_000) -> DataFrame:
+def repair(pages: DataFrame, out: str) -> DataFrame:
     """``pages`` (row_id, page, doc, page_number, pages, text) with column ``out``: the repaired text; NULL stays NULL.
 
     What a page needs (its replacements, divided words and furniture) is joined to it, so nothing grows with the corpus
     but the tables.  The same function repairs the Markdown of single regions.
     """
     known = pages.filter("text is not null and row_id is not null")
-    replace, counted = misreadings(known.select("page", "text"), label_pages)
+    replace, counted = misreadings(known.select("page", "text"))
     replace = checkpoints.cut(replace)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

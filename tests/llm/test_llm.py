@@ -317,6 +317,15 @@ def test_scan_noise(spark):
     assert fixed["e0"] is None and fixed["e1"] == ""
 
 
+def test_every_page_read_twice_is_counted(spark):
+    """The evidence covers pages with any number of results, however many pages there are."""
+    rows = [(f"p{k}", text) for k in range(300) for text in ("whole delivery", "whole dclivery")]
+    rows += [("often", "whole delivery")] * 24 + [("often", "whole dclivery"), ("once", "whole dclivery"), (None, "whole dclivery"), (None, "whole delivery")]
+    pairs = spark.createDataFrame([("wdclivery", "wdelivery")], "seen string, meant string")
+    frame = spark.createDataFrame(rows, "page string, text string")
+    assert [tuple(r) for r in scannoise.labelled(frame, pairs).collect()] == [("wdclivery", "wdelivery", 301, 0)]
+
+
 def test_boosted_trees_learn():
     import numpy as np
 
