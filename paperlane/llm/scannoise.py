@@ -85,8 +85,7 @@ def _counted(pages: DataFrame) -> DataFrame:
 def candidate_pairs(counted: DataFrame, ratio: float = 8.0, char_ratio: float = 4.0, least: int = 15) -> DataFrame:
     """(seen, meant, n_seen, n_meant, conf): tokens and the frequent tokens they may be misread from."""
     chars = counted.filter("startswith(token, 'c')").select("token", "n", F.concat(F.substring("token", 2, 1), F.substring("token", 4, 1)).alias("hole"), F.substring("token", 3, 1).alias("char"))
-    best = Window.partitionBy("hole").orderBy(F.desc("n"), "char")  # one row per character of the alphabet at most
-    top = chars.filter(F.col("n") >= least).withColumn("rank", F.row_number().over(best)).filter("rank <= 3").select("hole", F.col("token").alias("meant"), F.col("n").alias("n_meant"), F.col("char").alias("to"))
+    top = chars.filter(F.col("n") >= least).select("hole", F.col("token").alias("meant"), F.col("n").alias("n_meant"), F.col("char").alias("to"))
     han = chars.join(top, "hole").filter((F.col("n") * char_ratio <= F.col("n_meant")) & (F.col("char") != F.col("to")))
     han = han.select(F.col("token").alias("seen"), "meant", F.col("n").alias("n_seen"), "n_meant", F.concat_ws(">", "char", "to").alias("conf"))
     words = counted.filter("startswith(token, 'w') and length(token) between 5 and 40").select(F.substring("token", 2, 40).alias("word"), "n")

@@ -326,6 +326,12 @@ def test_every_page_read_twice_is_counted(spark):
     assert [tuple(r) for r in scannoise.labelled(frame, pairs).collect()] == [("wdclivery", "wdelivery", 301, 0)]
 
 
+def test_every_frequent_character_between_neighbours_is_a_candidate(spark):
+    counted = spark.createDataFrame([(f"c^{c}の", n) for c, n in (("念", 414), ("書", 27), ("日", 23), ("本", 21), ("中", 18), ("票", 14), ("木", 2))], "token string, n long")
+    pairs = scannoise.candidate_pairs(counted).filter("seen = 'c^木の'")
+    assert {r["meant"][2] for r in pairs.collect()} == set("念書日本中")
+
+
 def test_boosted_trees_learn():
     import numpy as np
 
