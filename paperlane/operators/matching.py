@@ -123,7 +123,7 @@ def learned_aliases(aliases: Column, field: Column, text: Column, master_value:
     norm = normal_form(text)
     known = F.coalesce(aliases, F.array().cast("array<struct<field_key:string,text:string>>"))
     genuine = (F.length(norm) >= 2) & (norm != master_value) & ~norm.eqNullSafe(canonical)
-    there = F.exists(known, lambda a: (a["field_key"] == field) & (a["text"] == text))
+    there = F.exists(known, lambda a: a["field_key"].eqNullSafe(field) & a["text"].eqNullSafe(text))  # a NULL alias hides nothing
     return F.when(genuine & ~there, F.array_append(known, F.struct(field.alias("field_key"), text.alias("text")))).otherwise(known)
 
 

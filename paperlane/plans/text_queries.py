@@ -117,7 +117,17 @@ WHERE regexp_full_match(matched_text, '[\\x00-\\x7F]*') AND regexp_full_match(ma
 def match_error_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Error rate of matched text against its master value, of ASCII pairs (SQL counts bytes)."""
     ascii = F.col("matched_text").rlike(r"^[\x00-\x7F]*$") & F.col("master_value").rlike(r"^[\x00-\x7F]*$")
-    rows = table(spark, folder, "master_matches").filter(ascii).select("id", "field_key", "matched_text", "master_value").distinct()
+    return _error_rates(table(spark, folder, "master_matches").filter(ascii))
+
+
+@query()
+def match_error_rates_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Error rate of matched text against its master value, of all rows that have both; in code points of the normal form."""
+    return _error_rates(table(spark, folder, "master_matches").filter("matched_text is not null and master_value is not null"))
+
+
+def _error_rates(matches: DataFrame) -> DataFrame:
+    rows = matches.select("id", "field_key", "matched_text", "master_value").distinct()
     a, b = X.normal_form(F.col("master_value")), X.normal_form(F.col("matched_text"))
     return rows.select("id", "field_key", F.length("matched_text").alias("characters"), X.error_rate(a, b).alias("cer"))
 
@@ -141,11 +151,27 @@ def contained_values(spark: SparkSession, folder: str) -> DataFrame:
 
     An equi-join on the value's first trigram (value: one key, line: its trigrams) finds the pairs that are then checked.
     """
-    values = matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types")).filter(F.col("value").rlike("^[!-~]+( [!-~]+)*$")).select("company_id", "value").distinct()
+    values = matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types")).filter(F.col("value").rlike("^[!-~]+( [!-~]+)*$"))
+    return _contained(_page_lines(spark, folder).filter(F.col("line").rlike("^[ -~]+$")), values)
+
+
+@query()
+def contained_values_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each page in which a master value of its company stands, of all values and lines."""
+    return _contained(_page_lines(spark, folder), matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types")))
+
+
+def _page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select("company_id", "page_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line")).filter("line <> ''")
+
+
+def _contained(lines: DataFrame, values: DataFrame) -> DataFrame:
+    values = values.select("company_id", "value").distinct()
     v = values.withColumn("k", F.substring("value", 1, 3))
-    lines = _pages(spark, folder).select("company_id", "page_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line")).filter(F.col("line").rlike("^[ -~]+$"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.array(F.substring(F.col("line"), i, F.lit(3)), F.substring(F.col("line"), i, F.lit(2))))))
-    met = lines.withColumn("k", F.explode(grams)).join(v, ["company_id", "k"]).filter(F.contains("line", "value"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.array(*[F.substring(F.col("line"), i, F.lit(n)) for n in (3, 2, 1)]))))
+    # the lines themselves are met once per candidate value, not once per gram
+    near = lines.select("company_id", "page_id", "i", F.explode(grams).alias("k")).join(v, ["company_id", "k"]).select("page_id", "i", "value")
+    met = near.join(lines.select("page_id", "i", "line"), ["page_id", "i"]).filter(F.contains("line", "value"))
     return met.select("page_id", "i", "value").distinct().groupBy("page_id", "value").agg(F.count("*").alias("lines"))
 
 
@@ -163,8 +189,21 @@ def learned_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """ASCII-named records with the upper-case spelling of their name learned, where it is a new variant."""
     name = F.try_element_at("data", F.lit("name"))
     rows = table(spark, folder, "master_records").filter(name.rlike("^[!-~]+( [!-~]+)*$") & (F.col("aliases").isNull() | ~F.exists("aliases", lambda a: a["text"].isNull())))
-    learned = matching.learned_aliases(F.col("aliases"), F.lit("name"), F.upper(name), name, name)
-    return rows.select("id", F.array_join(F.array_sort(F.transform(learned, lambda a: F.concat(a["field_key"], F.lit(":"), a["text"]))), "|").alias("aliases"))
+    return _upper_learned(rows)
+
+
+@query()
+def learned_aliases_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All records with the upper-case spelling of their name learned, where it is a new variant; NULL texts and keys are empty."""
+    return _upper_learned(table(spark, folder, "master_records"))
+
+
+def _upper_learned(records: DataFrame) -> DataFrame:
+    name = F.try_element_at("data", F.lit("name"))
+    norm = X.normal_form(name)
+    learned = matching.learned_aliases(F.col("aliases"), F.lit("name"), F.upper(name), norm, norm)
+    spelled = F.transform(learned, lambda a: F.concat(F.coalesce(a["field_key"], F.lit("")), F.lit(":"), F.coalesce(a["text"], F.lit(""))))
+    return records.select("id", F.array_join(F.array_sort(spelled), "|").alias("aliases"))
 
 
 @query()

@@ -106,3 +106,39 @@ def test_rectangles(spark):
     boxes = spark.createDataFrame([(1, 0), (1, 1)], "p int, ord int").withColumn("b", b)
     assert {r["line"]: r["ord"] for r in G.first_box(lines, boxes, "p").collect()} == {1: 0, 2: None}
     assert G.uncovered(lines, boxes, "p", "line", 0.2).select("line").collect()[0]["line"] == 2
+
+
+def test_text_queries_cover_whole_tables(spark, tmp_path):
+    import unicodedata
+
+    from paperlane.plans import text_queries as Q
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    pairs = [("1", "name", "株式会社サンフル", "株式会社サンプル"), ("2", "name", "ＡＢＣ", "ABD"), ("3", "name", "abc", "abd"), ("4", "name", None, "x"), ("5", "name", "𠮷野", "吉野")]
+    put("master_matches", pairs, "id string, field_key string, matched_text string, master_value string")
+    want = {}
+    for i, _, read, meant in pairs:
+        if read is not None:
+            a, b = unicodedata.normalize("NFKC", meant), unicodedata.normalize("NFKC", read)
+            want[i] = (len(read), edits(a, b) / len(a))
+    assert {x["id"]: (x["characters"], x["cer"]) for x in Q.match_error_rates_all(spark, str(tmp_path)).collect()} == want
+
+    names = {"a": "株式会社サンプルx", "b": "大阪", "c": "㈱", "d": "Acme", "e": "ÀB corp", "f": None, "g": "𠮷野家"}
+    put("master_types", [("t", [("name", True)])], "id string, fields array<struct<key:string,matchable:boolean>>")
+    put("master_records", [(k, "k", "t", {"name": v}, [(None, None), ("name", None)] if k in "de" else None) for k, v in names.items()], "id string, company_id string, master_type_id string, data map<string,string>, aliases array<struct<field_key:string,text:string>>")
+    pages = {"p": "宛先 株式会社サンプルx 御中\n\n大阪市 大阪\n㈱甲", "q": "Acme 大阪\nAcme\n𠮷野家\nÀB corp"}
+    put("ocr_results", [("r" + k, "k", k, t, True) for k, t in pages.items()], "id string, company_id string, page_id string, markdown string, is_current boolean")
+    held = {(p, v): n for p, t in pages.items() for v in names.values() if v and (n := sum(v in line for line in t.split("\n")))}
+    assert {(x["page_id"], x["value"]): x["lines"] for x in Q.contained_values_all(spark, str(tmp_path)).collect()} == held
+    got = {x["id"]: x["aliases"] for x in Q.learned_aliases_all(spark, str(tmp_path)).collect()}
+    assert got == {"a": "name:株式会社サンプルX", "b": "", "c": "", "d": ":|name:|name:ACME", "e": ":|name:|name:ÀB CORP", "f": "", "g": ""}
