@@ -249,6 +249,18 @@ def test_garbled_values(spark):
     assert mojibake.garbled_values(frame.limit(0), ["k"]).count() == 0
 
 
+def test_twins_teach_encodings_no_list_names(spark):
+    """A pair of encodings is learned from aligned runs, whichever the interpreter has; a single code page for another is told from it."""
+    clean = [f"{a} {i}" for i in range(30) for a in ("Берёза Склад", "Груша Завод", "Слива Насос")] + [f"x{i} Вишня" for i in range(30)]
+    bad = {f"b{i}": (mojibake.garble(t, "koi8_r", "mac_cyrillic"), t) for i, t in enumerate(clean[:9])}
+    frame = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(clean * 3)] + [(k, g) for k, (g, _) in bad.items()], "k string, value string")
+    got = {x["k"]: x["restored"] for x in mojibake.garbled_values(frame, ["k"]).collect()}
+    assert got == {k: t for k, (_, t) in bad.items()}
+    assert "koi8_r>mac_cyrillic" in mojibake.explained(bad["b0"][0].split(" ")[0], "Берёза")
+    sets = [(frozenset({"utf_8>cp850", "utf_8>cp1252"}), 3), (frozenset({"utf_8>cp1252"}), 2), (frozenset({"koi8_r>cp437"}), 1)]
+    assert mojibake.covering(sets, 2) == ["utf_8>cp1252"]
+
+
 # personal information
 
 
