@@ -2,31 +2,32 @@
 
 The entries' canonical names and aliases are the paths of one trie per field, ending in entry ids.  A value is brought to
 plain form, lower case and bare words, and is searched as typed, without the words around a name that say nothing
-(found from the list: words that no entry has), and with its parts behind a comma put in front.  The search is the product of
+(fixed lists, below), and with its comma parts in other orders (rotated and reversed).  The search is the product of
 the trie with a Levenshtein automaton (with transpositions), whose rows are shared by all paths with one prefix; it
 returns every entry within a distance that depends on the length of the value.  Codes and short names allow less.
-Words that an abbreviation stands for are reached by automaton edges that skip letters inside a word behind its first.
+Abbreviations are edges of a second automaton over the same names with their word bounds: behind a word's first letter
+it may skip the word's letters, beside the rows that allow edits.
 
-Of several entries the nearest wins; a tie between entries means that none is meant.  Values that reach none are
-reported with ``NO_ENTRY``.
+Hits have a level: paths met exactly, then the distance of paths met with edits, then abbreviations.  Of several entries that of
+the least level wins; a tie between entries means that none is meant.  Values that reach none are reported with ``NO_ENTRY``.
 
 Defined results: NULL and blank values give no row; fields without entries give ``NO_ENTRY``; repeated values are mapped
-alike.  The list is broadcast with the task, so its size is checked; a longer list is searched in blocks of ``block_entries``
-whose best hits are merged.
+alike.  A list of at most ``block_entries`` entries is sent to the tasks; a longer one stays distributed: its blocks meet
+the distinct values in cogroups, each block gives its least level with the entries there, and levels and ties are merged over blocks,
+so that blocks change no result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlane.llm.plainform import plain
+from paperlane.sources import checkpoints
 
 NO_ENTRY = -1
 _SPLIT = re.compile(r"[^\w]+|_+")
@@ -44,8 +45,9 @@ def bare(text: str) -> list[list[str]]:
     whole = [w for w in _SPLIT.split(text) if w]
     readings = [whole]
     parts = [p for p in ([w for w in _SPLIT.split(p) if w] for p in re.split("[,、]", text)) if p]
-    if 1 < len(parts) <= 4:
-        readings.extend([w for p in order for w in p] for order in permutations(parts) if order != tuple(parts))
+    for k in range(len(parts) if len(parts) > 1 else 0):
+        turned = parts[k:] + parts[:k]
+        readings.extend([w for p in order for w in p] for order in (turned, turned[::-1]) if order != parts)
     for words in list(readings):
         kept = [w for w in words if w not in _AROUND]
         if kept and kept != words:
@@ -61,11 +63,15 @@ def allowance(length: int, code: bool) -> int:
 
 
 class Trie:
-    """Names of one field as paths over their letters; a node is a dict of children, the key '' holds entry ids."""
+    """Names of one field as paths over their letters; a node is a dict of children, the key '' holds entry ids.
+
+    ``names`` has the names alone, with a blank where a word ends.
+    """
 
     def __init__(self) -> None:
         self.root: dict = {}
-        self.words: list[tuple[list[str], int]] = []
+        self.names: dict = {}
+        self.longest = 0
 
     def add(self, name: str, entry: int) -> None:
         """Add a name and the paths that mean it: with words around it, its unit left out, its first words as initials,
@@ -76,7 +82,10 @@ class Trie:
             return
         code = bool(_CODE.match(key))
         self._path(key, entry, code)
-        self.words.append((words, entry))
+        node = self.names
+        for c in " ".join(words):
+            node = node.setdefault(c, {})
+        node.setdefault("", set()).add(entry)
         if code:
             return
         for before in BEFORE:
@@ -92,6 +101,7 @@ class Trie:
                 self._path("".join(words[:-1]) + words[-1][:k], entry, True)
 
     def _path(self, key: str, entry: int, exact: bool) -> None:
+        self.longest = max(self.longest, len(key))
         node = self.root
         for c in key:
             node = node.setdefault(c, {})
@@ -134,56 +144,79 @@ class Trie:
         return found
 
 
-def _stands_for(short: str, word: str) -> bool:
-    """Whether letters of ``word``, in order and from its first, make ``short``."""
-    if not short or len(short) > len(word) or short[0] != word[0]:
-        return False
-    letters = iter(word)
-    return all(c in letters for c in short)
-
-
-def _near(a: str, b: str) -> bool:
-    trie = Trie()
-    trie._path(b, 0, False)
-    return bool(trie.search(a, allowance(len(b), False)))
-
-
-def abbreviated(trie: Trie, words: list[str]) -> set[int]:
-    """Entries whose words the given ones stand for, one by one."""
-    out = set()
-    key = "".join(words)
-    for names, entry in trie.words:
-        start = "".join(names[:-1])
-        if start and key.startswith(start) and _stands_for(key[len(start) :], names[-1]):
-            out.add(entry)
-        if len(names) == len(words) > 1 and all(w == n or _stands_for(w, n) or _near(w, n) for w, n in zip(words, names, strict=True)):
-            out.add(entry)
-    return out
-
-
-def resolve(trie: Trie, value: str) -> tuple[int, int]:
-    """(entry, distance) of a value; (NO_ENTRY, -1) if none or more than one is meant."""
-    readings = bare(value)
+    def abbreviated(self, words: list[str]) -> set[int]:
+        """Entries with as many words (two or more) as the given ones, each of which is a word of the name, within the edits
+        that its length allows, or stands for it: letters of the word, in order and from its first."""
+        out: set[int] = set()
+        if len(words) < 2:
+            return out
+        most = allowance(1 << 30, False)
+        # (node, word's place, letters of it met in order or -1, edit row, depth inside the name's word)
+        stack: list[tuple[dict, int, int, list[int], int]] = [(self.names, 0, 0, list(range(len(words[0]) + 1)), 0)]
+        while stack:
+            node, at, met, row, depth = stack.pop()
+            word = words[at]
+            done = depth > 0 and (met == len(word) or row[-1] <= allowance(depth, False))
+            for c, child in node.items():
+                if c == "":
+                    if done and at + 1 == len(words):
+                        out |= child
+                elif c == " ":
+                    if done and at + 1 < len(words):
+                        stack.append((child, at + 1, 0, list(range(len(words[at + 1]) + 1)), 0))
+                else:
+                    if met >= 0:  # a letter that the short form leaves out, but never the first
+                        new_met = met + 1 if met < len(word) and word[met] == c else -1 if depth == 0 else met
+                    else:
+                        new_met = -1
+                    new = [row[0] + 1]
+                    for j in range(1, len(word) + 1):
+                        new.append(min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c)))
+                    if new_met >= 0 or min(new) <= most:
+                        stack.append((child, at, new_met, new, depth + 1))
+        return out
+
+    def shortened(self, key: str) -> set[int]:
+        """Entries whose words but the last are the start of ``key`` and whose last word the rest of it stands for."""
+        out: set[int] = set()
+        whole = [(self.names, 0)]  # met letter by letter so far
+        while whole:
+            node, at = whole.pop()
+            if at < len(key) and (child := node.get(key[at])):
+                whole.append((child, at + 1))
+            if (after := node.get(" ")) is None or not 0 < at < len(key):
+                continue
+            whole.append((after, at))
+            last = [(after, at, True)]
+            while last:
+                inner, met, first = last.pop()
+                for c, child in inner.items():
+                    if c == "":
+                        if met == len(key):
+                            out |= child
+                    elif c != " " and not (first and c != key[at]):
+                        last.append((child, met + (met < len(key) and c == key[met]), False))
+        return out
+
+
+def resolve(trie: Trie, value: str) -> tuple[int, set[int]]:
+    """(level, entries) of a value: 0 for paths that are it, 1 to 3 for edits, 9 for abbreviations; (99, none) without a hit."""
+    readings = [w for w in bare(value) if w]
+    keys = ["".join(w) for w in readings]
+    if not keys or min(map(len, keys)) > trie.longest + allowance(1 << 30, False):
+        return 99, set()
+    if exact := set().union(*map(trie.exact, keys)):
+        return 0, exact
     best: dict[int, int] = {}
-    for words in readings:
-        best |= dict.fromkeys(trie.exact("".join(words)), 0)
-    if best:
-        return (next(iter(best)), 0) if len(best) == 1 else (NO_ENTRY, -1)
-    for words in readings:
-        key = "".join(words)
-        if not key:
-            continue
+    for key in keys:
         code = bool(_CODE.match(key))
         for entry, d in trie.search(key, 0 if code else allowance(len(key) + 2, False), by_length=True).items():
             best[entry] = min(best.get(entry, d), d)
-    if not best:
-        for words in readings:
-            best |= dict.fromkeys(abbreviated(trie, words), 1)
-    if not best:
-        return NO_ENTRY, -1
-    least = min(best.values())
-    nearest = [e for e, d in best.items() if d == least]
-    return (nearest[0], least) if len(nearest) == 1 else (NO_ENTRY, -1)
+    if best:
+        least = min(best.values())
+        return least, {e for e, d in best.items() if d == least}
+    short = set().union(*map(trie.abbreviated, readings), *map(trie.shortened, keys))
+    return (9, short) if short else (99, set())
 
 
 def build(entries: list[tuple[int, str, list[str]]]) -> dict[str, Trie]:
@@ -196,47 +229,60 @@ def build(entries: list[tuple[int, str, list[str]]]) -> dict[str, Trie]:
 
 
 def map_values(values: DataFrame, field: str, text: str, reference: DataFrame, carry: list[str], block_entries: int = 50_000, remember: int = 200_000) -> DataFrame:
-    """Columns ``carry``, entry_id and distance of each value of ``text`` that is neither NULL nor blank.
+    """Columns ``carry``, entry_id and level of each value of ``text`` that is neither NULL nor blank.
 
     ``reference`` has (entry_id, field_key, canonical, aliases).  ``remember`` bounds the values a worker keeps results of.
     """
     names = F.concat(F.array("canonical"), F.coalesce(F.expr("transform(filter(aliases, a -> a.text is not null), a -> a.text)"), F.array().cast("array<string>")))
-    rows = reference.filter("entry_id is not null and canonical is not null").select("entry_id", "field_key", names.alias("names"))
+    rows = reference.filter("entry_id is not null and canonical is not null").select(F.col("entry_id").cast("long").alias("entry_id"), "field_key", names.alias("names"))
     blank = r"^[\s\p{Z}\p{Cf}]*$"
     wanted = values.filter(F.col(text).isNotNull() & ~F.col(text).rlike(blank) & F.col(field).isNotNull()).select(*carry, F.col(field).alias("__field"), F.col(text).alias("__text"))
-    schema = wanted.select(*carry, F.lit(0).cast("long").alias("entry_id"), F.lit(0).alias("distance")).schema
-
-    def search(block: list[tuple[int, str, list[str]]]) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tries, memory = build(block), {}
-            for batch in batches:
-                hits = []
-                for f, t in zip(batch["__field"], batch["__text"], strict=True):
-                    hit = memory.get((f, t))
-                    if hit is None:
-                        hit = resolve(tries[f], t) if f in tries else (NO_ENTRY, -1)
-                        if len(memory) < remember:
-                            memory[f, t] = hit
-                    hits.append(hit)
-                out = batch[carry].copy()
-                out["entry_id"] = pd.Series([h[0] for h in hits], index=out.index, dtype="int64")
-                out["distance"] = pd.Series([h[1] for h in hits], index=out.index, dtype="int32")
-                yield out
-
-        return wanted.mapInPandas(run, schema)
-
-    blocks: list[list[tuple[int, str, list[str]]]] = [[]]
-    for row in rows.toLocalIterator():
-        if len(blocks[-1]) >= block_entries:
-            blocks.append([])
-        blocks[-1].append((row["entry_id"], row["field_key"], list(row["names"])))
-    if len(blocks) == 1:
-        return search(blocks[0])
-    found = reduce(DataFrame.unionByName, map(search, blocks))
-    nearest = Window.partitionBy(*carry).orderBy(_order())
-    ranked = found.withColumn("__rank", F.rank().over(nearest)).filter("__rank = 1")
-    return ranked.groupBy(*carry).agg(F.when(F.count_distinct("entry_id") == 1, F.first("entry_id")).otherwise(F.lit(NO_ENTRY)).alias("entry_id"), F.first("distance").alias("distance"))
-
-
-def _order() -> Column:
-    return F.when(F.col("entry_id") == NO_ENTRY, F.lit(2**30)).otherwise(F.col("distance"))
+    schema = wanted.select(*carry, F.lit(0).cast("long").alias("entry_id"), F.lit(0).alias("level")).schema
+    n = rows.count()
+    if n > block_entries:
+        return _in_blocks(wanted, rows, carry, -(-n // block_entries))
+    listed = [(r["entry_id"], r["field_key"], list(r["names"])) for r in rows.collect()]  # at most block_entries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries, memory = build(listed), {}
+        for batch in batches:
+            hits = []
+            for f, t in zip(batch["__field"], batch["__text"], strict=True):
+                hit = memory.get((f, t))
+                if hit is None:
+                    level, entries = resolve(tries[f], t) if f in tries else (99, set())
+                    hit = (next(iter(entries)) if len(entries) == 1 else NO_ENTRY, level)
+                    if len(memory) < remember:
+                        memory[f, t] = hit
+                hits.append(hit)
+            out = batch[carry].copy()
+            out["entry_id"] = pd.Series([h[0] for h in hits], index=out.index, dtype="int64")
+            out["level"] = pd.Series([h[1] for h in hits], index=out.index, dtype="int32")
+            yield out
+
+    return wanted.mapInPandas(run, schema)
+
+
+def _in_blocks(wanted: DataFrame, rows: DataFrame, carry: list[str], blocks: int) -> DataFrame:
+    """The same for a list that stays distributed: every block of it against every part of the distinct values."""
+    distinct = checkpoints.cut(wanted.select("__field", "__text").distinct())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = F.pmod(F.xxhash64("__field", "__text"), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")
+    left = distinct.withColumn("split", split).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("block", block).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def search(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        tries = build([(e, f, list(n)) for e, f, n in zip(entries["entry_id"], entries["field_key"], entries["names"], strict=True)]) if len(values) else {}
+        out = []
+        for f, t in zip(values["__field"], values["__text"], strict=True):
+            level, found = resolve(tries[f], t) if f in tries else (99, set())
+            out.extend((f, t, level, e) for e in sorted(found)[:2] or [NO_ENTRY])  # two show a tie
+        return pd.DataFrame(out, columns=["__field", "__text", "level", "entry_id"])
+
+    hits = left.groupBy("block", "split").cogroup(right.groupBy("block", "split")).applyInPandas(search, "__field string, __text string, level int, entry_id long")
+    levels = hits.groupBy("__field", "__text", "level").agg(F.min("entry_id").alias("low"), F.max("entry_id").alias("high"))
+    least = levels.groupBy("__field", "__text").agg(F.min(F.struct("level", "low", "high")).alias("hit"))
+    entry = F.when(F.col("hit.low") == F.col("hit.high"), F.col("hit.low")).otherwise(F.lit(NO_ENTRY).cast("long"))
+    resolved = least.select("__field", "__text", entry.alias("entry_id"), F.col("hit.level").alias("level"))
+    return wanted.join(resolved, ["__field", "__text"]).select(*carry, "entry_id", "level")

@@ -212,6 +212,49 @@ def test_trie_equals_brute_force():
         assert trie.search(key, 2) == want
 
 
+def stands(short, word):
+    letters = iter(word)
+    return bool(short) and len(short) <= len(word) and short[0] == word[0] and all(c in letters for c in short)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_abbreviation_edges_equal_brute_force():
+    r = random.Random(13)
+    make = lambda: ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 3))]
+    names = {tuple(make()): i for i in range(80)}
+    trie = canonical.Trie()
+    for words, i in names.items():
+        node = trie.names
+        for c in " ".join(words):
+            node = node.setdefault(c, {})
+        node.setdefault("", set()).add(i)
+    for _ in range(400):
+        words = make()
+        key = "".join(words)
+        want = {i for n, i in names.items() if len(n) == len(words) > 1 and all(stands(w, x) or levenshtein(w, x) <= canonical.allowance(len(x), False) for w, x in zip(words, n, strict=True))}
+        assert trie.abbreviated(words) == want
+        assert trie.shortened(key) == {i for n, i in names.items() if len(n) > 1 and key.startswith("".join(n[:-1])) and stands(key[len("".join(n[:-1])) :], n[-1])}
+
+
+def test_blocks_of_the_list_change_nothing(spark):
+    r = random.Random(14)
+    names = ["Aobanotoga", "Aobanotogb", "Aobanotxgz", *{"".join(r.choice("abcd") for _ in range(r.randint(5, 9))) + r.choice(["", " works", " trading"]) for _ in range(40)}]
+    reference = spark.createDataFrame([(i, "city", n, None) for i, n in enumerate(names)], "entry_id long, field_key string, canonical string, aliases array<struct<field_key:string,text:string>>")
+    typed = ["Aobanotoge", *("".join(c for c in r.choice(names) if r.random() > 0.12) for _ in range(150))]
+    values = spark.createDataFrame(list(enumerate(typed)), "k int, text string").withColumn("field", F.lit("city"))
+    got = [sorted(map(tuple, canonical.map_values(values, "field", "text", reference, ["k"], block_entries=b).collect())) for b in (50_000, 20, 2)]
+    assert got[0] == got[1] == got[2] and got[0][0] == (0, -1, 1) and len(got[0]) == len([t for t in typed if t.strip()])
+
+
 def test_values_meet_entries(spark):
     reference = spark.createDataFrame([(1, "city", "Aobanotoge", [("city", "XLWM6")]), (2, "city", "鷺碧浜市", None), (3, "brand", "Dolibextek Instruments", []), (4, "job", "Quality Assurance Analyst", [])], "entry_id long, field_key string, canonical string, aliases array<struct<field_key:string,text:string>>")
     cases = [("city", "AOBANOTOGE", 1), ("city", "Aobanotuge", 1), ("city", "xlwm6", 1), ("city", "xlwm7", -1), ("city", "City of Aobanotoge", 1), ("city", "鷺碧浜", 2), ("brand", "Instruments, Dolibextek", 3), ("brand", "Dolibextek Instr.", 3), ("job", "QA Analyst", 4), ("job", "Analyst, Quality Assurance", 4), ("city", "unknown", -1), ("none", "x", -1), ("city", "y" * 5000, -1), ("city", "Аobanotoge", 1)]
