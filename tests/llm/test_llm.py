@@ -102,6 +102,14 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaked(d.limit(0), e).count() == 0 and leaks.leaked(d, e.limit(0)).count() == 0
 
 
+def test_alignment_pays_for_edits():
+    codes = lambda t: leaks.reduced(t)[0]
+    item = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for text, cost in ((item, 0), (item.replace("m", ""), 1), (item.replace("m", "mx"), 1), (item.replace("m", "9"), 1), (item.replace("mno", "xyz"), 3), (item.replace("fg", "").replace("t", "tq"), 3)):
+        runs = leaks.runs_of(codes("zz " + text + " zz"), codes(item), -2, 6)
+        assert [leaks.aligned(runs, e, len(item)) for e in range(5)] == [e >= cost for e in range(5)], text
+
+
 # truncation
 
 
