@@ -11,7 +11,9 @@ Closing lines (signatures, departments, "end of document") are learned: an unter
 that are not significant, enough different texts end with it, set against how often the corpus has paragraphs that start
 with it and go on.  Counts cover all documents; digits are read as one figure.
 
-Everything is built-in expressions.  What is shuffled is one small row per document and hashes of paragraph heads.
+Everything is built-in expressions.  The texts are read twice: once for one narrow row per document, which is written and from
+which everything else is made, and once for the paragraphs' heads, of which only those meet an aggregation that a candidate closing line
+starts with (hashes of bounded number are broadcast after a count, more are joined by shuffle).
 
 Defined results: NULL, empty and blank texts (white space and format characters only) are no cases; copies of a cut
 text are cases; NULL sources form one source; repeated rows count as rows.
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlane.sources import checkpoints
+
 # What closes a sentence, forms of closing lines, and abbreviations that end with a full stop.
 _CLOSED = r"[.!?。！？．｡][)）\]\"”’'」』»]*$"
 _MARKED = r"(\.\.\.|…|\[\.\.\.\]|\(\.\.\.\))$"
@@ -39,8 +43,15 @@ _FORMS = "|".join((
 _DATED = r", ?(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}年\d{1,2}月\d{1,2}日)$"
 #: White space and format characters, trimmed from the end without a pattern over the whole text.
 _BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\xad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
-#: Lengths at which paragraph heads are counted.
-HEADS = (2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 64)
+
+
+def head_lengths(longest: int) -> list[int]:
+    """Lengths at which paragraph heads are counted: each a third longer than the last, up to the longest closing line."""
+    out, k = [], 2
+    while k <= max(longest, 2):
+        out.append(k)
+        k = max(k + 1, k * 4 // 3)
+    return out
 
 
 def _figures(text: Column) -> Column:
@@ -64,9 +75,9 @@ def endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", so
         closed.alias("closed"),
         (closed & ~is_row & F.col("line").rlike(_ABBREVIATION) & (F.size(F.split("line", " ")) > 5)).alias("short_form"),
         # surely cut: part of a table row, a lost character, a mark, or an open sentence behind a closed one
-        (~closed & (is_row | lost | F.col("line").rlike(r"[.!?] \S|[。！？].") | (F.length("line") > 80))).alias("surely"),
+        (~closed & (is_row | lost | F.col("line").rlike(r"[.!?] \S|[。！？]."))).alias("surely"),
         F.col("line").rlike(_FORMS).alias("form"),
-        F.when(~closed & ~is_row & (F.length("line") <= 80), _figures(F.regexp_replace("line", _DATED, ""))).alias("tail"),
+        F.when(~closed & ~is_row, _figures(F.regexp_replace("line", _DATED, ""))).alias("tail"),
     )
 
 
@@ -92,42 +103,48 @@ def significant_lengths(ends: DataFrame, reach: int = 40, rate: float = 0.001, l
     return passed.withColumn("last", F.max("ok").over(tested)).filter(F.col("rank") <= F.col("last")).select("source", "measure", "length", "n", "risk", "mean")
 
 
-def _heads(documents: DataFrame, text: str) -> DataFrame:
-    """(head, going_on): hash of each paragraph head of the lengths HEADS and the number of terminated paragraphs that go on behind it."""
+def _going_on(documents: DataFrame, text: str, heads: DataFrame, lengths: list[int], most_broadcast: int) -> DataFrame:
+    """(head, going_on): of each hash of ``heads`` the number of terminated paragraphs that start with it and go on."""
     paragraph = documents.filter(F.col(text).isNotNull()).select(F.explode(F.split(text, r"\n")).alias("p")).filter(F.col("p").rlike(r"[.!?。！？]$|[.!?] \S|[。！？].") & ~F.col("p").startswith("|"))
-    head = _figures(F.substring("p", 1, max(HEADS) + 1))
-    cuts = F.filter(F.transform(F.array(*map(F.lit, HEADS)), lambda k: F.when(F.length(head) > k, F.xxhash64(F.substring(head, F.lit(1), k), k))), lambda h: h.isNotNull())
-    return paragraph.select(F.explode(cuts).alias("head")).groupBy("head").agg(F.count("*").alias("going_on"))
+    begun = paragraph.select(_figures(F.substring("p", 1, max(lengths) + 1)).alias("begun"))
+    cuts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k < F.length("begun")), lambda k: F.xxhash64(F.substring("begun", F.lit(1), k), k))
+    every = begun.select(F.explode(cuts).alias("head"))
+    wanted = heads.filter("head is not null").select("head").distinct()
+    if wanted.count() <= most_broadcast:
+        return every.join(F.broadcast(wanted), "head").groupBy("head").agg(F.count("*").alias("going_on"))
+    return every.groupBy("head").agg(F.count("*").alias("going_on")).join(wanted, "head")
 
 
-def cut_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", reach: int = 40, rate: float = 0.001, closing_share: float = 0.004, closing_least: int = 3) -> DataFrame:
+def cut_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", reach: int = 40, rate: float = 0.001, closing_share: float = 0.004, closing_least: int = 3,
+              most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, source) of each cut document.
 
     A last line closes texts if at least ``closing_least`` different texts end with it at ordinary lengths, and these
-    are at least ``closing_share`` of the paragraphs that start with it and go on.
+    are at least ``closing_share`` of the paragraphs that start with it and go on.  ``most_broadcast`` bounds the hashes (8 bytes) that are
+    broadcast; it changes the plan only.
     """
-    ends = endings(documents, doc_id, text, source)
-    lengths = significant_lengths(ends, reach, rate)
+    ends = checkpoints.cut(endings(documents, doc_id, text, source))
+    limits = significant_lengths(ends, reach, rate)
     # a limit is a (source, measure, length); few survive the test
-    at = lengths.groupBy("source").agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("c"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("b"))
+    at = limits.groupBy("source").agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("c"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("b"))
     marked = ends.filter("not closed or short_form").join(at, "source", "left")
-    marked = marked.withColumn("at_limit", F.coalesce(F.array_contains("c", F.col("chars")) | F.array_contains("b", F.col("bytes")), F.lit(False))).drop("c", "b", "chars", "bytes")
-    tails = marked.filter(F.col("tail").isNotNull() & ~F.col("surely")).groupBy("tail").agg(
-        F.count_distinct(F.when(~F.col("at_limit"), F.col("same"))).alias("ending"))
-    cut = F.array_max(F.filter(F.array(*map(F.lit, HEADS)), lambda k: k <= F.length("tail")))
+    marked = checkpoints.cut(marked.withColumn("at_limit", F.coalesce(F.array_contains("c", F.col("chars")) | F.array_contains("b", F.col("bytes")), F.lit(False))).drop("c", "b", "chars", "bytes"))
+    tails = marked.filter(F.col("tail").isNotNull() & ~F.col("surely")).groupBy("tail").agg(F.count_distinct(F.when(~F.col("at_limit"), F.col("same"))).alias("ending"))
+    tails = checkpoints.cut(tails.filter(F.col("ending") >= closing_least))  # others close nothing, whatever goes on behind them
+    lengths = head_lengths(tails.agg(F.max(F.length("tail"))).first()[0] or 0)
+    cut = F.array_max(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("tail")))
     tails = tails.withColumn("head", F.when(cut.isNotNull(), F.xxhash64(F.substring("tail", F.lit(1), cut), cut)))
-    known = tails.join(_heads(documents, text), "head", "left").withColumn("going_on", F.coalesce("going_on", F.lit(0)))
-    closing = (F.col("ending") >= closing_least) & (F.col("ending") >= F.col("going_on") * closing_share)
+    known = tails.join(_going_on(documents, text, tails, lengths, most_broadcast), "head", "left").withColumn("going_on", F.coalesce("going_on", F.lit(0)))
+    closing = F.col("ending") >= F.col("going_on") * closing_share
     always = (F.col("ending") >= 5 * closing_least) & (F.col("ending") >= F.col("going_on"))
     known = known.select("tail", closing.alias("closing"), always.alias("always"))
     judged = marked.join(known, "tail", "left")
     closes = F.coalesce(F.col("closing"), F.lit(False)) | F.col("form")
     is_cut = F.when(F.col("closed"), F.col("short_form") & F.col("at_limit")).otherwise(
         F.col("surely") | ~closes | (F.col("at_limit") & ~F.coalesce(F.col("always"), F.lit(False)) & ~F.col("form")))
-    judged = judged.withColumn("is_cut", is_cut)
     # a copy of a cut text is a case wherever it is
-    flagged = judged.filter("is_cut").select("same").distinct()
-    return judged.join(flagged, "same", "left_semi").select("doc_id", "source").distinct()
+    flagged = judged.filter(is_cut).select("same").distinct()
+    return marked.join(flagged, "same", "left_semi").select("doc_id", "source").distinct()
 
 
 def cut_rates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options: float) -> DataFrame:
