@@ -2,14 +2,18 @@
 
 The mapping is precomputed from the Unicode tables of the interpreter and compiled into a trie over code points:
 single characters (full-width, half-width and other compatibility forms, invisible characters, spaces) and
-clusters (a letter and the marks coded apart from it, half-width kana with its voicing mark).  Conflicts are
-checked when it is built: no source may have two images, and no image may contain a source.  One pass over the
-grapheme clusters takes the longest source at each place; words that mix Latin with Greek or Cyrillic letters
-then have their look-alikes replaced by the letters of the word's main script.
+clusters (a letter and the marks coded apart from it in any order that means the same, half-width kana with its voicing
+mark).  Conflicts are checked when it is built: no source may have two images, and no image may contain a source.
+
+The transducer goes over a text once.  At each place it takes the trie's longest source; each image letter joins the letter before
+it where both have a composed form, so a mark finds its letter across what was invisible between them.  At the end of
+a word that mixes Latin with Greek or Cyrillic letters, the word is written in one script: in Latin if all its other letters look
+like Latin ones, else in the other script if all its Latin letters look like that one's, else in Latin with the rest romanised.
+Sources have at most a few characters, so the time is linear in the text.
 
 Defined results: NULL stays NULL and empty stays empty; tab and line ends, ideographs (compatibility ideographs
 included) and ordinary kana are never changed; a letter with a mark for which no composed letter exists is
-plain; mixed words whose letters have no look-alike are reported and left as they are.
+plain; the plain form of any text is in plain form.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,7 +35,11 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχϲϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXaikvoptuxcj"
 CYRILLIC = "АВЕЅІЈКМНОРСТУХасеіјорѕухһԛԝѵЁёЇї"
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXaceijopsyxhqwvËëÏï"
-LOOK_ALIKES = dict(zip(GREEK + CYRILLIC, GREEK_AS_LATIN + CYRILLIC_AS_LATIN, strict=True))
+# Latin letters for the names of Greek and Cyrillic letters; other letters are written by their name.
+ROMAN = dict(x.split(":") for x in (
+    "alpha:a beta:b gamma:g delta:d epsilon:e zeta:z eta:i theta:th iota:i kappa:k lamda:l mu:u nu:n xi:x omicron:o pi:p rho:r sigma:s tau:t upsilon:y phi:f chi:ch psi:ps omega:o "
+    "a:a be:b ve:v ghe:g de:d ie:e io:e zhe:zh ze:z i:i ka:k el:l em:m en:n o:o pe:p er:r es:s te:t u:u ef:f ha:h tse:ts che:ch sha:sh shcha:shch sign:j yeru:y e:e yu:yu ya:ya yi:i je:j lje:lj nje:nj dje:dj gje:g kje:k dzhe:dz"
+).split())
 
 #: Invisible characters that are not of category Cf.
 _UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x180E), *range(0xFE00, 0xFE10)}
@@ -39,6 +48,7 @@ _LETTER = {"latin": "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿⱠ-Ɀ", "greek": "Ͱ-ͳͶ
 _MARK = "̀-ͯ"
 WORD = re.compile(f"[{''.join(_LETTER.values())}{_MARK}]+")
 _LATIN, _GREEK, _CYRILLIC = (re.compile(f"[{x}]") for x in _LETTER.values())
+_OTHER = re.compile(f"[{_LETTER['greek']}{_LETTER['cyrillic']}]")
 #: Texts without any other character are in plain form; for the scan, so that most rows never reach Python.
 #: Greek and Cyrillic are left out, as words may mix them with Latin.
 SURELY_PLAIN = r"^[\t\n\r -~¡-§©«¬®°±¶·»¿-ÿĀ-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•‰‹›₠-₧€、-〃〇-〒〓々ぁ-ゖゝゞァ-ヾ一-鿿]*$"
@@ -80,9 +90,13 @@ def mapping() -> dict[str, str]:
     for apart, c in composed:
         image = out.get(c, c)  # what is composed may itself be a compatibility form
         put(apart, image)
-        for k in range(2, len(apart)):  # a letter composed in part
-            if (part := unicodedata.normalize("NFC", apart[:k]) + apart[k:]) != c:
-                put(part, image)
+        for marks in permutations(apart[1:]):  # marks that don't meet may stand in any order
+            if unicodedata.normalize("NFD", other := apart[0] + "".join(marks)) != apart:
+                continue
+            put(other, image)
+            for k in range(2, len(other)):  # a letter composed in part
+                if (part := unicodedata.normalize("NFC", other[:k]) + other[k:]) != c:
+                    put(part, image)
     for code in range(0xFF66, 0xFF9E):  # half-width kana with a voicing mark
         for mark in ("ﾞ", "ﾟ", "゙", "゚"):
             if len(image := unicodedata.normalize("NFKC", chr(code) + mark)) == 1:
@@ -94,56 +108,110 @@ def mapping() -> dict[str, str]:
 
 
 @functools.lru_cache(maxsize=1)
-def _compiled() -> tuple[dict[str, str], re.Pattern[str]]:
+def look_alikes() -> dict[str, dict[str, str]]:
+    """Script -> letter of another script -> the letter of this script that looks like it, with the same marks."""
+    out: dict[str, dict[str, str]] = {"latin": {}, "greek": {}, "cyrillic": {}}
+    bases = {"greek": dict(zip(GREEK, GREEK_AS_LATIN, strict=True)), "cyrillic": dict(zip(CYRILLIC, CYRILLIC_AS_LATIN, strict=True))}
+    for script, known in bases.items():
+        for code in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+            apart = unicodedata.normalize("NFD", chr(code))
+            if chr(code) not in mapping() and (base := known.get(chr(code), known.get(apart[0]))):
+                image = base if chr(code) in known else unicodedata.normalize("NFC", base + apart[1:])
+                out["latin"][chr(code)] = image
+        out[script] = {image: letter for letter, image in out["latin"].items() if _OTHER.match(letter) and (_GREEK if script == "greek" else _CYRILLIC).match(letter) and len(image) == 1}
+    if conflict := [x for x in out["latin"].values() if any(_OTHER.match(c) for c in x)]:
+        raise MappingConflict(f"look-alikes that are no Latin letters: {conflict}")
+    return out
+
+
+@functools.lru_cache(maxsize=4096)
+def romanised(letter: str) -> str:
+    """Latin letters for a Greek or Cyrillic letter that looks like none."""
+    name = unicodedata.name(letter, "x").split(" WITH ")[0].split(" ")[-1].lower()
+    image = ROMAN.get(name, re.sub("[^a-z]", "", name) or "x")
+    return image.capitalize() if letter.isupper() else image
+
+
+@functools.lru_cache(maxsize=1)
+def _compiled() -> tuple[dict, dict[str, str], re.Pattern[str], re.Pattern[str]]:
+    """(trie, pairs that join, stretches in which something may change, what a stretch without is)."""
     table = mapping()
-    singles = [s for s in table if len(s) == 1]
-    first = sorted({s[0] for s in table if len(s) > 1})
-    later = sorted({x for s in table if len(s) > 1 for x in s[1:]})
-    klass = lambda xs: "".join(f"\\U{ord(x):08x}" for x in xs)
-    return table, re.compile(f"[{klass(first)}][{klass(later)}]+|[{klass(singles)}]")
-
-
-def _cluster(match: re.Match[str]) -> str:
-    """Image of a cluster: at each place the longest source, a found image being the start of the next source."""
-    table, _ = _compiled()
-    text, out, at = match.group(), "", 0
-    while at < len(text):
-        for end in range(len(text), at, -1):
-            if (piece := table.get(text[at:end])) is not None:
-                break
+    trie: dict = {}
+    for source, image in table.items():
+        node = trie
+        for c in source:
+            node = node.setdefault(c, {})
+        node[""] = image
+    pairs = {s: image for s, image in table.items() if len(s) == 2}
+    klass = lambda xs: "".join(f"\\U{ord(x):08x}" for x in sorted(xs))
+    changing = klass({s for s in table if len(s) == 1} | {x for s in table for x in s[1:]}) + _LETTER["greek"] + _LETTER["cyrillic"]
+    inside = changing + klass({s[0] for s in table}) + _LETTER["latin"] + _MARK
+    return trie, pairs, re.compile(f"[{inside}]+"), re.compile(f"[{changing}]")
+
+
+def _push(out: list[str], image: str, pairs: dict[str, str]) -> None:
+    """Append an image, letter by letter; a letter or mark joins the one before it that it has a composed form with."""
+    for c in image:
+        at = len(out) - 1
+        if own := unicodedata.combining(c):  # marks of lower classes may stand between a mark and its letter
+            while at >= max(0, len(out) - 4) and 0 < unicodedata.combining(out[at]) < own:
+                at -= 1
+        if at >= 0 and (joined := pairs.get(out[at] + c)) is not None:
+            out[at : at + 1] = joined
         else:
-            piece, end = text[at], at + 1
-        at = end
-        if out and piece and (joined := table.get(out[-1] + piece)) is not None:
-            out = out[:-1] + joined
-        else:
-            out += piece
-    return out
+            out.append(c)
+
+
+def _stretch(match: re.Match[str]) -> str:
+    trie, pairs, _, changing = _compiled()
+    text = match.group()
+    if not changing.search(text):
+        return text
+    out: list[str] = []
+    at, n = 0, len(text)
+    while at < n:
+        node, end, image, stop = trie, at, text[at], at + 1
+        while end < n and (node := node.get(text[end])) is not None:
+            end += 1
+            if "" in node:
+                image, stop = node[""], end
+        _push(out, image, pairs)
+        at = stop
+    done = "".join(out)
+    return WORD.sub(_unmix, done) if _OTHER.search(done) and _LATIN.search(done) else done
 
 
 def is_mixed(word: str) -> bool:
-    return bool(_LATIN.search(word)) and bool(_GREEK.search(word) or _CYRILLIC.search(word))
+    return bool(_LATIN.search(word)) and bool(_OTHER.search(word))
 
 
 def _unmix(match: re.Match[str]) -> str:
     word = match.group()
-    return "".join(LOOK_ALIKES.get(x, x) for x in word) if is_mixed(word) else word
+    if not is_mixed(word):
+        return word
+    alike = look_alikes()
+    latin = alike["latin"]
+    script = None if _GREEK.search(word) and _CYRILLIC.search(word) else "greek" if _GREEK.search(word) else "cyrillic"
+    out: list[str] = []
+    if script and not all(c in latin for c in word if _OTHER.match(c)) and all(c in alike[script] for c in word if _LATIN.match(c)):
+        images = (alike[script].get(c, c) for c in word)
+    else:
+        images = (latin.get(c) or (romanised(c) if _OTHER.match(c) else c) for c in word)
+    for image in images:
+        _push(out, image, _compiled()[1])
+    return "".join(out)
 
 
 def plain(text: str | None) -> str | None:
     """The plain form of a text."""
     if text is None or text.isascii() or _SURELY.match(text):
         return text
-    out = WORD.sub(_unmix, _compiled()[1].sub(_cluster, text))
-    # a mark may follow what was invisible or wide between it and its letter, or a letter that was a look-alike
-    return out if out == text else _compiled()[1].sub(_cluster, out)
+    return _compiled()[2].sub(_stretch, text)
 
 
 def is_plain(text: str | None) -> bool:
     """Whether a text is in plain form; NULL is."""
-    if text is None or text.isascii() or _SURELY.match(text):
-        return True
-    return not any(_cluster(m) != m.group() for m in _compiled()[1].finditer(text)) and not any(is_mixed(w) for w in WORD.findall(text))
+    return text is None or text.isascii() or bool(_SURELY.match(text)) or all(_stretch(m) == m.group() for m in _compiled()[2].finditer(text))
 
 
 @F.pandas_udf(T.StringType())

@@ -31,6 +31,23 @@ def test_plain_form(text, want):
     assert plainform.is_plain(text) == (text == want)
 
 
+def test_plain_form_is_plain_and_linear():
+    import time
+
+    r = random.Random(15)
+    letters = "abWXz" + "αβΩμά" + "дЖаёщ" + "ｱＡがé\u0301\u0323\u0302\u200b\u00ad -1漢"
+    for _ in range(3000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
+        got = plainform.plain(text)
+        assert plainform.is_plain(got) and plainform.plain(got) == got, (text, got)
+    assert plainform.plain("Xдa") == "Хда" and plainform.plain("5 µm") == "5 um" and plainform.plain("pаypаl") == "paypal"
+    assert plainform.plain("a\u0302\u0323") == plainform.plain("a\u0323\u0302") == "ậ" and plainform.plain("a\u0327\u0301") == unicodedata.normalize("NFC", "a\u0327\u0301")
+    for text in ("a" + "\u0301" * 100_000, "a\u200b" * 50_000 + "é", "x" * 100_000 + "ｱ"):
+        began = time.time()
+        plainform.plain(text), plainform.is_plain(text)
+        assert time.time() - began < 3
+
+
 def test_scan_drops_plain_texts_only(spark):
     r = random.Random(5)
     texts = ["".join(r.choice("abｱＡあé ­αа漢ー́\t") for _ in range(r.randint(0, 9))) for _ in range(400)] + EDGES
