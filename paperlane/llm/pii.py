@@ -2,7 +2,8 @@
 
 One pass over the text proposes spans of five types and lets three kinds of labelers vote on each: its form (regular
 expressions), its context (words before and behind it) and gazetteers (given names and surnames).  The gazetteers are
-learned: words that stand often enough where only names stand.  A vote is 1 (is one), -1 (is none) or 0 (no opinion).
+learned: words that stand often enough where only names stand, in their first or in their second place.  They propose spans, too: two words
+side by side in free text of which one is a known given name and the other a known surname.  A vote is 1 (is one), -1 (is none) or 0 (no opinion).
 
 The counts of vote patterns per type are all that expectation-maximisation needs: it estimates each labeler's
 reliability and the patterns' posteriors, which are the soft labels of a logistic classifier over votes, pairs of
@@ -18,6 +19,7 @@ treated alike; text of any length is read whole.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.llm.plainform import is_plain, plain
+from paperlane.llm.plainform import is_plain, plain, traced
 from paperlane.sources import checkpoints
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -58,6 +60,9 @@ NAMES = re.compile(_NAME_CUES)
 _HAS_CJK = re.compile(f"[{_CJK}]")
 #: Names that stand alone on a line, with an initial, or in figures of address.
 ALONE = re.compile(rf"(?m)^(?P<l>(?:[A-Z]\. ?)?{_CAP}(?:, ?{_CAP}| (?:[A-Z]\. ?)?{_CAP}))[.,]?$|^(?P<m>[㐀-鿿々]{{2,3}} ?[㐀-鿿々]{{2,3}})。?$")
+#: Two words of free text that gazetteers may know, and the votes of such a span before they do.  The next span may begin with the second.
+FREE = re.compile(rf"(?<![\w.'’&-])(?=({_CAP},? {_CAP})(?![\w'’&-]))|(?<![㐀-鿿々ぁ-ゖァ-ヶー])(?=([㐀-鿿々]{{1,3}} [㐀-鿿々ぁ-ゖ]{{1,3}})(?![㐀-鿿々ァ-ヶー]))")
+BY_LIST = (0, 0, 0, 0, 0, 0, 0)
 EMAIL = re.compile(r"(?ai)<?(?<![\w.+-])[a-z0-9][\w.+-]{0,60} ?(?:@|\(at\)|\[at\]|\{at\}) ?[a-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[a-z0-9-]+){1,4}")
 NUMBER = re.compile(r"(?a)(?<![\w.,¥$€#@-])(?:\+ ?\d{1,3}[ -]?|00\d{2}[ -])?\(?\d{1,6}(?:(?:[ ./-]|\)[ -]?| ?\()\d{1,8}){1,6}(?!\d|[,.-]\d)|(?<![\w.,¥$€#@-])\d{9,13}(?!\w|,\d)|(?<![A-Za-z0-9-])[A-Z]{1,2}\d{6,9}(?![A-Za-z0-9])")
 _ADDRESSES = (
@@ -83,16 +88,19 @@ _AGAINST = r"(?i)track|sendung|suivi|colis|paket|parcel|shipment|追跡|追|送
 _SHORT_END, _OPEN_END = re.compile(r"[.。:：\d]$"), re.compile(r"[a-z,] ?\d*$")
 
 
-def view(text: str) -> tuple[str, list[int]]:
-    """(text read as it was meant, line of each of its characters)."""
+def _placed(text: str) -> tuple[str, list[int], list[int]]:
+    """(text read as it was meant, line of each of its characters, place of each in its line's plain form; -1 for what joins lines)."""
     whole = is_plain(text)
     lines = [x if whole else plain(x) or "" for x in text.split("\n")]
     out: list[str] = []
     at: list[int] = []
+    places: list[int] = []
     for n, line in enumerate(lines):
         stripped = line.strip()
+        indent = len(line) - len(line.lstrip())
         out.append(stripped)
         at.extend([n + 1] * len(stripped))
+        places.extend(range(indent, indent + len(stripped)))
         if n + 1 == len(lines):
             break
         follows = lines[n + 1].strip()
@@ -100,7 +108,8 @@ def view(text: str) -> tuple[str, list[int]]:
             gap = "\n"
         elif stripped[-1] in _HYPHEN and len(stripped) > 1 and stripped[-2].isalpha() and (follows[0].islower() or (follows[0] in "0159" and follows[1:2].islower())):
             out[-1] = stripped[:-1].rstrip(_HYPHEN)
-            del at[len(at) - (len(stripped) - len(out[-1])) :]
+            if lost := len(stripped) - len(out[-1]):
+                del at[-lost:], places[-lost:]
             gap = ""
         elif _HAS_CJK.search(stripped[-6:]) and _HAS_CJK.search(follows[:12] + stripped[-12:]):
             gap = ""
@@ -108,12 +117,21 @@ def view(text: str) -> tuple[str, list[int]]:
             gap = " "
         out.append(gap)
         at.extend([n + 1] * len(gap))
-    return "".join(out), at
+        places.extend([-1] * len(gap))
+    return "".join(out), at, places
+
+
+def view(text: str) -> tuple[str, list[int]]:
+    """(text read as it was meant, line of each of its characters)."""
+    return _placed(text)[:2]
 
 
 def _shape(text: str) -> str:
-    s = re.sub(r"\d", "9", text)
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"9{5,}", "99999", s))[:24]
+    """A number's form as the classifier sees it: how it begins, its groups of digits (eight or more are one), what divides the first two."""
+    lead = "9" if text[0].isdigit() and text[0] != "0" else "a" if text[0].isalpha() else text[0] if text[0] in "+(0" else "?"
+    groups = re.findall(r"\d+", text)
+    divider = re.search(r"\d([ ./()-])", text)
+    return f"{lead}{min(len(groups), 8)}{divider.group(1) if divider else ''}"
 
 
 _ID_FORM = re.compile(r"^(\d{4}([ -])\d{4}\2\d{4}|\d{12}|\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{7})$")
@@ -137,20 +155,27 @@ def _vote(pattern: str, text: str) -> int:
     return 1 if re.search(pattern, text) else 0
 
 
+def _name_words(name: str) -> list[str]:
+    """The words of a name, as they are said: what stands behind a comma comes first."""
+    words = [w for w in re.split(r"[ ,.]+", name) if len(w) > 1]
+    return words[::-1] if "," in name and len(words) == 2 else words
+
+
 def spans(text: str) -> list[tuple[str, int, int, int, int, str, list[str], list[int]]]:
     """(type, line, last line, start, stop, shape, words, votes) of each proposed span of a text, in its view."""
     joined, at = view(text)
     found: list[tuple[str, int, int, int, int, str, list[str], list[int]]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        k = bisect.bisect_left(taken, (b, 0))  # the spans before it begin before b
+        return k == 0 or taken[k - 1][1] <= a
 
     def put(kind: str, a: int, b: int, votes: list[int], words: list[str] | None = None) -> None:
         while b > a and joined[b - 1] in " \n":
             b -= 1
         found.append((kind, at[a], at[b - 1], a, b, _shape(joined[a:b]), words or [], votes))
-        taken.append((a, b))
+        bisect.insort(taken, (a, b))
 
     if "@" in joined or "at)" in joined.lower() or "at]" in joined.lower():
         for m in EMAIL.finditer(joined):
@@ -163,7 +188,8 @@ def spans(text: str) -> list[tuple[str, int, int, int, int, str, list[str], list
         before, behind = joined[max(0, a - 28) : a], joined[m.end() : m.end() + 24]
         put("address", a, m.end(), [1, _vote(_CUES["address"][0], before), _vote(_CUES["address"][1], behind), 0, 0, 0, int(a == 0 or joined[a - 1] in "\n")])
     for m in NUMBER.finditer(joined):
-        a, b = _number_end(joined, m.start(), min([m.end(), *(x for x, _ in taken if x > m.start())]))
+        k = bisect.bisect_right(taken, (m.start(), len(joined)))
+        a, b = _number_end(joined, m.start(), min(m.end(), taken[k][0]) if k < len(taken) else m.end())
         number = joined[a:b]
         digits = sum(c.isdigit() for c in number)
         if not 7 <= digits <= 14 or _DATE.match(number) or not free(a, b):
@@ -181,14 +207,18 @@ def spans(text: str) -> list[tuple[str, int, int, int, int, str, list[str], list
         kind = m.lastgroup
         a, b = m.span(kind)
         name = m.group(kind)
-        words = [w for w in re.split(r"[ ,.]+", name) if len(w) > 1]
+        words = _name_words(name)
         if words and free(a, b):
             against = -1 if _NOT_NAME.search(name) or _FIRM.match(joined, b) else 0
             put("name", a, b, [against, 1, 0, against, 0, 0, 0], words)
     for m in ALONE.finditer(joined):
         a, b = m.span(m.lastgroup)
         if free(a, b) and not _NOT_NAME.search(joined[a:b]):
-            put("name", a, b, [-1, 0, 0, 0, 0, 0, 1], [w for w in re.split(r"[ ,.]+", joined[a:b]) if len(w) > 1])
+            put("name", a, b, [-1, 0, 0, 0, 0, 0, 1], _name_words(joined[a:b]))
+    for m in FREE.finditer(joined):
+        a, b = m.span(m.lastindex)
+        if free(a, b) and len(words := _name_words(joined[a:b])) == 2 and not _NOT_NAME.search(joined[a:b]) and not _FIRM.match(joined, b):
+            found.append(("name", at[a], at[b - 1], a, b, "", words, list(BY_LIST)))  # takes no place until the lists know it
     return found
 
 
@@ -259,34 +289,30 @@ def train(patterns: list[tuple[tuple[int, ...], str, int]], posterior: dict[tupl
     return {(v, s): float(q) for (v, s, _), q in zip(patterns, p, strict=True)}
 
 
-def _gazetteers(found: DataFrame, least: int, most: int) -> DataFrame:
-    """(word, given, surname): words that stand in ``least`` names or more, by their place in them; at most ``most``."""
-    named = found.filter("pii_type = 'name' and votes[1] = 1 and votes[3] = 0 and size(words) >= 1")
-    two = named.filter("size(words) = 2").select(F.posexplode(F.transform("words", F.lower)).alias("place", "word"))
-    one = named.filter("size(words) = 1").select(F.lit(2).alias("place"), F.lower(F.element_at("words", 1)).alias("word"))
-    counts = two.unionByName(one).groupBy("word").agg(F.count_if(F.col("place") == 0).alias("first"), F.count_if(F.col("place") == 1).alias("last"), F.count("*").alias("n"))
-    return counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).select("word", (F.col("n") >= least).alias("known"))
-
+def _gazetteers(found: DataFrame, least: int) -> DataFrame:
+    """(word, first, second): words that stand in the first or second place of ``least`` names or more; a name of one word counts for both."""
+    named = found.filter("pii_type = 'name' and votes[1] = 1 and votes[3] = 0 and size(words) between 1 and 2")
+    words = named.select(F.posexplode(F.transform("words", F.lower)).alias("place", "word"), (F.size("words") == 1).alias("alone"))
+    counts = words.groupBy("word").agg(F.count_if(F.col("alone") | (F.col("place") == 0)).alias("first"), F.count_if(F.col("alone") | (F.col("place") == 1)).alias("second"))
+    return counts.select("word", (F.col("first") >= least).alias("first"), (F.col("second") >= least).alias("second")).filter("first or second")
 
-def decided(texts: DataFrame, row_id: str, text: str, threshold: float = 0.5, least: int = 3, most: int = 100_000, shapes: int = 200) -> DataFrame:
-    """The accepted spans of all texts.
 
-    ``least`` and ``most`` bound the gazetteers, ``shapes`` the most frequent span forms that the classifier tells apart.
-    """
+def decided(texts: DataFrame, row_id: str, text: str, threshold: float = 0.5, least: int = 3) -> DataFrame:
+    """The accepted spans of all texts; a word that ``least`` names have is in the gazetteers."""
     found = checkpoints.cut(candidates(texts, row_id, text))
-    known = _gazetteers(found, least, most)
+    known = _gazetteers(found, least)
     words = found.filter("pii_type = 'name'").select("row_id", "start", "line_no", F.posexplode(F.transform("words", F.lower)).alias("place", "word"))
-    hits = words.join(known, "word", "left").groupBy("row_id", "start", "line_no").agg(
-        F.max(F.when((F.col("place") == 0) & F.col("known"), 1).otherwise(0)).alias("w0"), F.max(F.when((F.col("place") > 0) & F.col("known"), 1).otherwise(0)).alias("w1"))
+    hits = words.join(known, "word").groupBy("row_id", "start", "line_no").agg(
+        F.max(F.when((F.col("place") == 0) & F.col("first"), 1).otherwise(0)).alias("w0"), F.max(F.when((F.col("place") > 0) & F.col("second"), 1).otherwise(0)).alias("w1"))
     voted = found.join(hits, ["row_id", "start", "line_no"], "left")
     given, surname = F.coalesce("w0", F.lit(0)), F.coalesce("w1", F.lit(0))
     votes = F.concat(F.slice("votes", 1, 4), F.array(given, surname), F.slice("votes", 7, 1))
+    by_list = (F.col("pii_type") == "name") & (F.col("votes") == F.array(*map(F.lit, BY_LIST)))
+    voted = voted.filter(~by_list | (given + surname == 2))  # what only lists propose, both must know
     voted = voted.withColumn("votes", F.when(F.col("pii_type") == "name", votes).otherwise(F.col("votes"))).drop("w0", "w1")
     form = F.when(F.col("pii_type").isin("name", "email", "address"), F.lit("")).otherwise(F.col("shape"))
     voted = checkpoints.cut(voted.withColumn("shape", form))
-    frequent = [r["shape"] for r in voted.groupBy("shape").count().orderBy(F.desc("count"), "shape").limit(shapes).collect()]
-    voted = voted.withColumn("shape", F.when(F.col("shape").isin(frequent), F.col("shape")).otherwise(F.lit("other")))
-    counts = voted.groupBy("pii_type", "votes", "shape").count().collect()  # at most 3^7 patterns by type and shape
+    counts = voted.groupBy("pii_type", "votes", "shape").count().collect()  # at most 3^7 patterns by type and 240 forms
     accepted = []
     for kind in TYPES:
         rows = [(tuple(r["votes"]), r["shape"], r["count"]) for r in counts if r["pii_type"] == kind]
@@ -307,24 +333,30 @@ def found_lines(texts: DataFrame, row_id: str, text: str, **options: float) -> D
 
 
 def replaced(text: str, accepted: list[tuple[str, int, int]]) -> str:
-    """A text with placeholders ``[TYPE]`` for spans (type, start, stop) of its view; characters outside stay as they are."""
-    joined, at = view(text)
+    """A text with placeholders ``[TYPE]`` for spans (type, start, stop) of its view; characters outside stay as they are.
+
+    Spans that overlap one before them are part of it.
+    """
+    _, at, places = _placed(text)
     lines = text.split("\n")
-    for kind, start, stop in sorted(accepted, key=lambda s: -s[1]):
-        pieces: dict[int, str] = {}
-        for c, n in zip(joined[start:stop], at[start:stop], strict=True):
-            pieces[n] = pieces.get(n, "") + c
-        for k, (n, piece) in enumerate(sorted(pieces.items())):
-            line, mark = lines[n - 1], f"[{kind.upper()}]" if k == 0 else ""
-            where = line.rfind(piece.strip())
-            if where >= 0:
-                lines[n - 1] = line[:where] + mark + line[where + len(piece.strip()) :]
-            else:  # the item is there in other characters: find it by its plain form
-                for a in range(len(line)):
-                    b = next((b for b in range(a + 1, len(line) + 1) if plain(line[a:b]) == piece.strip()), None)
-                    if b:
-                        lines[n - 1] = line[:a] + mark + line[b:]
-                        break
+    edits: dict[int, list[tuple[int, int, str]]] = {}
+    end = 0
+    for kind, start, stop in sorted(accepted, key=lambda s: (s[1], -s[2])):
+        if start < end:
+            continue
+        end = stop
+        parts: dict[int, list[int]] = {}
+        for n, place in zip(at[start:stop], places[start:stop], strict=True):
+            if place >= 0:
+                parts.setdefault(n, []).append(place)
+        for k, (n, own) in enumerate(sorted(parts.items())):
+            line, spans = traced(lines[n - 1])
+            # an item that goes on in the next line takes the hyphen at the line's end with it
+            last = len(line.rstrip()) - 1 if k + 1 < len(parts) else own[-1]
+            edits.setdefault(n, []).append((spans[own[0]][0], spans[last][1], f"[{kind.upper()}]" if k == 0 else ""))
+    for n, found in edits.items():
+        for a, b, mark in sorted(found, reverse=True):
+            lines[n - 1] = lines[n - 1][:a] + mark + lines[n - 1][b:]
     return "\n".join(lines)
 
 

@@ -149,7 +149,10 @@ def _compiled() -> tuple[dict, dict[str, str], re.Pattern[str], re.Pattern[str]]
     return trie, pairs, re.compile(f"[{inside}]+"), re.compile(f"[{changing}]")
 
 
-def _push(out: list[str], image: str, pairs: dict[str, str]) -> None:
+Span = tuple[int, int]
+
+
+def _push(out: list[str], spans: list[Span], image: str, span: Span, pairs: dict[str, str]) -> None:
     """Append an image, letter by letter; a letter or mark joins the one before it that it has a composed form with."""
     for c in image:
         at = len(out) - 1
@@ -157,17 +160,18 @@ def _push(out: list[str], image: str, pairs: dict[str, str]) -> None:
             while at >= max(0, len(out) - 4) and 0 < unicodedata.combining(out[at]) < own:
                 at -= 1
         if at >= 0 and (joined := pairs.get(out[at] + c)) is not None:
+            spans[at : at + 1] = [(spans[at][0], span[1])] * len(joined)
             out[at : at + 1] = joined
         else:
             out.append(c)
+            spans.append(span)
 
 
-def _stretch(match: re.Match[str]) -> str:
-    trie, pairs, _, changing = _compiled()
-    text = match.group()
-    if not changing.search(text):
-        return text
+def _transduced(text: str) -> tuple[list[str], list[Span]]:
+    """The letters of a stretch's plain form, and the part of the stretch that each comes from."""
+    trie, pairs, _, _ = _compiled()
     out: list[str] = []
+    spans: list[Span] = []
     at, n = 0, len(text)
     while at < n:
         node, end, image, stop = trie, at, text[at], at + 1
@@ -175,31 +179,46 @@ def _stretch(match: re.Match[str]) -> str:
             end += 1
             if "" in node:
                 image, stop = node[""], end
-        _push(out, image, pairs)
+        _push(out, spans, image, (at, stop), pairs)
         at = stop
     done = "".join(out)
-    return WORD.sub(_unmix, done) if _OTHER.search(done) and _LATIN.search(done) else done
+    if not (_OTHER.search(done) and _LATIN.search(done)):
+        return out, spans
+    whole: list[str] = []
+    places: list[Span] = []
+    at = 0
+    for word in WORD.finditer(done):
+        if not is_mixed(word.group()):
+            continue
+        whole += out[at : word.start()]
+        places += spans[at : word.start()]
+        letters: list[str] = []
+        where: list[Span] = []
+        for k, image in enumerate(_one_script(word.group()), word.start()):
+            _push(letters, where, image, spans[k], pairs)
+        whole += letters
+        places += where
+        at = word.end()
+    return whole + out[at:], places + spans[at:]
+
+
+def _stretch(match: re.Match[str]) -> str:
+    text = match.group()
+    return "".join(_transduced(text)[0]) if _compiled()[3].search(text) else text
 
 
 def is_mixed(word: str) -> bool:
     return bool(_LATIN.search(word)) and bool(_OTHER.search(word))
 
 
-def _unmix(match: re.Match[str]) -> str:
-    word = match.group()
-    if not is_mixed(word):
-        return word
+def _one_script(word: str) -> Iterator[str]:
+    """The images of a mixed word's letters in one script."""
     alike = look_alikes()
     latin = alike["latin"]
     script = None if _GREEK.search(word) and _CYRILLIC.search(word) else "greek" if _GREEK.search(word) else "cyrillic"
-    out: list[str] = []
     if script and not all(c in latin for c in word if _OTHER.match(c)) and all(c in alike[script] for c in word if _LATIN.match(c)):
-        images = (alike[script].get(c, c) for c in word)
-    else:
-        images = (latin.get(c) or (romanised(c) if _OTHER.match(c) else c) for c in word)
-    for image in images:
-        _push(out, image, _compiled()[1])
-    return "".join(out)
+        return (alike[script].get(c, c) for c in word)
+    return (latin.get(c) or (romanised(c) if _OTHER.match(c) else c) for c in word)
 
 
 def plain(text: str | None) -> str | None:
@@ -209,6 +228,22 @@ def plain(text: str | None) -> str | None:
     return _compiled()[2].sub(_stretch, text)
 
 
+def traced(text: str) -> tuple[str, list[Span]]:
+    """The plain form of a text, and the part of the text that each of its characters comes from."""
+    if text.isascii() or _SURELY.match(text):
+        return text, [(i, i + 1) for i in range(len(text))]
+    out: list[str] = []
+    spans: list[Span] = []
+    at = 0
+    for m in _compiled()[2].finditer(text):
+        letters, where = _transduced(m.group())
+        out += [text[at : m.start()], *letters]
+        spans += [(i, i + 1) for i in range(at, m.start())]
+        spans += [(m.start() + a, m.start() + b) for a, b in where]
+        at = m.end()
+    return "".join(out) + text[at:], spans + [(i, i + 1) for i in range(at, len(text))]
+
+
 def is_plain(text: str | None) -> bool:
     """Whether a text is in plain form; NULL is."""
     return text is None or text.isascii() or bool(_SURELY.match(text)) or all(_stretch(m) == m.group() for m in _compiled()[2].finditer(text))
@@ -220,6 +255,12 @@ def plain_form(texts: pd.Series) -> pd.Series:
     return texts.map(plain, na_action="ignore")
 
 
+def in_form(text: Column) -> Column:
+    """Column function: the plain form; texts that surely are plain aren't sent to Python."""
+    sure = text.rlike(SURELY_PLAIN)
+    return F.when(text.isNull() | sure, text).otherwise(plain_form(F.when(~sure, text)))
+
+
 def in_plain_form(text: Column) -> Column:
     """Column function: whether a text is in plain form (NULL: NULL)."""
 

@@ -38,6 +38,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row_id").alias("result_id"), "pii_type", "line_no")
 
 
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """ocr_results.markdown with a placeholder for each item of personal information."""
+    results = table(spark, folder, "ocr_results").select("id", "markdown")
+    return pii.redact(results, "id", "markdown", "redacted").select(F.col("id").alias("result_id"), "redacted")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of scanned documents of one company that are the same paper."""
     documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), F.col("id").alias("doc_id"), "content_sha256")
@@ -50,15 +56,25 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return batches.same_papers(documents.select("scope", "doc_id"), hashes, figures)
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Values of master_matches and texts of ocr_results that are not in plain form."""
+def _shown_values(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, row_id, text) of the values whose form problem 6 is about."""
     matches = table(spark, folder, "master_matches")
     values = [matches.select(F.lit(field).alias("field"), F.col("id").alias("row_id"), F.col(field).alias("text")) for field in ("matched_text", "master_value")]
     values.append(table(spark, folder, "ocr_results").select(F.lit("markdown").alias("field"), F.col("id").alias("row_id"), F.col("markdown").alias("text")))
-    found = plainform.not_plain(values[0].unionByName(values[1]).unionByName(values[2]), "text", ["field", "row_id"])
+    return values[0].unionByName(values[1]).unionByName(values[2])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of master_matches and texts of ocr_results that are not in plain form."""
+    found = plainform.not_plain(_shown_values(spark, folder), "text", ["field", "row_id"])
     return found.distinct()  # some matches are delivered twice
 
 
+def p6_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The same values in plain form."""
+    return _shown_values(spark, folder).select("field", "row_id", plainform.in_form(F.col("text")).alias("text")).distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of master_records.data decoded with a wrong encoding."""
     values = table(spark, folder, "master_records").select(F.col("id").alias("record_id"), F.explode("data").alias("field_key", "value"))
@@ -92,7 +108,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p4_found, p6_found, p6_plain, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 

@@ -348,6 +348,29 @@ def test_personal_information(spark):
     assert pii.found_lines(rows.limit(0), "id", "markdown").count() == 0
 
 
+def test_redaction_by_place():
+    text = "Please ask for Bo Rut and Bo Rutger.\nBo Rut, or Vel-\nda Ｄos\u200btrin　here"
+    joined, _ = pii.view(text)
+    spans = [("name", m, m + len(w)) for w in ("Bo Rut", "Velda Dostrin") for m in [joined.index(w)]]
+    assert pii.replaced(text, spans) == "Please ask for [NAME] and Bo Rutger.\nBo Rut, or [NAME]\n　here"
+    r = random.Random(16)
+    for _ in range(300):
+        text = "".join(r.choice("abＡé\u0301 \u200bｶﾞ漢\n-") for _ in range(30))
+        joined, _ = pii.view(text)
+        assert pii.replaced(text, []) == text
+        plainest, spans = plainform.traced(text)
+        assert plainest == plainform.plain(text) and len(spans) == len(plainest) and all(a < b for a, b in spans)
+
+
+def test_lists_find_names_without_cues(spark):
+    given, surnames = ["Velda", "Morin", "Tessa", "Ruvo"], ["Dostrin", "Halbek", "Orfelt"]
+    rows = [(str(k), f"Please ask for {g} {s} at noon.") for k, (g, s) in enumerate([(g, s) for g in given for s in surnames] * 4)]
+    rows += [("free", "Yesterday Velda Halbek came to the warehouse."), ("turned", "It was Halbek, Velda who came."), ("none", "The Velda Works came, and Quality Assurance too."), ("half", "It was Velda Brune who came.")]
+    frame = spark.createDataFrame(rows, "id string, markdown string")
+    got = {(x["row_id"], x["pii_type"]) for x in pii.found_lines(frame, "id", "markdown").collect()}
+    assert {("free", "name"), ("turned", "name")} <= got and not {("none", "name"), ("half", "name")} & got and len(got) == 50
+
+
 def test_view_joins_and_keeps_lines():
     joined, at = pii.view("Rook-\ncroft is\nhere.\n\n連絡\n先は　Ａ")
     assert joined == "Rookcroft is here.\n\n連絡先は A" and at[:4] == [1] * 4 and at[4] == 2
