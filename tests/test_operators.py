@@ -330,3 +330,21 @@ def test_files_and_sinks(spark, tmp_path):
     from pyspark.sql import types as T
 
     assert files.json_lines(spark, str(tmp_path / "none.jsonl"), T.StructType([T.StructField("a", T.StringType())])).count() == 0
+
+
+def test_cut_tables_are_cleared(spark):
+    from paperlane.sources import checkpoints
+
+    frame = checkpoints.cut(spark.range(5))
+    assert frame.count() == 5 and checkpoints.clear(spark) >= 1 and checkpoints.clear(spark) == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from paperlane.sources import checkpoints
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        checkpoints.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
