@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.llm import batches, canonical, leaks, mojibake, pii, plainform, scannoise, tokenize, truncation
-from paperlane.sources import table
+from paperlane.sources import checkpoints, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,14 +46,18 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of scanned documents of one company that are the same paper."""
-    documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), F.col("id").alias("doc_id"), "content_sha256")
-    journal = table(spark, folder, "upload_journal").select(F.col("document_id").alias("doc_id"), batches.file_hash(F.col("sha256")).alias("hash"))
-    hashes = documents.select("doc_id", batches.file_hash(F.col("content_sha256")).alias("hash")).unionByName(journal)
-    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), F.col("document_id").alias("doc_id"), "page_number")
-    results = table(spark, folder, "ocr_results").filter("is_current and markdown is not null").select("page_id", batches.figures(F.col("markdown")).alias("figures"))
-    joined = pages.join(results, "page_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "figures"))).alias("pages"))
-    figures = joined.select("doc_id", F.array_join("pages.figures", " ").alias("figures"))
-    return batches.same_papers(documents.select("scope", "doc_id"), hashes, figures)
+    documents = table(spark, folder, "scan_documents").select(F.col("company_id").alias("scope"), "id", F.col("batch_id").alias("batch"), F.col("created_at").alias("at"), "content_sha256")
+    journal = table(spark, folder, "upload_journal").select(F.col("document_id").alias("id"), batches.file_hash(F.col("sha256")).alias("hash"))
+    hashes = documents.select("id", batches.file_hash(F.col("content_sha256")).alias("hash")).unionByName(journal).filter("id is not null and hash is not null").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), F.col("document_id").alias("id"), "page_number")
+    figures = batches.figures(F.col("markdown"))
+    # letters are needed only of pages whose figures are few
+    few = F.length(F.regexp_replace(figures, "[^0-9]", "")) < batches.FEW
+    results = table(spark, folder, "ocr_results").filter("is_current and markdown is not null").select("page_id", figures.alias("figures"), F.when(few, batches.letters(F.col("markdown"))).otherwise("").alias("text"))
+    read = pages.join(results, "page_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "figures", "text"))).alias("pages"))
+    read = read.select("id", F.array_join("pages.figures", " ").alias("figures"), F.array_join("pages.text", "").alias("text"))
+    known = documents.drop("content_sha256").dropDuplicates(["id"]).join(hashes, "id", "left").join(read, "id", "left")
+    return batches.pairs_of(batches.papers(known, checkpoints.place(spark, "batches"))).distinct()
 
 
 def _shown_values(spark: SparkSession, folder: str) -> DataFrame:

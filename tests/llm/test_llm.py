@@ -163,50 +163,76 @@ def paper(r, number):
     return f"Invoice {number} 2024-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} " + " ".join(f"{r.randint(1, 99)} | {r.randint(100, 99999)}" for _ in range(12))
 
 
-def test_same_papers(spark):
+def known(spark, rows):
+    """(scope, id, hashes, figures, text, batch, at) of (scope, id, hash, text, batch)."""
+    frame = spark.createDataFrame(list(rows), "scope string, id string, h string, t string, batch string").withColumn("at", F.coalesce(F.substring("batch", 2, 9).cast("int"), F.lit(5)).cast("timestamp"))
+    return frame.select("scope", "id", F.array(batches.file_hash(F.col("h"))).alias("hashes"), batches.figures(F.col("t")).alias("figures"), batches.letters(F.col("t")).alias("text"), "batch", "at")
+
+
+def test_papers(spark, tmp_path):
     r = random.Random(8)
-    documents, hashes, texts, want = [], [], [], set()
+    rows, want = [], set()
     for g in range(25):
         text = paper(r, f"QT-{10000 + g}-{r.randint(100, 999)}")
         ids = [f"d{g:02d}{c}" for c in "abc"[: r.randint(1, 3)]]
         for n, i in enumerate(ids):
-            documents.append(("c1", i))
-            texts.append((i, ("page 7 tel 090-5555 " if n == 1 else "") + text))
+            rows.append(("c1", i, None, ("page 7 tel 090-5555 " if n == 1 else "") + text, f"b{r.randint(0, 9)}"))
         want |= {(a, b) for a in ids for b in ids if a < b}
     h = hashlib.sha256(b"x").hexdigest()
-    documents += [("c1", "x1"), ("c1", "x2"), ("c2", "x3"), (None, "x4"), ("c1", "y1"), ("c1", "y1")]
-    hashes += [("x1", h.upper()), ("x2", f"sha256:{h}"), ("x3", h), ("x4", h), ("y1", None), ("y1", "short")]
-    want.add(("x1", "x2"))
-    d = spark.createDataFrame(documents, "scope string, doc_id string")
-    hs = spark.createDataFrame(hashes, "doc_id string, h string").select("doc_id", batches.file_hash(F.col("h")).alias("hash"))
-    t = spark.createDataFrame(texts, "doc_id string, text string").select("doc_id", batches.figures(F.col("text")).alias("figures"))
-    assert {tuple(x) for x in batches.same_papers(d, hs, t).collect()} == want
-    assert batches.same_papers(d.limit(0), hs, t).count() == 0
+    note = "We thank you for the good talks in our house and hope that the goods have come whole; please call us when the truck is there, as the doors of the hall are open in the morning only and nobody can tell how long it takes to bring all of it inside before the rain begins again."
+    rows += [("c1", "x1", h.upper(), None, "b1"), ("c1", "x2", f"sha256:{h}", "", "b9"), ("c2", "x3", h, None, "b1"), (None, "x4", h, None, None), ("c1", "y1", None, None, "b1"), ("c1", "y2", "short", None, None)]
+    rows += [("c1", "n1", None, note, "b2"), ("c1", "n2", None, note.replace("good talks", "good talk"), "b8"), ("c1", "n3", None, note[:50] + " and that nobody was late when the doors were opened again in the early hours of that same morning", "b5"), ("c1", "n4", None, "other words that say nothing of it at all", "b5")]
+    want |= {("x1", "x2"), ("n1", "n2")}
+    for rounds in (1, 3):
+        got = batches.papers(known(spark, rows), str(tmp_path / f"store{rounds}"), rounds)
+        assert {tuple(x) for x in batches.pairs_of(got).collect()} == want
+    assert batches.papers(known(spark, rows).limit(0), str(tmp_path / "none")).count() == 0
 
 
 def test_new_batches_meet_history(spark, tmp_path):
     r = random.Random(9)
-    old, new = paper(r, "QT-11111-111"), paper(r, "QT-22222-222")
-    rows = lambda *x: spark.createDataFrame([(s, i, t) for s, i, t in x], "scope string, id string, text string").select("scope", "id", batches.figures(F.col("text")).alias("figures"))
+    old, new, h = paper(r, "QT-11111-111"), paper(r, "QT-22222-222"), hashlib.sha256(b"y").hexdigest()
     store = str(tmp_path / "chunks")
-    first = rows(("c", "a", old), ("c", "z", None))
-    assert batches.check_batch(first, store).count() == 0
-    batches.accept(first, store)
-    second = rows(("c", "b", "copy 3 " + old), ("c", "n", new), ("d", "o", old), ("c", "m", new))
-    assert sorted(tuple(x) for x in batches.check_batch(second, store).collect()) == [("a", "b"), ("m", "n")]
-
-
-def test_prefix_filter_loses_nothing(spark):
+    first = known(spark, [("c", "a", h, old, "b1"), ("c", "z", None, None, "b1"), ("e", "q", None, paper(r, "QT-33333-333"), "b1")])
+    for _ in range(2):  # done again, it changes nothing
+        checked = batches.check_batch(first, store, 0)
+        assert checked.links.count() == 0
+        batches.accept(checked, store, 0)
+    stored = spark.read.parquet(f"{store}/chunks")
+    assert stored.count() == stored.select("id", "chunk").distinct().count() > 0
+    second = known(spark, [("c", "b", None, "copy 3 " + old, "b2"), ("c", "n", None, new, "b2"), ("d", "o", h, old, "b2"), ("c", "m", None, new, "b2"), ("c", "f", h, None, "b2")])
+    checked = batches.check_batch(second, store, 1)
+    assert sorted(tuple(sorted(x)) for x in checked.links.collect()) == [("a", "b"), ("a", "f"), ("m", "n")]
+    batches.accept(checked, store, 1)
+    # a copy that the store knows adds nothing; a batch reads the buckets of its own scopes only
+    third = batches.check_batch(known(spark, [("c", "c", None, old, "b3")]), store, 2)
+    assert [tuple(x) for x in third.links.collect()] == [("c", "a")] and third.chunks.count() == third.keys.count() == 0
+    seen = batches._stored(known(spark, [("c", "c", None, old, "b3")]), store, "chunks", f"{batches.CHUNKS}, probe boolean", 2)
+    assert {x["bucket"] for x in seen.select("bucket").distinct().collect()} == {spark.createDataFrame([("c",)], "scope string").select(batches._bucket()).first()[0]}
+
+
+def test_rolling_hash_equals_each_windows_own():
+    r = random.Random(17)
+    for text in ("".join(r.choice("0123456789") for _ in range(500)), "".join(r.choice("abc日本") for _ in range(300)), "12", ""):
+        for window in (3, 8):
+            places = set(batches.boundaries(text, window, 4).tolist())
+            assert places == {e for e in range(window, len(text) + 1) if batches.boundaries(text[e - window : e], window, 4).tolist() == [window]}
+        assert "".join(batches.chunk_stream(text)) == text
+
+
+def test_probing_loses_nothing(spark):
     r = random.Random(10)
-    rows = [(k, None, c, r.randint(3, 9)) for k in range(60) for c in r.sample(range(40), 8)]
-    totals = {}
-    for k, _, _, b in rows:
-        totals[k] = totals.get(k, 0) + b
-    frame = spark.createDataFrame([(k, n, c, b, totals[k]) for k, n, c, b in rows], "id long, number long, chunk long, bytes int, total int")
-    got = {tuple(x) for x in batches.similar(frame).collect()}
-    by = {k: {c: b for j, _, c, b in rows if j == k} for k in totals}
-    want = {(a, b) for a in by for b in by if a < b and (s := sum(min(by[a][c], by[b][c]) for c in by[a] if c in by[b])) >= 8 and s / min(totals[a], totals[b]) >= 0.45}
-    assert got == want and want
+    rows = [(k, c, r.randint(3, 9)) for k in range(60) for c in r.sample(range(40), 8)]
+    by: dict[int, dict[int, int]] = {}
+    for k, c, b in rows:
+        by.setdefault(k, {})[c] = b
+    frame = spark.createDataFrame([(f"{k:02d}", None, c, b, sum(by[k].values()), 0.45) for k, c, b in rows], batches.CHUNKS)
+    near = lambda a, b: (s := sum(min(by[a][c], by[b][c]) for c in by[a] if c in by[b])) >= 8 and s / min(sum(by[a].values()), sum(by[b].values())) >= 0.45
+    want = {(f"{a:02d}", f"{b:02d}") for a in by for b in by if a < b and near(a, b)}
+    assert {tuple(sorted(x)) for x in batches.similar(batches.probing(frame)).collect()} == want and want
+    old, new = frame.filter("id < '30'"), frame.filter("id >= '30'")
+    met = {tuple(sorted(x)) for x in batches.similar(batches.probing(new, old), batches.probing(old).drop("shared")).collect()}
+    assert met == {(a, b) for a, b in want if b >= "30"}
 
 
 # values
