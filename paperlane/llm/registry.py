@@ -8,16 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.llm import batches, canonical, leaks, mojibake, pii, plainform, scannoise, tokenize, truncation
+from paperlane.plans.layout_queries import regions
 from paperlane.sources import checkpoints, table
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Kinds of scan noise in ocr_results.markdown."""
+def _read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, page, doc, page_number, pages, text) of every result."""
     results = table(spark, folder, "ocr_results").select(F.col("id").alias("row_id"), F.col("page_id").alias("page"), F.col("markdown").alias("text"))
     pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page"), F.col("document_id").alias("doc"), "page_number")
     documents = table(spark, folder, "scan_documents").select(F.col("id").alias("doc"), F.col("page_count").alias("pages"))
-    known = results.join(pages.join(documents, "doc", "left"), "page", "left")
-    return scannoise.noise(known).select(F.col("row_id").alias("result_id"), "noise")
+    return results.join(pages.join(documents, "doc", "left"), "page", "left")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scan noise in ocr_results.markdown."""
+    return scannoise.noise(_read_pages(spark, folder)).select(F.col("row_id").alias("result_id"), "noise")
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's text as continuous paragraphs."""
+    return scannoise.repair(_read_pages(spark, folder), "repaired").select(F.col("row_id").alias("result_id"), "repaired")
+
+
+def p1_repaired_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every region of layout_json, repaired by what its page shows; a region that was furniture is empty."""
+    parts = regions(spark, folder).select(F.col("ocr_result_id").alias("row_id"), "ord", F.col("markdown").alias("text"))
+    return scannoise.repair(_read_pages(spark, folder), "repaired", parts).select(F.col("row_id").alias("result_id"), "ord", "repaired")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +128,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p4_found, p6_found, p6_plain, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p1_repaired_regions, p2_found, p3_found, p3_redacted, p4_found, p6_found, p6_plain, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
 
 

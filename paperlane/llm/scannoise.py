@@ -9,20 +9,31 @@ pages that were recognised more than once, where a token of one result stands in
 counted, as the counts are evidence for the decision too; only the pairs that the trees are trained on are sampled
 (``train_pairs``).
 
-Line pairs.  A logistic classifier decides for two lines whether the hyphen between them divides a word (the joined word's
-count against the compound's), another whether an edge line of a page is furniture (its counterpart on the document's
-other pages, its form, its place).  Both train on pairs whose label the counts make sure.  Page numbers must be
-the page's own number.
+Divided words.  A logistic classifier decides for two lines whether the hyphen between them divides a word (the joined word's
+count against the compound's), trained on pairs that the counts make sure.
+
+Page numbers.  A line at a page's edge with a small number has a shape: the line with that number masked, as it reads and with its
+words masked too.  How often lines of a shape, in other documents, carry their own page's number tells whether a shape is a page
+number's; a line is one if its shape is and its number is the page's.
+
+Furniture.  A classifier sees a pair of edge lines from neighbouring pages of a document: how alike they are, where they stand, the
+line's length and form, and how often lines of its shape recur within other documents.  Its label comes from neither line of
+the pair but from the document's further pages: whether one of them has the line too.  Headers that further pages lost make labels
+incomplete, not wrong, so scores are divided by their mean over labelled cases.  A line is judged by its best pair, and its score alone
+decides.  A number beside a header is a page number.
+
+Everything but the classifiers' training rows (the least by hash, ``train`` and ``train_pairs`` of them) covers all pages.
 
 Defined results: NULL, empty and blank pages have no noise; tables are never corrected; figures and codes are never
-misread; pages whose document is unknown or has one page have no running header; repeated rows are treated alike.
+misread; pages whose document is unknown or has one page have no running header; pages without a number have no
+page number; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,9 +49,6 @@ _WORD = re.compile(r"(?<![\w.@-])[A-Za-zÀ-ÖØ-öø-ÿ0-9][A-Za-zÀ-ÖØ-öø-
 _URL = re.compile(r"\b(?:www\.|https?://)\S+")
 _CHAR = re.compile("[ぁ-ヿ㐀-鿿]")
 _MARKS = "-‐‑­¬–"
-_PAGE = r"(?:[-–—] ?(?P<a>\d{1,4}) ?[-–—]|(?P<b>\d{1,4}) ?[/／] ?(?P<b2>\d{1,4})|\[(?P<c>\d{1,4})\]|(?P<d>\d{1,4})|[Pp](?:\.|ag\.|g\.)? ?(?P<e>\d{1,4})|(?:Page|Seite|Pagina|Página|page) (?P<f>\d{1,4})(?: (?:of|von|sur|de|di) (?P<f2>\d{1,4}))?|(?P<g>\d{1,4}) ?(?:ページ|頁)|第 ?(?P<h>\d{1,4}) ?(?:ページ|頁))"
-PAGE_LINE = re.compile(rf"^{_PAGE}$")
-PAGE_END = re.compile(rf"(?:^{_PAGE.replace('?P<', '?P<s')}[ 　]{{2,}}|(?:[ 　]{{2,}}| [-–|·] ){_PAGE}$)")
 _FIRM = re.compile(r"(?i)^(?:[^\W\d][\w'’&-]*,? ){1,5}(?:ltd|gmbh|sa|sarl|inc|co|works|industries|partners|logistics|kg|ag|corp|company|group)\.?$|^(?:株式会社|有限会社|合同会社)[㐀-鿿ァ-ヶー]{2,12}$|^[㐀-鿿ァ-ヶー]{2,12}(?:株式会社|有限会社|合同会社)$")
 _SECRET = re.compile(r"(?i)^(confidential|confidentiel|vertraulich|internal|intern|interne|社外秘|秘|部外秘|c0nfidential)\b|^(社外秘|部外秘)")
 _NUMBERED = re.compile(r"[A-Z]{1,4}-\d{3,}-\d{2,}")
@@ -69,17 +77,64 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def _counted(pages: DataFrame) -> DataFrame:
-    """(token, n): number of pages with each token; counted per batch before anything is shuffled."""
+#: A number of up to four digits that is no part of a longer one.
+_SMALL = re.compile(r"(?<!\d)(?<!\d[.,:/-])\d{1,4}(?!\d)(?![.,:]\d)")
+_APART = re.compile(r"[ 　]{2,}| [-–—|·] ")
+_READ = (
+    "row_id string, page string, doc string, page_number int, pages int, tokens array<string>, cuts array<struct<left:string,right:string,mark:string>>, "
+    "edges array<struct<k:int,line:string,form:string,numbers:array<struct<value:int,shape:string,masked:string,beside:string>>>>"
+)
+
+
+def numbers_of(line: str) -> list[tuple[int, str, str, str | None]]:
+    """(value, shape, masked shape, what stands beside it) of the small numbers that begin or end a line, or a part of it that stands apart."""
+    bounds = [(m.start(), m.end()) for m in _APART.finditer(line)]
+    parts = [(0, len(line), None)]
+    if bounds:
+        parts += [(0, bounds[0][0], line[bounds[0][1] :]), (bounds[-1][1], len(line), line[: bounds[-1][0]])]
+    out = []
+    for start, stop, beside in parts:
+        part = line[start:stop]
+        if beside is not None and not re.search(r"[^\W\d_]{2}|[^\W\d_] [^\W\d_]", beside):
+            continue
+        found = list(_SMALL.finditer(part))
+        for m in found[:1] + found[1:][-1:]:
+            shape = re.sub(r"\d", "9", part[: m.start()].casefold()) + "#" + re.sub(r"\d", "9", part[m.end() :].casefold())
+            out.append((int(m.group()), shape, re.sub(r"[^\W\d_]+(?: [^\W\d_]+)*", "a", shape), beside))
+    return out
+
+
+def line_marks(text: str) -> tuple[list[tuple[str, str, str]], list[tuple[int, str, str, list]]]:
+    """(divided words as (left, right, mark), edge lines as (place among lines, line, form, numbers)): the three first and last lines."""
+    lines = [x.strip() for x in (text if is_plain(text) else plain_lines(text)).split("\n")]
+    cuts = []
+    for a, b in zip(lines, lines[1:], strict=False):
+        if a and b and a[-1] in _MARKS and (b[0].islower() or (b[0] in "0159" and b[1:2].islower())) and (m := re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)$", a)):
+            cuts.append((m.group(1), re.match(r"[\w’']+", b).group(), m.group(2)))
+    full = [x for x in lines if x]
+    outer = sorted({k for k in (0, 1, 2, len(full) - 3, len(full) - 2, len(full) - 1) if 0 <= k < len(full)})
+    return cuts, [(k, full[k], _edge_form(full[k]), numbers_of(full[k])) for k in outer]
+
+
+def read(pages: DataFrame) -> DataFrame:
+    """One row per page: its distinct tokens, divided words and edge lines. Texts are gone through once; all else is made from this table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for t in batch["text"]:
-                counts.update(tokens(t))
-            yield pd.DataFrame({"token": list(counts), "n": list(counts.values())}, columns=["token", "n"]).astype({"token": "object", "n": "int64"})
+            marks = [line_marks(t) for t in batch["text"]]
+            out = batch[["row_id", "page", "doc"]].copy()
+            out["page_number"], out["pages"] = batch["page_number"].astype("Int32"), batch["pages"].astype("Int32")
+            out["tokens"] = [sorted(tokens(t)) for t in batch["text"]]
+            out["cuts"] = [[dict(zip(("left", "right", "mark"), c, strict=True)) for c in cuts] for cuts, _ in marks]
+            out["edges"] = [[{"k": k, "line": line, "form": form, "numbers": [dict(zip(("value", "shape", "masked", "beside"), n, strict=True)) for n in found]} for k, line, form, found in edges] for _, edges in marks]
+            yield out
+
+    return checkpoints.cut(pages.select("row_id", "page", "doc", "page_number", "pages", "text").mapInPandas(run, _READ))
 
-    return pages.select("text").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+def counts_of(known: DataFrame) -> DataFrame:
+    """(token, n): number of pages with each token."""
+    return known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def candidate_pairs(counted: DataFrame, ratio: float = 8.0, char_ratio: float = 4.0, least: int = 15) -> DataFrame:
@@ -88,7 +143,7 @@ def candidate_pairs(counted: DataFrame, ratio: float = 8.0, char_ratio: float =
     top = chars.filter(F.col("n") >= least).select("hole", F.col("token").alias("meant"), F.col("n").alias("n_meant"), F.col("char").alias("to"))
     han = chars.join(top, "hole").filter((F.col("n") * char_ratio <= F.col("n_meant")) & (F.col("char") != F.col("to")))
     han = han.select(F.col("token").alias("seen"), "meant", F.col("n").alias("n_seen"), "n_meant", F.concat_ws(">", "char", "to").alias("conf"))
-    words = counted.filter("startswith(token, 'w') and length(token) between 5 and 40").select(F.substring("token", 2, 40).alias("word"), "n")
+    words = counted.filter("startswith(token, 'w')").select(F.expr("substring(token, 2)").alias("word"), "n").filter("length(word) > 2")
     padded = F.concat(F.lit("\x01\x01"), F.lower("word"), F.lit("\x02\x02"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda i: F.substring(padded, i, F.lit(3))))
     posted = words.withColumn("gram", F.explode(grams))
@@ -150,7 +205,8 @@ class Boosted:
     """Gradient-boosted trees of depth 3 for a yes-or-no label, on binned features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, rate: float = 0.25, bins: int = 16) -> None:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+        heavy = x[weight >= 0.1 * weight.max()]  # rows of little weight draw no bounds
+        self.edges = [np.unique(np.quantile(heavy[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
         binned = self._bin(x)
         mean = float(np.clip((weight * y).sum() / weight.sum(), 0.01, 0.99))
         self.base, self.rate, self.trees = np.log(mean / (1 - mean)), rate, []
@@ -194,25 +250,16 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-class Rule:
-    """What ranks candidates where no page was recognised twice: clear confusions only."""
-
-    @staticmethod
-    def probability(x: np.ndarray) -> np.ndarray:
-        clear = (x[:, 3] > 2.5) & (((x[:, 0] == 1) & (x[:, 10] > 1) & (x[:, 6] > 0.8)) | ((x[:, 0] == 0) & ((x[:, 8] == 1) | (x[:, 4] > 1.3))))
-        return clear.astype(float)
-
-
-def labelled(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the number of pages that show them misread (``yes``) and read alike twice (``no``)."""
-    twice = pages.groupBy("page").agg(F.count("*").alias("results")).filter("results > 1")
+def clear(x: np.ndarray) -> np.ndarray:
+    """Weak labels of pairs that no page shows twice: clear confusions."""
+    return ((x[:, 3] > 2.5) & (((x[:, 0] == 1) & (x[:, 10] > 1) & (x[:, 6] > 0.8)) | ((x[:, 0] == 0) & ((x[:, 8] == 1) | (x[:, 4] > 1.3))))).astype(float)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(p, n, i, t) for p, n, i, text in zip(batch["page"], batch["results"], batch["reading"], batch["text"], strict=True) for t in tokens(text)], columns=["page", "results", "reading", "token"])
 
-    read = pages.join(twice, "page").select("page", "results", F.monotonically_increasing_id().alias("reading"), "text")
-    seen = checkpoints.cut(read.mapInPandas(run, "page string, results long, reading long, token string"))
+def labelled(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with the number of pages that show them misread (``yes``) and read alike twice (``no``), of (row_id, page, tokens)."""
+    twice = known.groupBy("page").agg(F.count("*").alias("results")).filter("results > 1")
+    several = known.join(twice, "page").select("page", "results", F.col("row_id").alias("reading"), F.explode("tokens").alias("token"))
+    seen = checkpoints.cut(several)
     counts = seen.groupBy("page", "token").agg(F.count("*").alias("k"))
     beside = seen.select("page", "reading", F.col("token").alias("meant"), F.lit(1).alias("beside"))
     with_pairs = seen.withColumnRenamed("token", "seen").join(pairs.select("seen", "meant"), "seen").join(beside, ["page", "reading", "meant"], "left")
@@ -226,27 +273,32 @@ def labelled(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return judged.groupBy("seen", "meant").agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no")).filter("yes + no > 0")
 
 
-def misreadings(pages: DataFrame, train_pairs: int = 40_000) -> tuple[DataFrame, DataFrame]:
-    """((seen, meant), counted tokens): the best replacement of each misread token of (page, text)."""
-    counted = checkpoints.cut(_counted(pages))
+def misreadings(known: DataFrame, train_pairs: int = 40_000, weak: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """((seen, meant), counted tokens): the best replacement of each misread token of (row_id, page, tokens).
+
+    The trees are trained on at most ``train_pairs`` pairs that pages read twice show, and on as many that none shows, by weak
+    labels that weigh as much as ``weak`` shown ones together: they decide only where hardly any page was read twice.
+    """
+    counted = checkpoints.cut(counts_of(known))
     pairs = with_evidence(checkpoints.cut(candidate_pairs(counted)), counted)
-    labels = checkpoints.cut(labelled(pages, pairs.select("seen", "meant")))
+    labels = checkpoints.cut(labelled(known, pairs.select("seen", "meant")))
     pairs = pairs.join(labels, ["seen", "meant"], "left").fillna(0, ["yes", "no"])
     for key in ("conf", "source"):  # what the labels say of the same confusion
         said = pairs.groupBy(key).agg(F.sum("yes").alias(f"{key}_yes"), F.sum("no").alias(f"{key}_no"))
         pairs = pairs.join(said, key)
     pairs = checkpoints.cut(pairs)
-    rows = pairs.filter("yes + no > 0").orderBy(F.xxhash64("seen", "meant")).limit(train_pairs).toPandas()
-    model: Boosted | Rule = Rule()
-    if rows["yes"].sum() >= 20 and rows["no"].sum() >= 10:
-        own = rows.copy()  # without the pair's own labels, which other pairs don't have
-        for key in ("conf", "source"):
-            own[f"{key}_yes"] -= own["yes"]
-            own[f"{key}_no"] -= own["no"]
-        y = (rows["yes"] / (rows["yes"] + rows["no"])).to_numpy(float)
-        weight = np.sqrt(rows["yes"] + rows["no"]).to_numpy(float)
+    by_hash = F.xxhash64("seen", "meant")
+    own, unseen = (pairs.filter(which).orderBy(by_hash).limit(train_pairs).toPandas() for which in ("yes + no > 0", "yes + no = 0"))
+    y = (own["yes"] / (own["yes"] + own["no"])).to_numpy(float)
+    weight = np.sqrt(own["yes"] + own["no"]).to_numpy(float)
+    if len(own):
         weight *= np.where(y > 0.5, 0.5 / max((weight * (y > 0.5)).sum(), 1e-9), 0.5 / max((weight * (y <= 0.5)).sum(), 1e-9)) * weight.sum()
-        model = Boosted(_matrix(own), y, weight)
+    for key in ("conf", "source"):  # without the pair's own labels, which other pairs don't have
+        own[f"{key}_yes"] -= own["yes"]
+        own[f"{key}_no"] -= own["no"]
+    x = np.concatenate([_matrix(rows) for rows in (own, unseen) if len(rows)]) if len(own) + len(unseen) else np.zeros((1, 13))
+    y, weight = np.append(y, clear(x[len(own) :])), np.append(weight, np.full(len(x) - len(own), weak / max(len(unseen), 1)))
+    model = Boosted(x, y, weight)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -270,47 +322,20 @@ def misreadings(pages: DataFrame, train_pairs: int = 40_000) -> tuple[DataFrame,
 def _next_to_each_other(best: DataFrame, counted: DataFrame, ratio: float = 4.0, least: int = 15) -> DataFrame:
     """Misread characters beside another misread one, which no frequent neighbours can show: found with both replaced."""
     single = best.filter("startswith(seen, 'c')").select(F.substring("seen", 3, 1).alias("a"), F.substring("meant", 3, 1).alias("b"), "seen")
-    sure = single.groupBy("a", "b").agg(F.count_distinct("seen").alias("n")).filter("n > 1").groupBy("a").agg(F.max_by("b", "n").alias("b")).orderBy("a").limit(5000).collect()  # pairs of single characters
-    if not sure:
-        return best.limit(0)
-    source, target = "".join(r["a"] for r in sure), "".join(r["b"] for r in sure)
-    doubtful = counted.filter(F.col("token").startswith("c") & F.contains(F.lit(source), F.substring("token", 3, 1))).select(F.col("token").alias("seen"), "n", F.concat(F.lit("c"), F.translate(F.substring("token", 2, 3), source, target)).alias("meant"))
+    sure = checkpoints.cut(single.groupBy("a", "b").agg(F.count_distinct("seen").alias("n")).filter("n > 1").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))  # pairs of single characters
+    doubtful = counted.filter("startswith(token, 'c')").select(F.col("token").alias("seen"), "n", *[F.substring("token", k, 1).alias(f"a{k}") for k in (2, 3, 4)])
+    for k, how in ((3, "inner"), (2, "left"), (4, "left")):
+        doubtful = doubtful.join(sure.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")), f"a{k}", how)
+    doubtful = doubtful.select("seen", "n", F.concat(F.lit("c"), *[F.coalesce(f"b{k}", f"a{k}") for k in (2, 3, 4)]).alias("meant"))
     doubtful = doubtful.filter(F.col("seen") != F.col("meant")).join(best.select("seen"), "seen", "left_anti")
-    known = counted.select(F.col("token").alias("meant"), F.col("n").alias("n_meant")).filter(F.col("n_meant") >= least)
-    return doubtful.join(known, "meant").filter(F.col("n") * ratio <= F.col("n_meant")).select("seen", "meant")
-
-
-def line_marks(text: str, page_number: int | None) -> tuple[list[tuple[str, str, str]], bool, list[tuple[int, str, str]]]:
-    """(divided words as (left, right, mark), page has its number, edge lines as (place, line without page mark, line))."""
-    lines = [x.strip() for x in (text if is_plain(text) else plain_lines(text)).split("\n")]
-    cuts = []
-    for a, b in zip(lines, lines[1:], strict=False):
-        if a and b and a[-1] in _MARKS and (b[0].islower() or (b[0] in "0159" and b[1:2].islower())) and (m := re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)$", a)):
-            cuts.append((m.group(1), re.match(r"[\w’']+", b).group(), m.group(2)))
-    full = [x for x in lines if x]
-    outer = {k for k in (0, 1, 2, len(full) - 3, len(full) - 2, len(full) - 1) if 0 <= k < len(full)}
-    own = {k for k in outer if (m := PAGE_LINE.match(full[k])) and _own_number(m, page_number)}
-    numbered, edges = bool(own), []
-    left = [x for k, x in enumerate(full) if k not in own]
-    for place in {0, len(left) - 1} if left else ():
-        line = rest = left[place]
-        if (m := PAGE_END.search(line)) and _own_number(m, page_number):
-            rest = (line[: m.start()] + line[m.end() :]).strip(" 　-–|·")
-            numbered |= any(_form_flags(_edge_form(rest)))
-        if not rest.startswith(("|", "#")) and len(rest) <= 90:
-            edges.append((0 if place == 0 else -1, _edge_form(rest), line))
-    return cuts, numbered, edges
+    frequent = counted.select(F.col("token").alias("meant"), F.col("n").alias("n_meant")).filter(F.col("n_meant") >= least)
+    return doubtful.join(frequent, "meant").filter(F.col("n") * ratio <= F.col("n_meant")).select("seen", "meant")
 
 
 def plain_lines(text: str) -> str:
     return "\n".join(plain(x) or "" for x in text.split("\n"))
 
 
-def _own_number(mark: re.Match[str], page_number: int | None) -> bool:
-    digits = [v for k, v in mark.groupdict().items() if v and v.isdigit() and not k.endswith("2")]
-    return bool(digits) and (page_number is None or int(digits[0]) == page_number)
-
-
 def _edge_form(line: str) -> str:
     """A line in the form in which furniture repeats: letters spaced out are closed up, case and spaces are one."""
     if re.fullmatch(r"(?:\S ?(?:  )?){4,}", line) and sum(c == " " for c in line) * 2 >= len(line.replace("  ", " ")) - 2:
@@ -346,7 +371,7 @@ def divided_words(cuts: DataFrame, counted: DataFrame, train: int = 20_000) -> D
     found = checkpoints.cut(found.fillna(0, ["n_joined", "n_left", "n_right"]).withColumn("odd", (~F.col("mark").isin("-")).cast("int")))
     x = [F.log1p(c) for c in ("n_joined", "n_left", "n_right")] + [F.col("odd").cast("double")]
     sure = F.when((F.col("n_joined") >= 5) | ((F.col("odd") == 1) & (F.col("n_left") + F.col("n_right") == 0)), 1.0).when((F.col("n_joined") <= 1) & (F.col("n_left") >= 20) & (F.col("n_right") >= 20) & (F.col("odd") == 0), 0.0)
-    rows = found.select(sure.alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)]).filter("y is not null").limit(train).toPandas()
+    rows = found.withColumn("y", sure).filter("y is not null").orderBy(F.xxhash64("left", "right", "row_id")).limit(train).select("y", *[c.alias(f"x{i}") for i, c in enumerate(x)]).toPandas()
     beta = np.array([-1.0, 1.2, -0.3, -0.3, 3.0])
     if len(rows) and 0 < rows["y"].mean() < 1:
         beta = _logistic(rows[[f"x{i}" for i in range(4)]].to_numpy(float), rows["y"].to_numpy(float), np.ones(len(rows)))
@@ -356,94 +381,139 @@ def divided_words(cuts: DataFrame, counted: DataFrame, train: int = 20_000) -> D
     return found.filter(score > 0)
 
 
-def furniture(edges: DataFrame, train: int = 20_000) -> DataFrame:
-    """The edge lines (doc, page_number, place, form, ...) that are running headers or footers."""
-    per_page = edges.select("doc", "page_number", "form").distinct()
-    again = per_page.groupBy("doc", "form").agg(F.count_distinct("page_number").alias("on_pages"))
-    rows = edges.join(again, ["doc", "form"])
-    x = [F.col("firm"), F.col("secret"), F.col("numbered"), (F.col("on_pages") > 1).cast("int"), (F.col("place") == 0).cast("int"), (F.col("page_number") > 1).cast("int")]
-    x = [c.cast("double") for c in x]
-    any_form = (F.col("firm") + F.col("secret") + F.col("numbered")) > 0
-    sure = F.when((F.col("pages") > 1) & any_form & (F.col("on_pages") > 1), 1.0).when(~any_form | (F.col("pages") <= 1), 0.0)
-    rows = checkpoints.cut(rows.withColumn("sure", sure).withColumn("any_form", any_form))
-    sample = rows.filter("sure is not null").select("sure", *[c.alias(f"x{i}") for i, c in enumerate(x)]).limit(train).toPandas()
-    beta = np.array([-6.0, 3.0, 5.0, 4.0, 4.0, 1.0, 1.0])
-    if len(sample) and 0.01 < sample["sure"].mean() < 0.99:
-        beta = np.maximum(_logistic(sample[[f"x{i}" for i in range(6)]].to_numpy(float), sample["sure"].to_numpy(float), np.ones(len(sample))), [-99, 0, 0, 0, 0, 0, 0])
-    score = F.lit(float(beta[0]))
-    for b, c in zip(beta[1:], x, strict=True):
-        score = score + F.lit(float(b)) * c
-    # lines without a counterpart: the other pages may be lost, so a form that the text of a page has nowhere else decides
-    alone = (F.col("secret") + F.col("numbered") > 0) | (F.col("page_number") > 1) | (F.col("place") == 0)
-    return rows.withColumn("score", score).filter((F.col("pages") > 1) & F.col("any_form") & ((F.col("score") > 0) | (F.col("on_pages") > 1) | alone))
+def page_numbers(edges: DataFrame) -> DataFrame:
+    """The edge lines (row_id, k, line, form, numbers, page_number) with ``own``, whether the line is the page's number, and ``beside``,
+    the form of what stands beside a number that is the page's.
+
+    A shape's share of lines that carry their page's number is counted over second and later pages, without the line itself, and starts from
+    the share of its masked shape.
+    """
+    of = edges.filter("page_number is not null").select("row_id", "k", "page_number", F.explode("numbers").alias("number")).select("row_id", "k", "page_number", "number.*")
+    of = checkpoints.cut(of.withColumn("equal", (F.col("value") == F.col("page_number")).cast("int")).withColumn("later", (F.col("page_number") > 1).cast("int")))
+    judged = of
+    for key in ("shape", "masked"):
+        judged = judged.join(of.groupBy(key).agg(F.sum("later").alias(f"n_{key}"), F.sum(F.col("equal") * F.col("later")).alias(f"eq_{key}")), key)
+    equal, later = F.col("equal") * F.col("later"), F.col("later")
+    masked = (F.col("eq_masked") - equal + 0.2) / (F.col("n_masked") - later + 2.0)
+    share = (F.col("eq_shape") - equal + 10 * masked) / (F.col("n_shape") - later + 10)
+    likely = judged.filter((F.col("equal") == 1) & (share > 0.5))
+    own = likely.groupBy("row_id", "k").agg(F.max(F.when(F.col("beside").isNull(), 1)).alias("alone"), F.max("beside").alias("beside"))
+    known = edges.join(own, ["row_id", "k"], "left")
+    # with something beside it, whether the line is furniture decides
+    return known.withColumn("own", F.col("alone").isNotNull() & F.col("beside").isNull()).drop("alone", "numbers")
 
 
-def noise(pages: DataFrame, most_in_memory: int = 300_000) -> DataFrame:
-    """(row_id, noise) of pages (row_id, page, doc, page_number, pages, text).
+_FORM = "row_id string, k int, form string, beside boolean"
 
-    Replacements are sent to the executors while they are at most ``most_in_memory``; more of them are joined.
+
+def furniture(edges: DataFrame, train: int = 20_000) -> DataFrame:
+    """(row_id, k, form, beside) of the edge lines that are running headers or footers; ``beside`` tells of a page number on the line.
+
+    ``edges`` are those of :func:`page_numbers` with (doc, pages); a page's outermost lines that aren't its number are judged.
     """
-    known = pages.filter("text is not null and row_id is not null")
-    replace, counted = misreadings(known.select("page", "text"))
-    replace = checkpoints.cut(replace)
-    few = replace.count() <= most_in_memory
-    wrong = {r["seen"] for r in replace.select("seen").toLocalIterator()} if few else set()
+    left = edges.filter("not own and doc is not null and page_number is not null and pages > 1")
+    ends = left.groupBy("row_id", "doc", "page_number").agg(F.min_by(F.struct("k", "line", "form", "beside"), "k").alias("first"), F.max_by(F.struct("k", "line", "form", "beside"), "k").alias("last"))
+    both = ends.select("row_id", "doc", "page_number", F.explode(F.array(F.struct(F.lit(1).alias("top"), F.col("first").alias("l")), F.struct(F.lit(0).alias("top"), F.col("last").alias("l")))).alias("e"))
+    lines = both.select("row_id", "doc", "page_number", "e.top", "e.l.k", "e.l.line", F.coalesce(_form_of()("e.l.beside"), "e.l.form").alias("form"), F.col("e.l.beside").isNotNull().alias("beside"))
+    lines = checkpoints.cut(lines.filter(~F.col("line").rlike("^[|#]")).dropDuplicates(["row_id", "k"]))
+
+    page_lines = lines.select("doc", "page_number", "form").distinct()
+    per_form = page_lines.groupBy("doc", "form").agg(F.count("*").alias("on_pages"))
+    in_doc = page_lines.groupBy("doc").agg(F.count_distinct("page_number").alias("doc_pages"))
+    # how often lines of a shape recur within documents
+    shape = F.regexp_replace("form", r"\d", "9").alias("shape")
+    by_doc = per_form.select("doc", shape, (F.col("on_pages") > 1).cast("int").alias("again")).groupBy("doc", "shape").agg(F.max("again").alias("again"))
+    by_shape = by_doc.groupBy("shape").agg(F.count("*").alias("docs"), F.sum("again").alias("docs_again"))
+    # pairs with the lines of the pages beside
+    asked = lines.select("row_id", "k", "doc", "form", "page_number", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("other_page"))
+    other = page_lines.select("doc", F.col("page_number").alias("other_page"), F.col("form").alias("other"))
+    longest = F.greatest(F.length("form"), F.length("other"), F.lit(1))
+    apart = F.when(F.abs(F.length("form") - F.length("other")) <= 12, F.levenshtein("form", "other", 12)).otherwise(F.lit(-1))
+    alike = F.when(apart < 0, F.lit(0.0)).otherwise(1 - apart / longest)
+    near = asked.join(other, ["doc", "other_page"]).groupBy("row_id", "k").agg(
+        F.max(alike).alias("alike"), F.count_distinct("other_page").alias("beside_pages"), F.count_distinct(F.when(F.col("form") == F.col("other"), F.col("other_page"))).alias("same_beside"))
+    rows = lines.join(near, ["row_id", "k"], "left").fillna(0, ["alike", "beside_pages", "same_beside"]).join(per_form, ["doc", "form"]).join(in_doc, "doc")
+    rows = rows.withColumn("shape", shape).join(by_doc, ["doc", "shape"]).join(by_shape, "shape")
+    further = F.col("doc_pages") - 1 - F.col("beside_pages")
+    rows = checkpoints.cut(rows.withColumn("label", F.when(further > 0, (F.col("on_pages") - 1 - F.col("same_beside") > 0).cast("int"))))
+    sample = rows.filter("label is not null").orderBy(F.xxhash64("row_id", "k")).limit(train).toPandas()
+    # what is known before any page is read: a line that comes again is furniture, one that doesn't isn't
+    prior = [[1 - k / 40, top, 3, 0, 0, 0, 0, 0, 0.5, 1] for k in range(5) for top in (0, 1)] + [[k / 8, top, 3, 0, 0, 0, 0, 0, 0.05, 1] for k in range(5) for top in (0, 1)]
+    x = np.concatenate((_line_matrix(sample, False), prior))
+    y = np.append(sample["label"].to_numpy(float), np.repeat([1.0, 0.0], 10))
+    model = Boosted(x, y, np.ones(len(x)))
+    seen = model.probability(x)
+    whole = float((seen * y).sum() / y.sum())  # the share of furniture whose further pages show it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for i, doc, n, of, text in zip(batch["row_id"], batch["doc"], batch["page_number"], batch["pages"], batch["text"], strict=True):
-                n = None if pd.isna(n) else int(n)
-                own = tokens(text)
-                if few:
-                    if not wrong.isdisjoint(own):
-                        rows.append((i, "misread", None, None, None, None, None, None, None, None, None))
-                else:
-                    rows.extend((i, "token", t, None, None, None, None, None, None, None, None) for t in own)
-                cuts, numbered, edges = line_marks(text, n)
-                rows.extend((i, "cut", a, b, m, None, None, None, None, None, None) for a, b, m in cuts)
-                if numbered:
-                    rows.append((i, "page_number", None, None, None, None, None, None, None, None, None))
-                if doc is not None and n is not None and not pd.isna(of) and of > 1:
-                    for place, form, _ in edges:
-                        rows.append((i, "edge", form, None, None, place, doc, n, *_form_flags(form)))
-            frame = pd.DataFrame(rows, columns=["row_id", "kind", "left", "right", "mark", "place", "doc", "page_number", "firm", "secret", "numbered"])
-            yield frame.astype({c: "Int32" for c in ("place", "page_number", "firm", "secret", "numbered")})
-
-    schema = "row_id string, kind string, left string, right string, mark string, place int, doc string, page_number int, firm int, secret int, numbered int"
-    marks = checkpoints.cut(known.select("row_id", "doc", "page_number", "pages", "text").mapInPandas(run, schema))
-    cuts = divided_words(marks.filter("kind = 'cut'").select("row_id", "left", "right", "mark"), counted)
-    edges = marks.filter("kind = 'edge'").select("row_id", F.col("left").alias("form"), "place", "doc", "page_number", "firm", "secret", "numbered", F.lit(2).alias("pages"))
-    misread = marks.filter("kind = 'misread'") if few else marks.filter("kind = 'token'").join(replace, F.col("left") == F.col("seen"), "left_semi")
-    found = [
-        misread.select("row_id", F.lit("misread").alias("noise")),
-        cuts.select("row_id", F.lit("hyphenation").alias("noise")),
-        furniture(edges).select("row_id", F.lit("running_header").alias("noise")),
-        marks.filter("kind = 'page_number'").select("row_id", F.lit("page_number").alias("noise")),
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
-
-
-def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], furniture_forms: set[str], page_number: int | None) -> str:
-    """A page as continuous paragraphs: furniture and page numbers gone, divided words whole, misread words outside tables replaced."""
-    lines = text.split("\n")
-    full = [k for k, x in enumerate(lines) if x.strip()]
-    gone = set()
-    for k in {*full[:3], *full[-3:]}:
-        line = (plain(lines[k]) or "").strip()
-        mark = PAGE_LINE.match(line)
-        if mark and _own_number(mark, page_number):
-            gone.add(k)
-    left = [k for k in full if k not in gone]
-    for k in ({left[0], left[-1]} if left else ()):
-        line = (plain(lines[k]) or "").strip()
-        if (m := PAGE_END.search(line)) and _own_number(m, page_number):
-            line = (line[: m.start()] + line[m.end() :]).strip(" 　-–|·")
-        if _edge_form(line) in furniture_forms:
-            gone.add(k)
+            score = model.probability(_line_matrix(batch, True)) if len(batch) else np.zeros(0)
+            yield batch.loc[score > 0.5 * whole, ["row_id", "k", "form", "beside"]]
+
+    return rows.mapInPandas(run, _FORM)
+
+
+def _form_of():
+    @F.pandas_udf(T.StringType())
+    def form(lines: pd.Series) -> pd.Series:
+        return lines.map(_edge_form, na_action="ignore")
+
+    return form
+
+
+def _line_matrix(p: pd.DataFrame, whole: bool) -> np.ndarray:
+    """Features of edge lines; with ``whole`` any page of the document may be the line's pair, not only those beside."""
+    alike = p["alike"].to_numpy(float)
+    if whole:
+        alike = np.where(p["on_pages"] > 1, 1.0, alike)
+    flags = np.array([_form_flags(f) for f in p["form"]], dtype=float).reshape(-1, 3)
+    own = p["again"].to_numpy(float)
+    docs = p["docs"].to_numpy(float) - 1
+    rate = (p["docs_again"].to_numpy(float) - own + 0.1) / (docs + 1)
+    return np.column_stack((
+        alike, p["top"].to_numpy(float), np.log1p(p["form"].str.len().to_numpy(float)), p["form"].str.contains(r"[.。!?:]$").to_numpy(float), p["form"].str.contains(r"^\d").to_numpy(float),
+        flags, rate, np.log1p(docs),
+    ))
+
+
+class Found(NamedTuple):
+    """What is wrong with pages: replacements of tokens, divided words, furniture lines, page numbers, and the pages as read."""
+
+    known: DataFrame
+    replace: DataFrame
+    divided: DataFrame
+    lines: DataFrame
+    numbers: DataFrame
+
+
+def found(pages: DataFrame) -> Found:
+    """The noise of pages (row_id, page, doc, page_number, pages, text)."""
+    known = read(pages.filter("text is not null and row_id is not null"))
+    replace, counted = misreadings(known)
+    cuts = known.select("row_id", F.explode("cuts").alias("cut")).select("row_id", "cut.*")
+    edges = checkpoints.cut(page_numbers(known.select("row_id", "doc", "page_number", "pages", F.explode("edges").alias("edge")).select("row_id", "doc", "page_number", "pages", "edge.*")))
+    lines = checkpoints.cut(furniture(edges))
+    numbers = edges.filter("own").select("row_id", "k").unionByName(lines.filter("beside").select("row_id", "k"))
+    return Found(known, checkpoints.cut(replace), divided_words(cuts, counted), lines, numbers)
+
+
+def noise(pages: DataFrame) -> DataFrame:
+    """(row_id, noise) of pages (row_id, page, doc, page_number, pages, text)."""
+    all_found = found(pages)
+    misread = all_found.known.select("row_id", F.explode("tokens").alias("seen")).join(all_found.replace, "seen", "left_semi")
+    kinds = {"misread": misread, "hyphenation": all_found.divided, "running_header": all_found.lines, "page_number": all_found.numbers}
+    named = [rows.select("row_id", F.lit(kind).alias("noise")) for kind, rows in kinds.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).distinct()
+
+
+def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], gone: set[int], gone_lines: set[str] = frozenset()) -> str:
+    """A page as continuous paragraphs: its lines ``gone`` (counted without blank ones) and ``gone_lines`` left out, divided words whole,
+    misread words outside tables replaced."""
     out: list[str] = []
-    for k, line in enumerate(lines):
-        if k in gone:
+    k = -1
+    for line in text.split("\n"):
+        k += bool((plain(line) or "").strip())
+        if line.strip() and (k in gone or (gone_lines and (plain(line) or "").strip() in gone_lines)):
             continue
         if not line.strip() or line.startswith(("|", "#")):
             out.append(line.rstrip())
@@ -458,10 +528,10 @@ def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], fu
         fixed = "".join(chars[1:-1])
         before = out[-1] if out else ""
         joins = bool(before) and not before.startswith(("|", "#")) and len(before) >= 20
-        cut = re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)\s*$", before) if before else None
+        cut = re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)\s*$", before[-200:]) if before else None
         follows = re.match(r"[\w’']+", fixed)
         if cut and follows and (cut.group(1), follows.group()) in divided:
-            out[-1] = before[: cut.end(1)] + fixed
+            out[-1] = before[: len(before) - len(before[-200:]) + cut.end(1)] + fixed
         elif joins and not re.search(r"[:：]$|^\d{4}[-年]", before):
             out[-1] = before + ("" if _CHAR.search(before[-1]) or before[-1] in "。、" else " ") + fixed.strip()
         else:
@@ -469,43 +539,29 @@ def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], fu
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def repair(pages: DataFrame, out: str) -> DataFrame:
+def repair(pages: DataFrame, out: str, regions: DataFrame | None = None) -> DataFrame:
     """``pages`` (row_id, page, doc, page_number, pages, text) with column ``out``: the repaired text; NULL stays NULL.
 
-    What a page needs (its replacements, divided words and furniture) is joined to it, so nothing grows with the corpus
-    but the tables.  The same function repairs the Markdown of single regions.
+    With ``regions`` (row_id, text, ...), parts of these pages, they are repaired by what their pages show, and returned instead.  What a
+    page needs (its replacements, divided words and lines) is joined to it, so nothing grows with the corpus but the tables.
     """
-    known = pages.filter("text is not null and row_id is not null")
-    replace, counted = misreadings(known.select("page", "text"))
-    replace = checkpoints.cut(replace)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, doc, n, of, text in zip(batch["row_id"], batch["doc"], batch["page_number"], batch["pages"], batch["text"], strict=True):
-                n = None if pd.isna(n) else int(n)
-                rows.extend((i, "token", t, None, None, None, None, None, None, None, None) for t in tokens(text))
-                cuts, _, edges = line_marks(text, n)
-                rows.extend((i, "cut", a, b, m, None, None, None, None, None, None) for a, b, m in cuts)
-                if doc is not None and n is not None and not pd.isna(of) and of > 1:
-                    rows.extend((i, "edge", form, None, None, place, doc, n, *_form_flags(form)) for place, form, _ in edges)
-            frame = pd.DataFrame(rows, columns=["row_id", "kind", "left", "right", "mark", "place", "doc", "page_number", "firm", "secret", "numbered"])
-            yield frame.astype({c: "Int32" for c in ("place", "page_number", "firm", "secret", "numbered")})
-
-    schema = "row_id string, kind string, left string, right string, mark string, place int, doc string, page_number int, firm int, secret int, numbered int"
-    marks = checkpoints.cut(known.select("row_id", "doc", "page_number", "pages", "text").mapInPandas(run, schema))
-    edges = marks.filter("kind = 'edge'").select("row_id", F.col("left").alias("form"), "place", "doc", "page_number", "firm", "secret", "numbered", F.lit(2).alias("pages"))
-    needs = marks.filter("kind = 'token'").join(replace, F.col("left") == F.col("seen")).select("row_id", F.struct(F.lit("t").alias("kind"), F.col("seen").alias("a"), F.col("meant").alias("b")).alias("need"))
-    needs = needs.unionByName(divided_words(marks.filter("kind = 'cut'").select("row_id", "left", "right", "mark"), counted).select("row_id", F.struct(F.lit("c").alias("kind"), F.col("left").alias("a"), F.col("right").alias("b")).alias("need")))
-    needs = needs.unionByName(furniture(edges).select("row_id", F.struct(F.lit("f").alias("kind"), F.col("form").alias("a"), F.lit("").alias("b")).alias("need")))
-    per_page = needs.groupBy("row_id").agg(F.collect_set("need").alias("__needs"))
+    all_found = found(pages)
+    need = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b")).alias("need")
+    lines = all_found.lines.select("row_id", "k").unionByName(all_found.numbers).distinct()
+    texts = all_found.known.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.k", "e.line").join(lines, ["row_id", "k"])
+    needs = all_found.known.select("row_id", F.explode("tokens").alias("seen")).join(all_found.replace, "seen").select("row_id", need("t", F.col("seen"), F.col("meant")))
+    needs = needs.unionByName(all_found.divided.select("row_id", need("c", F.col("left"), F.col("right"))))
+    needs = needs.unionByName(texts.select("row_id", need("g", F.col("k").cast("string"), F.col("line"))))
+    per_page = needs.groupBy("row_id").agg(F.collect_set("need").alias("__needs"))  # of one page
+    by_line = regions is not None
 
     @F.pandas_udf(T.StringType())
-    def put(texts: pd.Series, numbers: pd.Series, found: pd.Series) -> pd.Series:
+    def put(texts: pd.Series, found: pd.Series) -> pd.Series:
         done = []
-        for text, n, need in zip(texts, numbers, found, strict=True):
+        for text, need in zip(texts, found, strict=True):
             rows = [] if need is None else [(x["kind"], x["a"], x["b"]) for x in need]
-            done.append(None if text is None else repaired(text, {a: b for k, a, b in rows if k == "t"}, {(a, b) for k, a, b in rows if k == "c"}, {a for k, a, _ in rows if k == "f"}, None if pd.isna(n) else int(n)))
+            gone = {(b if by_line else int(a)) for kind, a, b in rows if kind == "g"}
+            done.append(None if text is None else repaired(text, {a: b for k, a, b in rows if k == "t"}, {(a, b) for k, a, b in rows if k == "c"}, set() if by_line else gone, gone if by_line else frozenset()))
         return pd.Series(done)
 
-    return pages.join(per_page, "row_id", "left").withColumn(out, put("text", "page_number", "__needs")).drop("__needs")
+    return (regions if by_line else pages).join(per_page, "row_id", "left").withColumn(out, put("text", "__needs")).drop("__needs")
