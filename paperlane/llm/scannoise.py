@@ -510,7 +510,7 @@ def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], go
     """A page as continuous paragraphs: its lines ``gone`` (counted without blank ones) and ``gone_lines`` left out, divided words whole,
     misread words outside tables replaced."""
     out: list[str] = []
-    k = -1
+    k, width = -1, 0
     for line in text.split("\n"):
         k += bool((plain(line) or "").strip())
         if line.strip() and (k in gone or (gone_lines and (plain(line) or "").strip() in gone_lines)):
@@ -527,7 +527,10 @@ def repaired(text: str, meant: dict[str, str], divided: set[tuple[str, str]], go
                 chars[i] = hit[2]
         fixed = "".join(chars[1:-1])
         before = out[-1] if out else ""
-        joins = bool(before) and not before.startswith(("|", "#")) and len(before) >= 20
+        # a line goes on below if it is as long as lines of running text are, or if the next begins in the middle of a sentence
+        full = width >= (20 if _CHAR.search(before[-12:]) else 40) or (width >= 20 and fixed.lstrip()[:1].islower())
+        joins = bool(before) and not before.startswith(("|", "#")) and full
+        width = len(fixed)
         cut = re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)\s*$", before[-200:]) if before else None
         follows = re.match(r"[\w’']+", fixed)
         if cut and follows and (cut.group(1), follows.group()) in divided:
