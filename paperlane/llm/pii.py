@@ -88,10 +88,11 @@ _AGAINST = r"(?i)track|sendung|suivi|colis|paket|parcel|shipment|追跡|追|送
 _SHORT_END, _OPEN_END = re.compile(r"[.。:：\d]$"), re.compile(r"[a-z,] ?\d*$")
 
 
-def _placed(text: str) -> tuple[str, list[int], list[int]]:
+def _placed(text: str, lines: list[str] | None = None) -> tuple[str, list[int], list[int]]:
     """(text read as it was meant, line of each of its characters, place of each in its line's plain form; -1 for what joins lines)."""
-    whole = is_plain(text)
-    lines = [x if whole else plain(x) or "" for x in text.split("\n")]
+    if lines is None:
+        whole = is_plain(text)
+        lines = [x if whole else plain(x) or "" for x in text.split("\n")]
     out: list[str] = []
     at: list[int] = []
     places: list[int] = []
@@ -121,9 +122,9 @@ def _placed(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), at, places
 
 
-def view(text: str) -> tuple[str, list[int]]:
-    """(text read as it was meant, line of each of its characters)."""
-    return _placed(text)[:2]
+def view(text: str, lines: list[str] | None = None) -> tuple[str, list[int]]:
+    """(text read as it was meant, line of each of its characters); ``lines`` in plain form where they are known."""
+    return _placed(text, lines)[:2]
 
 
 def _shape(text: str) -> str:

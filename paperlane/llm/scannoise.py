@@ -22,7 +22,7 @@ the pair but from the document's further pages: whether one of them has the line
 incomplete, not wrong, so scores are divided by their mean over labelled cases.  A line is judged by its best pair, and its score alone
 decides.  A number beside a header is a page number.
 
-Everything but the classifiers' training rows (the least by hash, ``train`` and ``train_pairs`` of them) covers all pages.
+Everything but the classifiers' training rows (the least by hash, ``train``, ``train_pairs`` and ``weak_pairs`` of them) covers all pages.
 
 Defined results: NULL, empty and blank pages have no noise; tables are never corrected; figures and codes are never
 misread; pages whose document is unknown or has one page have no running header; pages without a number have no
@@ -37,6 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,10 +55,10 @@ _SECRET = re.compile(r"(?i)^(confidential|confidentiel|vertraulich|internal|inte
 _NUMBERED = re.compile(r"[A-Z]{1,4}-\d{3,}-\d{2,}")
 
 
-def tokens(text: str) -> set[str]:
+def tokens(text: str, lines: list[str] | None = None) -> set[str]:
     """The distinct tokens of a page outside tables: ``w`` + word, or ``c`` + a character between its neighbours."""
     out: set[str] = set()
-    joined, _ = view(text)
+    joined, _ = view(text, lines)
     for line in joined.split("\n"):
         if not line or line[0] == "|":
             continue
@@ -67,7 +68,7 @@ def tokens(text: str) -> set[str]:
             line = _URL.sub(" ", line)
         for m in _WORD.finditer(line):
             w = m.group()
-            letters = sum(c.isalpha() for c in w)
+            letters = len(w) if w.isalpha() else sum(map(str.isalpha, w))
             if letters >= 3 and len(w) - letters <= 2 and not (w.isupper() and len(w) > letters):
                 out.add("w" + w)
         if _CHAR.search(line):
@@ -81,8 +82,8 @@ def tokens(text: str) -> set[str]:
 _SMALL = re.compile(r"(?<!\d)(?<!\d[.,:/-])\d{1,4}(?!\d)(?![.,:]\d)")
 _APART = re.compile(r"[ 　]{2,}| [-–—|·] ")
 _READ = (
-    "row_id string, page string, doc string, page_number int, pages int, tokens array<string>, cuts array<struct<left:string,right:string,mark:string>>, "
-    "edges array<struct<k:int,line:string,form:string,numbers:array<struct<value:int,shape:string,masked:string,beside:string>>>>"
+    "row_id string, page string, doc string, results long, page_number int, pages int, tokens array<string>, cuts array<array<string>>, "
+    "edges array<struct<k:int,line:string,form:string>>, numbers array<struct<k:int,value:int,shape:string,masked:string,beside:string>>"
 )
 
 
@@ -104,9 +105,9 @@ def numbers_of(line: str) -> list[tuple[int, str, str, str | None]]:
     return out
 
 
-def line_marks(text: str) -> tuple[list[tuple[str, str, str]], list[tuple[int, str, str, list]]]:
+def line_marks(lines: list[str]) -> tuple[list[tuple[str, str, str]], list[tuple[int, str, str, list]]]:
     """(divided words as (left, right, mark), edge lines as (place among lines, line, form, numbers)): the three first and last lines."""
-    lines = [x.strip() for x in (text if is_plain(text) else plain_lines(text)).split("\n")]
+    lines = [x.strip() for x in lines]
     cuts = []
     for a, b in zip(lines, lines[1:], strict=False):
         if a and b and a[-1] in _MARKS and (b[0].islower() or (b[0] in "0159" and b[1:2].islower())) and (m := re.search(rf"([A-Za-zÀ-ÿ’']+(?:-[A-Za-zÀ-ÿ]+)*)[ ]?([{_MARKS}]+)$", a)):
@@ -119,17 +120,30 @@ def line_marks(text: str) -> tuple[list[tuple[str, str, str]], list[tuple[int, s
 def read(pages: DataFrame) -> DataFrame:
     """One row per page: its distinct tokens, divided words and edge lines. Texts are gone through once; all else is made from this table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            marks = [line_marks(t) for t in batch["text"]]
-            out = batch[["row_id", "page", "doc"]].copy()
-            out["page_number"], out["pages"] = batch["page_number"].astype("Int32"), batch["pages"].astype("Int32")
-            out["tokens"] = [sorted(tokens(t)) for t in batch["text"]]
-            out["cuts"] = [[dict(zip(("left", "right", "mark"), c, strict=True)) for c in cuts] for cuts, _ in marks]
-            out["edges"] = [[{"k": k, "line": line, "form": form, "numbers": [dict(zip(("value", "shape", "masked", "beside"), n, strict=True)) for n in found]} for k, line, form, found in edges] for _, edges in marks]
-            yield out
+    strings = pa.list_(pa.string())
+    edge = pa.list_(pa.struct([("k", pa.int32()), ("line", pa.string()), ("form", pa.string())]))
+    number = pa.list_(pa.struct([("k", pa.int32()), ("value", pa.int32()), ("shape", pa.string()), ("masked", pa.string()), ("beside", pa.string())]))
+    kept = ["row_id", "page", "doc", "results", "page_number", "pages"]
+    names = [*kept, "tokens", "cuts", "edges", "numbers"]
 
-    return checkpoints.cut(pages.select("row_id", "page", "doc", "page_number", "pages", "text").mapInPandas(run, _READ))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            lines = [plain_lines(t) for t in texts]
+            marks = [line_marks(x) for x in lines]
+            made = [
+                pa.array([list(tokens(t, x)) for t, x in zip(texts, lines, strict=True)], strings),
+                pa.array([cuts for cuts, _ in marks], pa.list_(strings)),
+                pa.array([[(k, line, form) for k, line, form, _ in edges] for _, edges in marks], edge),
+                pa.array([[(k, *n) for k, _, _, found in edges for n in found] for _, edges in marks], number),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names)
+
+    # pages come joined by their page, so counting a page's results moves nothing again
+    known, alone = pages.filter("page is not null"), pages.filter("page is null").withColumn("results", F.lit(1).cast("long"))
+    counted = known.withColumn("results", F.count("*").over(Window.partitionBy("page"))).unionByName(alone)
+    typed = counted.select(*[F.col(c).cast(t).alias(c) for c, t in (("row_id", "string"), ("page", "string"), ("doc", "string"), ("results", "long"), ("page_number", "int"), ("pages", "int"), ("text", "string"))])
+    return checkpoints.cut(typed.mapInArrow(run, _READ))
 
 
 def counts_of(known: DataFrame) -> DataFrame:
@@ -256,9 +270,8 @@ def clear(x: np.ndarray) -> np.ndarray:
 
 
 def labelled(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the number of pages that show them misread (``yes``) and read alike twice (``no``), of (row_id, page, tokens)."""
-    twice = known.groupBy("page").agg(F.count("*").alias("results")).filter("results > 1")
-    several = known.join(twice, "page").select("page", "results", F.col("row_id").alias("reading"), F.explode("tokens").alias("token"))
+    """Pairs with the number of pages that show them misread (``yes``) and read alike twice (``no``), of (row_id, page, results, tokens)."""
+    several = known.filter("results > 1").select("page", "results", F.col("row_id").alias("reading"), F.explode("tokens").alias("token"))
     seen = checkpoints.cut(several)
     counts = seen.groupBy("page", "token").agg(F.count("*").alias("k"))
     beside = seen.select("page", "reading", F.col("token").alias("meant"), F.lit(1).alias("beside"))
@@ -273,10 +286,10 @@ def labelled(known: DataFrame, pairs: DataFrame) -> DataFrame:
     return judged.groupBy("seen", "meant").agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no")).filter("yes + no > 0")
 
 
-def misreadings(known: DataFrame, train_pairs: int = 40_000, weak: float = 20.0) -> tuple[DataFrame, DataFrame]:
+def misreadings(known: DataFrame, train_pairs: int = 20_000, weak_pairs: int = 2_000, weak: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """((seen, meant), counted tokens): the best replacement of each misread token of (row_id, page, tokens).
 
-    The trees are trained on at most ``train_pairs`` pairs that pages read twice show, and on as many that none shows, by weak
+    The trees are trained on at most ``train_pairs`` pairs that pages read twice show, and on ``weak_pairs`` that none shows, by weak
     labels that weigh as much as ``weak`` shown ones together: they decide only where hardly any page was read twice.
     """
     counted = checkpoints.cut(counts_of(known))
@@ -288,7 +301,7 @@ def misreadings(known: DataFrame, train_pairs: int = 40_000, weak: float = 20.0)
         pairs = pairs.join(said, key)
     pairs = checkpoints.cut(pairs)
     by_hash = F.xxhash64("seen", "meant")
-    own, unseen = (pairs.filter(which).orderBy(by_hash).limit(train_pairs).toPandas() for which in ("yes + no > 0", "yes + no = 0"))
+    own, unseen = (pairs.filter(which).orderBy(by_hash).limit(most).toPandas() for which, most in (("yes + no > 0", train_pairs), ("yes + no = 0", weak_pairs)))
     y = (own["yes"] / (own["yes"] + own["no"])).to_numpy(float)
     weight = np.sqrt(own["yes"] + own["no"]).to_numpy(float)
     if len(own):
@@ -332,8 +345,8 @@ def _next_to_each_other(best: DataFrame, counted: DataFrame, ratio: float = 4.0,
     return doubtful.join(frequent, "meant").filter(F.col("n") * ratio <= F.col("n_meant")).select("seen", "meant")
 
 
-def plain_lines(text: str) -> str:
-    return "\n".join(plain(x) or "" for x in text.split("\n"))
+def plain_lines(text: str) -> list[str]:
+    return text.split("\n") if is_plain(text) else [plain(x) or "" for x in text.split("\n")]
 
 
 def _edge_form(line: str) -> str:
@@ -381,26 +394,26 @@ def divided_words(cuts: DataFrame, counted: DataFrame, train: int = 20_000) -> D
     return found.filter(score > 0)
 
 
-def page_numbers(edges: DataFrame) -> DataFrame:
-    """The edge lines (row_id, k, line, form, numbers, page_number) with ``own``, whether the line is the page's number, and ``beside``,
-    the form of what stands beside a number that is the page's.
+def page_numbers(known: DataFrame) -> DataFrame:
+    """The edge lines (row_id, doc, page_number, pages, k, line, form) of pages as read, with ``own``, whether the line is the page's number, and
+    ``beside``, what stands beside a number that is the page's.
 
     A shape's share of lines that carry their page's number is counted over second and later pages, without the line itself, and starts from
     the share of its masked shape.
     """
-    of = edges.filter("page_number is not null").select("row_id", "k", "page_number", F.explode("numbers").alias("number")).select("row_id", "k", "page_number", "number.*")
-    of = checkpoints.cut(of.withColumn("equal", (F.col("value") == F.col("page_number")).cast("int")).withColumn("later", (F.col("page_number") > 1).cast("int")))
+    edges = known.select("row_id", "doc", "page_number", "pages", F.explode("edges").alias("edge")).select("row_id", "doc", "page_number", "pages", "edge.*")
+    of = known.filter("page_number is not null").select("row_id", "page_number", F.explode("numbers").alias("number")).select("row_id", "page_number", "number.*")
+    of = of.withColumn("equal", (F.col("value") == F.col("page_number")).cast("int")).withColumn("later", (F.col("page_number") > 1).cast("int"))
     judged = of
     for key in ("shape", "masked"):
-        judged = judged.join(of.groupBy(key).agg(F.sum("later").alias(f"n_{key}"), F.sum(F.col("equal") * F.col("later")).alias(f"eq_{key}")), key)
+        judged = judged.filter("equal = 1").join(of.groupBy(key).agg(F.sum("later").alias(f"n_{key}"), F.sum(F.col("equal") * F.col("later")).alias(f"eq_{key}")), key)
     equal, later = F.col("equal") * F.col("later"), F.col("later")
     masked = (F.col("eq_masked") - equal + 0.2) / (F.col("n_masked") - later + 2.0)
     share = (F.col("eq_shape") - equal + 10 * masked) / (F.col("n_shape") - later + 10)
-    likely = judged.filter((F.col("equal") == 1) & (share > 0.5))
+    likely = judged.filter(share > 0.5)
     own = likely.groupBy("row_id", "k").agg(F.max(F.when(F.col("beside").isNull(), 1)).alias("alone"), F.max("beside").alias("beside"))
-    known = edges.join(own, ["row_id", "k"], "left")
     # with something beside it, whether the line is furniture decides
-    return known.withColumn("own", F.col("alone").isNotNull() & F.col("beside").isNull()).drop("alone", "numbers")
+    return edges.join(own, ["row_id", "k"], "left").withColumn("own", F.col("alone").isNotNull() & F.col("beside").isNull()).drop("alone")
 
 
 _FORM = "row_id string, k int, form string, beside boolean"
@@ -436,7 +449,7 @@ def furniture(edges: DataFrame, train: int = 20_000) -> DataFrame:
     rows = rows.withColumn("shape", shape).join(by_doc, ["doc", "shape"]).join(by_shape, "shape")
     further = F.col("doc_pages") - 1 - F.col("beside_pages")
     rows = checkpoints.cut(rows.withColumn("label", F.when(further > 0, (F.col("on_pages") - 1 - F.col("same_beside") > 0).cast("int"))))
-    sample = rows.filter("label is not null").orderBy(F.xxhash64("row_id", "k")).limit(train).toPandas()
+    sample = rows.filter("label is not null").orderBy(F.xxhash64("row_id", "k")).limit(train).select("label", "form", "top", "alike", "on_pages", "again", "docs", "docs_again").toPandas()
     # what is known before any page is read: a line that comes again is furniture, one that doesn't isn't
     prior = [[1 - k / 40, top, 3, 0, 0, 0, 0, 0, 0.5, 1] for k in range(5) for top in (0, 1)] + [[k / 8, top, 3, 0, 0, 0, 0, 0, 0.05, 1] for k in range(5) for top in (0, 1)]
     x = np.concatenate((_line_matrix(sample, False), prior))
@@ -490,17 +503,23 @@ def found(pages: DataFrame) -> Found:
     """The noise of pages (row_id, page, doc, page_number, pages, text)."""
     known = read(pages.filter("text is not null and row_id is not null"))
     replace, counted = misreadings(known)
-    cuts = known.select("row_id", F.explode("cuts").alias("cut")).select("row_id", "cut.*")
-    edges = checkpoints.cut(page_numbers(known.select("row_id", "doc", "page_number", "pages", F.explode("edges").alias("edge")).select("row_id", "doc", "page_number", "pages", "edge.*")))
+    cuts = known.select("row_id", F.explode("cuts").alias("cut")).select("row_id", *[F.col("cut")[i].alias(n) for i, n in enumerate(("left", "right", "mark"))])
+    edges = checkpoints.cut(page_numbers(known))
     lines = checkpoints.cut(furniture(edges))
     numbers = edges.filter("own").select("row_id", "k").unionByName(lines.filter("beside").select("row_id", "k"))
     return Found(known, checkpoints.cut(replace), divided_words(cuts, counted), lines, numbers)
 
 
-def noise(pages: DataFrame) -> DataFrame:
-    """(row_id, noise) of pages (row_id, page, doc, page_number, pages, text)."""
+def noise(pages: DataFrame, most_broadcast: int = 300_000) -> DataFrame:
+    """(row_id, noise) of pages (row_id, page, doc, page_number, pages, text).
+
+    At most ``most_broadcast`` misread tokens are broadcast to the pages' tokens; more of them are joined by shuffle.
+    """
     all_found = found(pages)
-    misread = all_found.known.select("row_id", F.explode("tokens").alias("seen")).join(all_found.replace, "seen", "left_semi")
+    seen = all_found.replace.select("seen")
+    if seen.count() <= most_broadcast:
+        seen = F.broadcast(seen)
+    misread = all_found.known.select("row_id", F.explode("tokens").alias("seen")).join(seen, "seen", "left_semi")
     kinds = {"misread": misread, "hyphenation": all_found.divided, "running_header": all_found.lines, "page_number": all_found.numbers}
     named = [rows.select("row_id", F.lit(kind).alias("noise")) for kind, rows in kinds.items()]
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3]).distinct()

@@ -451,7 +451,7 @@ def test_every_page_read_twice_is_counted(spark):
     rows = [(f"p{k}", text) for k in range(300) for text in ("whole delivery", "whole dclivery")]
     rows += [("often", "whole delivery")] * 24 + [("often", "whole dclivery"), ("once", "whole dclivery"), (None, "whole dclivery"), (None, "whole delivery")]
     pairs = spark.createDataFrame([("wdclivery", "wdelivery")], "seen string, meant string")
-    frame = spark.createDataFrame([(str(i), p, sorted(scannoise.tokens(t))) for i, (p, t) in enumerate(rows)], "row_id string, page string, tokens array<string>")
+    frame = spark.createDataFrame([(str(i), p, sum(q == p for q, _ in rows) if p else 1, sorted(scannoise.tokens(t))) for i, (p, t) in enumerate(rows)], "row_id string, page string, results long, tokens array<string>")
     assert [tuple(r) for r in scannoise.labelled(frame, pairs).collect()] == [("wdclivery", "wdelivery", 301, 0)]
 
 
