@@ -2,17 +2,23 @@
 
 Two texts in normal form match exactly if they are equal or the value stands in the unit; else by edits, if at most
 18 of 100 characters of the value differ.  That bound gives lossless blocking: a value of n characters allows
-k = floor(18 n / 100) edits, so of k + 1 contiguous pieces one survives as it is.  The value emits the first three characters
-of each piece, the unit its distinct trigrams; the equi-join on them finds every pair that can match, and the score is
-computed for those only.  Values of two characters are looked up among the unit's pairs of characters.
+k = floor(18 n / 100) edits, so of k + 1 trigrams that don't overlap one survives as it is.  The value emits those k + 1 that fewest units
+of its company have (none for one that no unit has), the unit its distinct trigrams; the equi-join on them finds every
+pair that can match, and the score is computed for those only.  What many names share, such as the form of a company, is thus a
+key only of names that are too short to have k + 1 trigrams beside it.  Values of two characters are looked up among
+the unit's pairs of characters.
 
 Orders are explicit: score, then canonical before learned, then value, then unit.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlane.functions.markdown import text_units
 from paperlane.functions.text import normal_form
@@ -43,17 +49,43 @@ def units(pages: DataFrame, *keys: str, text: str = "markdown") -> DataFrame:
 def score(value: Column, unit: Column) -> Column:
     """1 for a value equal to or within the unit, else the similarity if it reaches the threshold, else NULL; of normal forms."""
     n = F.length(value)
-    similar = 1.0 - F.levenshtein(value, unit) / n
+    # lengths that differ by more than the edits allow are no match, whatever the letters
+    similar = F.when(F.abs(F.length(unit) - n) <= F.floor(18 * n / 100), 1.0 - F.levenshtein(value, unit) / n)
     return F.when((value == unit) | (F.instr(unit, value) > 0), 1.0).when((F.length(unit) <= 2 * n + 6) & (similar >= THRESHOLD), similar)
 
 
-def _value_keys(norm: Column) -> Column:
-    """The keys of which a unit that matches has at least one."""
-    n = F.length(norm)
-    edits = F.floor(18 * n / 100).cast("int")
-    piece = lambda i: F.floor(i * n / (edits + 1)).cast("int") + 1
-    pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.substring(norm, piece(i), F.lit(3)))
-    return F.array_distinct(F.when(n >= 3, pieces).otherwise(F.array(norm)))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _least_places(counts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The places of ``wanted`` grams, three or more apart, whose counts have the least sum; counts are in order of place."""
+    out = []
+    for df, k in zip(counts, wanted, strict=True):
+        n, k = len(df), int(k)
+        # best[j][p]: least sum of j grams from place p on
+        best = [[0.0] * (n + 3)] + [[float("inf")] * (n + 3) for _ in range(k)]
+        for j in range(1, k + 1):
+            for p in range(n - 1, -1, -1):
+                best[j][p] = min(best[j][p + 1], float(df[p]) + best[j - 1][min(p + 3, n + 2)])
+        places, p = [], 0
+        for j in range(k, 0, -1):
+            while p < n and best[j][p] == best[j][p + 1]:
+                p += 1
+            if p < n:
+                places.append(p)
+            p = min(p + 3, n)
+        out.append(places)
+    return pd.Series(out)
+
+
+def rarest_keys(values: DataFrame, text: str, wanted: Column, cut: DataFrame, scope: str) -> DataFrame:
+    """(scope, text, k): of each value ``wanted`` trigrams that don't overlap and that fewest rows of ``cut`` (scope, k) have.
+
+    A trigram that no row has gives no key, as no row can have it.
+    """
+    grams = values.select(scope, text, wanted.cast("int").alias("__wanted"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).alias("place", "k"))
+    df = cut.groupBy(scope, "k").agg(F.count("*").alias("__df"))
+    counted = grams.join(df, [scope, "k"], "left").groupBy(scope, text, "__wanted").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("__df", F.lit(0)).alias("df"), "k"))).alias("__grams"))  # of one value
+    placed = counted.withColumn("__places", _least_places(F.col("__grams.df"), "__wanted"))
+    return placed.select(scope, text, F.explode(F.filter(F.transform("__places", lambda p: F.get("__grams", p)), lambda g: g["df"] > 0)["k"]).alias("k")).distinct()
 
 
 def _grams(norm: Column, k: int) -> Column:
@@ -67,15 +99,25 @@ def candidates(values: DataFrame, found: DataFrame, scope: str = "company_id") -
     Texts are made distinct before they are cut up; keys that no value has are dropped by the join's bloom filter or broadcast.
     """
     v, u = values.select(scope, "norm").distinct(), found.select(scope, "unit_norm").distinct()
-    pairs = None
-    for k, some in ((3, v.filter(F.length("norm") >= 3)), (2, v.filter(F.length("norm") == 2))):
-        keyed = some.select(scope, "norm", F.explode(_value_keys(F.col("norm"))).alias("k"))
-        cut = u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), k)).alias("k"))
-        met = keyed.join(cut, [scope, "k"]).select(scope, "norm", "unit_norm")
-        # most pairs share a piece by chance: the score is checked before pairs are made distinct
-        met = met.withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs.distinct()
+    long, short = v.filter(F.length("norm") >= 3), v.filter(F.length("norm") == 2)
+    cut = checkpoints.cut(u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), 3)).alias("k")))
+    met = rarest_keys(long, "norm", F.floor(18 * F.length("norm") / 100) + 1, cut, scope).join(cut, [scope, "k"]).select(scope, "norm", "unit_norm")
+    pairs = short.join(u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), 2)).alias("norm")), [scope, "norm"]).select(scope, "norm", "unit_norm")
+    # most pairs share a trigram by chance: the score is checked before pairs are made distinct
+    return met.unionByName(pairs).withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null").distinct()
+
+
+def contained(lines: DataFrame, values: DataFrame, scope: str, line: str, value: str) -> DataFrame:
+    """``lines`` with each ``value`` of their scope that stands in ``line``, each pair of row and value once; values of one character or more.
+
+    Lines are made distinct before they are cut up; a value is looked up by the rarest of its trigrams (shorter ones by themselves).
+    """
+    v, u = values.select(scope, value).distinct(), lines.select(scope, line).distinct()
+    cut = checkpoints.cut(u.select(scope, line, F.explode(_grams(F.col(line), 3)).alias("k")))
+    met = rarest_keys(v.filter(F.length(value) >= 3), value, F.lit(1), cut, scope).join(cut, [scope, "k"]).filter(F.contains(line, value)).select(scope, line, value)
+    for k in (2, 1):
+        met = met.unionByName(v.filter(F.length(value) == k).join(u.select(scope, line, F.explode(_grams(F.col(line), k)).alias(value)), [scope, value]).select(scope, line, value))
+    return lines.join(met, [scope, line])
 
 
 def best_matches(pages: DataFrame, records: DataFrame, types: DataFrame) -> DataFrame:
@@ -118,9 +160,87 @@ def replaced_text(text: Column, replacements: Column) -> Column:
     return F.aggregate(replacements, text, lambda t, r: F.replace(t, r["matched"], r["value"]))
 
 
-def learned_aliases(aliases: Column, field: Column, text: Column, master_value: Column, canonical: Column) -> Column:
-    """Aliases with a new spelling, if it is a genuine variant that isn't known; arguments in normal form but for ``text``."""
-    norm = normal_form(text)
+class Linked(NamedTuple):
+    """Tables after links were confirmed, with the corrections to record and the links refused (id, reason)."""
+
+    matches: DataFrame
+    results: DataFrame
+    records: DataFrame
+    corrections: DataFrame
+    refused: DataFrame
+
+
+def linked(matches: DataFrame, results: DataFrame, records: DataFrame, chosen: DataFrame) -> Linked:
+    """Confirmed matches carried through: ``chosen`` has (id, linked_by, linked_at).
+
+    The matched text becomes the master value everywhere in the result's markdown and layout, in order of match ids; a text that is no longer
+    there is refused as stale. Each change is an approved correction with the text before and after, and teaches the record the
+    spelling as an alias. Links made before stay as they are; unknown ids are refused.
+    """
+    wanted = chosen.dropDuplicates(["id"]).withColumnRenamed("linked_by", "__by").withColumnRenamed("linked_at", "__at").join(matches.dropDuplicates(["id"]), "id", "left").filter("status is null or status <> 'linked'")
+    found = wanted.join(results.select(F.col("id").alias("ocr_result_id"), F.col("markdown").alias("__text")), "ocr_result_id", "left")
+    steps = F.array_sort(F.collect_list(F.when(F.col("__text").isNotNull(), F.struct("id", "matched_text", "master_value"))))  # the links of one result
+    by_result = found.groupBy("ocr_result_id").agg(F.first("__text").alias("text"), steps.alias("steps"))
+    state = "struct<text:string,done:array<struct<id:string,before:string,after:string,matched:string,value:string>>>"
+
+    def step(s: Column, m: Column) -> Column:
+        after = F.replace(s["text"], m["matched_text"], m["master_value"])
+        there = F.contains(s["text"], m["matched_text"])
+        entry = F.struct(m["id"].cast("string").alias("id"), s["text"].alias("before"), after.alias("after"), m["matched_text"].alias("matched"), m["master_value"].alias("value"))
+        return F.when(m["matched_text"] == m["master_value"], F.struct(s["text"].alias("text"), s["done"].alias("done"))).when(there, F.struct(after.alias("text"), F.array_append(s["done"], entry).alias("done"))).otherwise(F.struct(s["text"].alias("text"), s["done"].alias("done"))).cast(state)
+
+    folded = by_result.withColumn("state", F.aggregate("steps", F.struct(F.col("text"), F.array().cast(state.removeprefix("struct<text:string,done:").removesuffix(">")).alias("done")).cast(state), step))
+    folded = checkpoints.cut(folded.select("ocr_result_id", "state.text", "state.done"))
+    done = folded.select("ocr_result_id", F.explode("done").alias("c")).select("ocr_result_id", "c.id", F.col("c.before").alias("original_markdown"), F.col("c.after").alias("corrected_markdown"))
+    same = F.col("matched_text") == F.col("master_value")
+    judged = found.withColumn("id", F.col("id").cast("string")).join(done.select("id", F.lit(True).alias("__changed")), "id", "left")
+    reason = F.when(F.col("status").isNull(), "no such match").when(F.col("__text").isNull(), "no such result").when(~same & F.col("__changed").isNull(), "matched text no longer there")
+    judged = checkpoints.cut(judged.withColumn("__reason", reason))
+    accepted = judged.filter("__reason is null")
+    now = accepted.select(F.col("id").alias("__id"), "__by", "__at")
+    kept = matches.join(now, F.col("id").cast("string") == F.col("__id"), "left")
+    after = kept.select(*[{"status": F.when(F.col("__id").isNotNull(), "linked").otherwise(F.col("status")), "linked_by": F.when(F.col("__id").isNotNull(), F.col("__by")).otherwise(F.col("linked_by")), "linked_at": F.when(F.col("__id").isNotNull(), F.col("__at")).otherwise(F.col("linked_at"))}.get(c, F.col(c)).alias(c) for c in matches.columns])
+    changes = folded.filter("size(done) > 0").select("ocr_result_id", F.col("text").alias("__new"), F.transform("done", lambda c: F.struct(c["matched"].alias("matched"), c["value"].alias("value"))).alias("__steps"))
+    renewed = results.join(changes, results["id"] == changes["ocr_result_id"], "left")
+    layout = F.aggregate(F.coalesce("__steps", F.array().cast("array<struct<matched:string,value:string>>")), F.col("layout_json"), lambda t, c: F.replace(t, _json_text(c["matched"]), _json_text(c["value"]))) if "layout_json" in results.columns else None
+    renewed = renewed.select(*[F.coalesce("__new", "markdown").alias(c) if c == "markdown" else layout.alias(c) if c == "layout_json" else results[c] for c in results.columns])
+    spelled = accepted.filter(~same).groupBy("master_record_id").agg(F.array_sort(F.collect_set(F.struct("field_key", "matched_text", normal_form(F.col("matched_text")).alias("norm"), normal_form(F.col("master_value")).alias("value")))).alias("__new"))  # the links of one record
+    taught = records.join(spelled, records["id"] == spelled["master_record_id"], "left")
+    folded_aliases = F.aggregate("__new", F.coalesce("aliases", F.array().cast(dict(records.dtypes)["aliases"])), lambda a, m: learned_aliases(a, m["field_key"], m["matched_text"], m["value"], F.lit(None).cast("string"), m["norm"]).cast(dict(records.dtypes)["aliases"]))
+    taught = taught.select(*[F.when(F.col("__new").isNull(), F.col("aliases")).otherwise(folded_aliases).alias(c) if c == "aliases" else records[c] for c in records.columns])
+    corrections = done.select(F.col("id").alias("match_id"), "ocr_result_id", "original_markdown", "corrected_markdown", F.lit("approved").alias("status"))
+    return Linked(after, renewed, taught, corrections, judged.filter("__reason is not null").select("id", F.col("__reason").alias("reason")))
+
+
+def _json_text(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    quoted = F.to_json(F.struct(text.alias("v")))
+    return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
+
+
+def field_candidates(documents: DataFrame) -> DataFrame:
+    """(document_id, key, value, page_number, type) of extracted fields (document_id, extracted_json) that names may stand in: with a value and a
+    page, and neither date nor amount nor number."""
+    schema = "fields array<struct<key:string,value:string,page_number:int,type:string>>"
+    fields = documents.select("document_id", F.explode(F.from_json("extracted_json", schema)["fields"]).alias("f")).select("document_id", "f.*")
+    return fields.filter("trim(value) <> '' and page_number <> 0 and coalesce(type, '') not in ('date', 'amount', 'number')")
+
+
+def document_field_matches(documents: DataFrame, pages: DataFrame, matches: DataFrame) -> DataFrame:
+    """The best match of each extracted field on its page: :func:`field_candidates` through :func:`field_matches`."""
+    placed = field_candidates(documents).join(pages.select("document_id", "page_number", F.col("id").alias("page_id")), ["document_id", "page_number"])
+    return field_matches(placed, matches)
+
+
+def dismissed(matches: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Matches with the ``chosen`` (id) dismissed."""
+    marked = matches.join(chosen.select("id").distinct().withColumn("__gone", F.lit(True)), "id", "left")
+    return marked.withColumn("status", F.when(F.col("__gone"), "dismissed").otherwise(F.col("status"))).select(*matches.columns)
+
+
+def learned_aliases(aliases: Column, field: Column, text: Column, master_value: Column, canonical: Column, norm: Column | None = None) -> Column:
+    """Aliases with a new spelling, if it is a genuine variant that isn't known; arguments in normal form but for ``text``, whose own is ``norm``."""
+    norm = normal_form(text) if norm is None else norm
     known = F.coalesce(aliases, F.array().cast("array<struct<field_key:string,text:string>>"))
     genuine = (F.length(norm) >= 2) & (norm != master_value) & ~norm.eqNullSafe(canonical)
     there = F.exists(known, lambda a: a["field_key"].eqNullSafe(field) & a["text"].eqNullSafe(text))  # a NULL alias hides nothing

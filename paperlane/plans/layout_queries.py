@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.functions import geometry as G
@@ -18,41 +18,60 @@ SQL = {
 }
 
 
-def regions(spark: SparkSession, folder: str) -> DataFrame:
-    """(ocr_result_id, page_id, ord, kind, markdown, x0, y0, x1, y1, confidence, vertical, lines) of current results.
+def page_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """(ocr_result_id, page_id, regions) of current results: an array of (ord, kind, text, x0, y0, x1, y1, confidence, vertical, lines).
 
     Regions without a whole bbox have NULL for their place.
     """
     rows = table(spark, folder, "ocr_results").filter("is_current and layout_json is not null").select("id", "page_id", "layout_json")
     text = F.when(F.col("layout_json").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), F.col("layout_json"), F.lit("}")), "v string")["v"]).otherwise(F.col("layout_json"))
     layout_of = F.from_json(text, f"regions array<{_REGION}>, layout struct<regions:array<{_REGION}>>, pages array<struct<regions:array<{_REGION}>>>")
-    parsed = rows.select("id", "page_id", layout_of.alias("l"))
     every = F.coalesce("l.regions", "l.layout.regions", F.flatten("l.pages.regions"))
-    r = F.col("r")
-    flat = parsed.select(F.col("id").alias("ocr_result_id"), "page_id", F.posexplode(every).alias("ord", "r")).filter("r is not null")
-    box = F.when((F.size(r["bbox"]) >= 4) & ~F.exists(F.slice(r["bbox"], 1, 4), lambda v: v.isNull()), r["bbox"])
-    return flat.select("ocr_result_id", "page_id", "ord", r["kind"].alias("kind"), F.coalesce(r["markdown"], F.lit("")).alias("markdown"), *[box[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], r["confidence"].alias("confidence"), F.coalesce(r["vertical"], F.lit(False)).alias("vertical"), r["lines"].alias("lines"))
+
+    def flat(r: Column, ord: Column) -> Column:
+        box = F.when((F.size(r["bbox"]) >= 4) & ~F.exists(F.slice(r["bbox"], 1, 4), lambda v: v.isNull()), r["bbox"])
+        named = [box[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+        return F.struct(ord.alias("ord"), r["kind"].alias("kind"), F.coalesce(r["markdown"], F.lit("")).alias("text"), *named, r["confidence"].alias("confidence"), F.coalesce(r["vertical"], F.lit(False)).alias("vertical"), r["lines"].alias("lines"))
+
+    parsed = rows.select(F.col("id").alias("ocr_result_id"), "page_id", layout_of.alias("l"))
+    return parsed.select("ocr_result_id", "page_id", F.filter(F.transform(every, lambda r, i: F.when(r.isNotNull(), flat(r, i))), lambda r: r.isNotNull()).alias("regions")).filter("regions is not null")
+
+
+def regions(spark: SparkSession, folder: str) -> DataFrame:
+    """(ocr_result_id, page_id, ord, kind, markdown, x0, y0, x1, y1, confidence, vertical, lines) of current results, a row per region."""
+    return page_regions(spark, folder).select("ocr_result_id", "page_id", F.explode("regions").alias("r")).select("ocr_result_id", "page_id", "r.*").withColumnRenamed("text", "markdown")
 
 
 def reading_order(spark: SparkSession, folder: str) -> DataFrame:
     """Each page's regions in reading order."""
-    rows = regions(spark, folder).filter("trim(markdown) <> ''").withColumnRenamed("markdown", "text")
-    return layout.ordered_regions(rows.select("ocr_result_id", F.col("ord").alias("position"), "x0", "y0", "x1", "y1", "text", "vertical"), "ocr_result_id")
+    rows = page_regions(spark, folder)
+    return layout.ordered_regions(rows.withColumn("regions", F.transform("regions", lambda r: r.dropFields("lines", "kind", "confidence"))), "ocr_result_id")
 
 
 def table_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
     """Regions rebuilt from the positioned text lines of pages that have them."""
-    lines = regions(spark, folder).select("ocr_result_id", F.explode("lines").alias("l")).filter("l.box is not null")
-    b = G.box_of_points(F.col("l.box"))
-    placed = lines.select("ocr_result_id", F.col("l.text").alias("text"), F.col("l.score").alias("confidence"), *[b[n].alias(n) for n in ("x0", "y0", "x1", "y1")])
-    return layout.reconstructed(placed, "ocr_result_id")
+
+    def placed(line: Column) -> Column:
+        b = G.box_of_points(line["box"])
+        return F.struct(line["text"].alias("text"), line["score"].alias("confidence"), *[b[n].alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+    lines = F.flatten(F.transform("regions", lambda r: F.coalesce(r["lines"], F.array())))
+    rows = page_regions(spark, folder).select("ocr_result_id", F.transform(F.filter(lines, lambda x: x["box"].isNotNull()), placed).alias("lines"))
+    return layout.reconstructed(rows, "ocr_result_id")
+
+
+def document_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, regions): all regions of each document with their page's number."""
+    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), "document_id", "page_number")
+    slim = F.transform("regions", lambda r: F.struct(r["ord"].alias("ord"), r["kind"].alias("kind"), r["text"].alias("markdown"), *[r[c].alias(c) for c in ("x0", "y0", "x1", "y1", "confidence")]))
+    rows = page_regions(spark, folder).select("page_id", slim.alias("regions")).join(pages, "page_id")
+    numbered = F.transform("regions", lambda r: r.withField("page_number", F.col("page_number")))
+    return rows.groupBy("document_id").agg(F.flatten(F.collect_list(numbered)).alias("regions"))  # one document's pages
 
 
 def extracted_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The default fields of every document with a layout; a region without a place is at the origin, without extent."""
-    pages = table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), "document_id", "page_number")
-    rows = regions(spark, folder).join(pages, "page_id").select("document_id", "page_number", "ord", "kind", "markdown", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("x0", "y0", "x1", "y1")], "confidence")
-    return extraction.extract(rows, "document_id")
+    return extraction.extract(document_regions(spark, folder), "document_id")
 
 
 def result_changes(spark: SparkSession, folder: str) -> DataFrame:

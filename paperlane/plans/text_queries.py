@@ -111,18 +111,9 @@ def html_tables(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select("n_nationkey", M.html_table(html).alias("drawn"))
 
 
-@query("""SELECT id, field_key, length(matched_text) AS characters, CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN length(b) = 0 THEN 0 ELSE 1 END AS cer FROM
-(SELECT DISTINCT id, field_key, matched_text, trim(regexp_replace(master_value, '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g')) AS a, trim(regexp_replace(matched_text, '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g')) AS b FROM master_matches
-WHERE regexp_full_match(matched_text, '[\\x00-\\x7F]*') AND regexp_full_match(master_value, '[\\x00-\\x7F]*'))""")
-def match_error_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Error rate of matched text against its master value, of ASCII pairs (SQL counts bytes)."""
-    ascii = F.col("matched_text").rlike(r"^[\x00-\x7F]*$") & F.col("master_value").rlike(r"^[\x00-\x7F]*$")
-    return _error_rates(table(spark, folder, "master_matches").filter(ascii))
-
-
 @query()
-def match_error_rates_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Error rate of matched text against its master value, of all rows that have both; in code points of the normal form."""
+def match_error_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Error rate of matched text against its master value, of all rows that have both; in code points of the normal form (SQL counts bytes)."""
     return _error_rates(table(spark, folder, "master_matches").filter("matched_text is not null and master_value is not null"))
 
 
@@ -142,37 +133,17 @@ def best_matches(spark: SparkSession, folder: str) -> DataFrame:
     return matching.best_matches(_pages(spark, folder), table(spark, folder, "master_records"), table(spark, folder, "master_types"))
 
 
-@query("""WITH f AS (SELECT id AS master_type_id, unnest(fields) AS f FROM master_types), v AS (SELECT DISTINCT r.company_id, trim(r.data[f.f.key]) AS value FROM master_records r JOIN f USING (master_type_id) WHERE f.f.matchable AND r.data[f.f.key] IS NOT NULL),
-w AS (SELECT company_id, value FROM v WHERE regexp_full_match(value, '[!-~]+( [!-~]+)*') AND length(value) >= 2),
-u AS (SELECT company_id, page_id, unnest(string_split(markdown, chr(10))) AS line FROM ocr_results WHERE is_current AND markdown IS NOT NULL)
-SELECT u.page_id, w.value, count(*) AS lines FROM u JOIN w ON w.company_id = u.company_id AND contains(u.line, w.value) WHERE regexp_full_match(u.line, '[ -~]*') GROUP BY 1, 2""")
-def contained_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of each page in which a master value of its company stands, of plain ASCII values and lines.
-
-    An equi-join on the value's first trigram (value: one key, line: its trigrams) finds the pairs that are then checked.
-    """
-    values = matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types")).filter(F.col("value").rlike("^[!-~]+( [!-~]+)*$"))
-    return _contained(_page_lines(spark, folder).filter(F.col("line").rlike("^[ -~]+$")), values)
-
-
-@query()
-def contained_values_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of each page in which a master value of its company stands, of all values and lines."""
-    return _contained(_page_lines(spark, folder), matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types")))
+_VALUES = """f AS (SELECT id AS master_type_id, unnest(fields) AS f FROM master_types), v AS (SELECT DISTINCT r.company_id, trim(r.data[f.f.key]) AS value FROM master_records r JOIN f USING (master_type_id) WHERE f.f.matchable AND r.data[f.f.key] IS NOT NULL)"""
 
 
-def _page_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("company_id", "page_id", F.posexplode(F.split("markdown", "\n", -1)).alias("i", "line")).filter("line <> ''")
-
-
-def _contained(lines: DataFrame, values: DataFrame) -> DataFrame:
-    values = values.select("company_id", "value").distinct()
-    v = values.withColumn("k", F.substring("value", 1, 3))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.array(*[F.substring(F.col("line"), i, F.lit(n)) for n in (3, 2, 1)]))))
-    # the lines themselves are met once per candidate value, not once per gram
-    near = lines.select("company_id", "page_id", "i", F.explode(grams).alias("k")).join(v, ["company_id", "k"]).select("page_id", "i", "value")
-    met = near.join(lines.select("page_id", "i", "line"), ["page_id", "i"]).filter(F.contains("line", "value"))
-    return met.select("page_id", "i", "value").distinct().groupBy("page_id", "value").agg(F.count("*").alias("lines"))
+@query(f"""WITH {_VALUES}, u AS (SELECT company_id, page_id, unnest(string_split(markdown, chr(10))) AS line FROM ocr_results WHERE is_current AND markdown IS NOT NULL)
+SELECT u.page_id, v.value, count(*) AS lines FROM u JOIN v ON v.company_id = u.company_id AND contains(u.line, v.value) WHERE length(v.value) >= 2 GROUP BY 1, 2""")
+def contained_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each page in which a master value of its company stands, of all values of two characters or more."""
+    fields = table(spark, folder, "master_types").select(F.col("id").alias("master_type_id"), F.explode("fields").alias("f")).filter("f.matchable").select("master_type_id", F.col("f.key").alias("key"))
+    values = table(spark, folder, "master_records").select("company_id", "master_type_id", "data").join(fields, "master_type_id").select("company_id", F.trim(F.try_element_at("data", "key")).alias("value")).filter("length(value) >= 2")
+    lines = _pages(spark, folder).select("company_id", "page_id", F.explode(F.split("markdown", "\n", -1)).alias("line")).filter("line <> ''")
+    return matching.contained(lines, values, "company_id", "line", "value").groupBy("page_id", "value").agg(F.count("*").alias("lines"))
 
 
 @query()
@@ -182,18 +153,8 @@ def rematch(spark: SparkSession, folder: str) -> DataFrame:
     return matching.proposals(best, table(spark, folder, "master_matches").select("status", "page_id", "master_record_id", "field_key", "matched_text"))
 
 
-@query("""SELECT id, array_to_string(list_sort([a.field_key || ':' || a.text FOR a IN (CASE WHEN EXISTS_ THEN al ELSE list_append(al, {'field_key': 'name', 'text': upper(data['name'])}) END)]), '|') AS aliases FROM
-(SELECT id, data, coalesce(aliases, []) AS al, len(list_filter(coalesce(aliases, []), lambda a: a.field_key = 'name' AND a.text = upper(data['name']))) > 0 OR upper(data['name']) = data['name'] OR length(data['name']) < 2 AS EXISTS_ FROM master_records
-WHERE regexp_full_match(data['name'], '[!-~]+( [!-~]+)*') AND (aliases IS NULL OR len(list_filter(aliases, lambda a: a.text IS NULL)) = 0))""")
-def learned_aliases(spark: SparkSession, folder: str) -> DataFrame:
-    """ASCII-named records with the upper-case spelling of their name learned, where it is a new variant."""
-    name = F.try_element_at("data", F.lit("name"))
-    rows = table(spark, folder, "master_records").filter(name.rlike("^[!-~]+( [!-~]+)*$") & (F.col("aliases").isNull() | ~F.exists("aliases", lambda a: a["text"].isNull())))
-    return _upper_learned(rows)
-
-
 @query()
-def learned_aliases_all(spark: SparkSession, folder: str) -> DataFrame:
+def learned_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """All records with the upper-case spelling of their name learned, where it is a new variant; NULL texts and keys are empty."""
     return _upper_learned(table(spark, folder, "master_records"))
 

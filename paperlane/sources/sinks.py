@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.functions.markdown import plain_text
-from paperlane.functions.text import category_label, guarded_cell
+from paperlane.functions.markdown import blocks, plain_text, unescaped_cells
+from paperlane.functions.text import category_label, guarded_cell, without_breaks
 
 PAGE_BREAK = "\n\n---\n\n"
 
@@ -60,9 +60,23 @@ def html_page(blocks: Column) -> Column:
 
 
 def folder_digest(files: DataFrame) -> DataFrame:
-    """(digest): SHA-256 over the names and content hashes of (name, sha256) in name order; equal folders have equal digests."""
-    ordered = F.array_sort(F.collect_list(F.struct("name", "sha256")))  # one short row per file
-    return files.agg(F.sha2(F.array_join(F.transform(ordered, lambda f: F.concat(f["name"], F.lit(":"), f["sha256"])), "\n"), 256).alias("digest"))
+    """(folder, digest): SHA-256 over the names and contents of (path, content), in path order; each folder's files by itself.
+
+    For folders of one model: names and contents of a folder are one row's work.
+    """
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    part = F.concat(F.encode(F.element_at(F.split("path", "/"), -1), "UTF-8"), F.col("content"))
+    ordered = F.array_sort(F.collect_list(F.struct("path", part.alias("part"))))
+    return files.groupBy(folder.alias("folder")).agg(ordered["part"].alias("parts")).select("folder", F.sha2(F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x)), 256).alias("digest"))
+
+
+def sheets(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, row_no, cells) of pages (document_id, page_number, markdown): tables as grids with a blank row behind, other blocks in
+    the first cell; no formulas. One sheet per page."""
+    rule = lambda line: line.rlike(r"^[\s\-:|]+$")
+    grid = lambda b: F.concat(F.transform(F.filter(F.split(b["content"], "\n"), lambda r: ~rule(r)), lambda r: F.transform(unescaped_cells(r), lambda c: guarded_cell(without_breaks(c, "\n")))), F.array(F.array().cast("array<string>")))
+    rows = F.flatten(F.transform(blocks(F.col("markdown")), lambda b: F.when(b["kind"] == "table", grid(b)).when(b["kind"] == "text", F.array(F.array(guarded_cell(without_breaks(b["content"], "\n")))))))
+    return pages.filter("markdown is not null").select("document_id", "page_number", F.posexplode(rows).alias("row_no", "cells"))
 
 
 def append_audit(events: DataFrame, path: str) -> None:

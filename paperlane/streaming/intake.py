@@ -77,10 +77,23 @@ def sessions(rows: DataFrame, key: str = "device_id", moment: str = "received_at
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "files")
 
 
-def batch_progress(rows: DataFrame) -> DataFrame:
-    """(batch_id, total, completed) as they stand, for update or complete mode; approximate distinct files keep the state small."""
-    done = F.when(F.col("state") == "done", F.lower("sha256"))
-    return rows.filter("batch_id is not null").groupBy("batch_id").agg(F.approx_count_distinct(F.lower("sha256"), 0.01).alias("total"), F.approx_count_distinct(done, 0.01).alias("completed"))
+def batch_progress(rows: DataFrame, moment: str = "received_at", late: str = "1 hour") -> DataFrame:
+    """(batch_id, total, completed) as they stand, for append mode of changes: each file counts once, and once more when it is done.
+
+    Duplicates are dropped by (batch, file, done) for as long as the watermark lets them arrive, so counts are exact.
+    """
+    done = (F.col("state") == "done").alias("done")
+    seen = rows.filter("batch_id is not null and sha256 is not null").select("batch_id", F.lower("sha256").alias("file"), done, moment)
+    # a file that is first seen when it is done counts in both
+    whole = seen.withColumn("counts", F.when(F.col("done"), F.array(F.lit("total"), F.lit("completed"))).otherwise(F.array(F.lit("total"))))
+    each = whole.select("batch_id", "file", F.explode("counts").alias("count"), moment).withWatermark(moment, late).dropDuplicatesWithinWatermark(["batch_id", "file", "count"])
+    return each.select("batch_id", "file", "count", moment)
+
+
+def batch_counts(changes: DataFrame) -> DataFrame:
+    """(batch_id, total, completed, status) of the rows that :func:`batch_progress` has written."""
+    counts = changes.groupBy("batch_id").agg(F.count_if(F.col("count") == "total").alias("total"), F.count_if(F.col("count") == "completed").alias("completed"))
+    return counts.withColumn("status", F.when(F.col("completed") >= F.col("total"), "completed").otherwise("processing"))
 
 
 def last_states(rows: DataFrame, key: str = "document_id", state: str = "state", moment: str = "updated_at") -> DataFrame:

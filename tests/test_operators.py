@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from paperlane.operators import diffs, engines, extraction, layout, lifecycle, matching, nested, quality
+from paperlane.operators import diffs, engines, extraction, imports, layout, lifecycle, matching, nested, quality
 from paperlane.operators import relational as R
 from paperlane.sources import files, sinks
 
@@ -193,8 +193,11 @@ def test_tables_from_lines():
 
 def test_layout_over_pages(spark):
     rows = spark.createDataFrame([("p", 300.0, 0.0, 400.0, 20.0, "b", False), ("p", 0.0, 0.0, 100.0, 20.0, "a", False), ("q", 0.0, 0.0, 1.0, 1.0, "c", None)], "page string, x0 double, y0 double, x1 double, y1 double, text string, vertical boolean")
-    assert sorted(shared(layout.ordered_regions(rows, "page").collect())) == [("p", 0, "a"), ("p", 1, "b"), ("q", 0, "c")]
-    assert layout.reconstructed(rows, "page").count() == 3
+    pages = rows.groupBy("page").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "page"])).alias("regions"))
+    pages = pages.unionByName(pages.limit(1).select(F.lit("empty").alias("page"), F.filter("regions", lambda r: F.lit(False)).alias("regions"))).unionByName(pages.limit(1).select(F.lit("null").alias("page"), F.lit(None).cast(pages.schema["regions"].dataType).alias("regions")))
+    assert sorted(shared(layout.ordered_regions(pages, "page").collect())) == [("p", 0, "a"), ("p", 1, "b"), ("q", 0, "c")]
+    assert layout.reconstructed(pages, "page", "regions").count() == 3
+    assert "Exchange" not in layout.reconstructed(pages, "page", "regions")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
 
 
 def test_regions_without_a_box_are_kept(spark, tmp_path):
@@ -223,7 +226,8 @@ def test_regions_without_a_box_are_kept(spark, tmp_path):
 def test_fields(spark):
     rows = [("d", 1, 0, "text", "株式会社甲 御中", 0.0, 0.0, 100.0, 20.0, 0.97), ("d", 1, 1, "text", "株式会社乙", 300.0, 0.0, 400.0, 20.0, 0.9), ("d", 1, 2, "text", "合計金額", 0.0, 50.0, 80.0, 70.0, 0.9), ("d", 1, 3, "text", "¥12,300", 100.0, 50.0, 160.0, 70.0, 0.8), ("d", 1, 4, "text", "発行日: 2024年3月5日", 0.0, 90.0, 160.0, 110.0, 0.99), ("e", 1, 0, "text", "", 0.0, 0.0, 1.0, 1.0, None)]
     frame = spark.createDataFrame(rows, "doc string, page_number int, ord int, kind string, markdown string, x0 double, y0 double, x1 double, y1 double, confidence double")
-    got = {(r["doc"], r["key"]): r for r in extraction.extract(frame, "doc").collect()}
+    documents = frame.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in frame.columns if c != "doc"])).alias("regions"))
+    got = {(r["doc"], r["key"]): r for r in extraction.extract(documents, "doc").collect()}
     assert got["d", "recipient"]["value"] == "株式会社甲" and got["d", "issuer"]["value"] == "株式会社乙"
     assert (got["d", "total"]["value"], got["d", "total"]["confidence"]) == ("12300", pytest.approx(0.72))
     assert (got["d", "date"]["value"], got["d", "date"]["confidence"]) == ("2024-03-05", pytest.approx(0.99))
@@ -295,20 +299,92 @@ def test_lifecycle(spark):
 # files and sinks
 
 
+FIELDS = [{"key": "name", "label": "名称", "required": True}, {"key": "price", "label": "単価"}]
+
+
 def test_import(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿name,price\nA,1\n\nA,1\n,5\nB,2\n".encode())
     (tmp_path / "b.csv").write_bytes("名称,単価\n甲,1\n".encode("cp932"))
-    rows = files.tabular(spark, str(tmp_path))
-    assert sorted(r["cells"][0] for r in rows.collect()) == ["", "A", "A", "B", "name", "名称", "甲"]
-    fields = [{"key": "name", "label": "名称", "required": True}, {"key": "price", "label": "単価"}]
-    data = rows.filter("path like '%a.csv' and row_no > 1")
+    (tmp_path / "c.csv").write_bytes(b"qty,x\n")
+    (tmp_path / "d.csv").write_bytes(b"D,4\nE\n")
+    rows = files.tabular(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    assert sorted(r["cells"][0] for r in rows.collect()) == ["", "A", "A", "B", "D", "E", "name", "qty", "名称", "甲"]
+    seen = {r["path"]: (len(r["first_rows"]), r["total_rows"], r["guessed_header"]) for r in imports.previews(rows, FIELDS).collect()}
+    assert seen == {"a.csv": (5, 5, True), "b.csv": (2, 2, True), "c.csv": (1, 1, True), "d.csv": (2, 2, False)}
     existing = spark.createDataFrame([({"name": "B", "price": "2"},)], "data map<string,string>")
-    got = {r["row_no"]: r["outcome"] for r in files.imported(data, ["name", "price"], fields, existing).collect()}
-    assert got == {2: "created", 3: "skipped", 4: "error", 5: "skipped"}
-    with pytest.raises(ValueError, match="no field"):
-        files.imported(data, ["x"], fields, existing)
-    assert files.has_header([["x", "y"], ["1", "2"]], set()) and not files.has_header([["1", "2"]], set()) and not files.has_header([], set())
-    assert files.inferred_keys(["Unit Price", "単価", "unit price"]) == ["unit_price", "col_2", "unit_price_3"]
+    got = imports.imported(rows, FIELDS, existing)
+    outcome = {(r["path"], r["line_no"]): (r["outcome"], r["reason"]) for r in got.collect()}
+    assert outcome == {
+        ("a.csv", 2): ("created", None), ("a.csv", 3): ("skipped", None), ("a.csv", 4): ("error", "field '名称' is required"), ("a.csv", 5): ("skipped", None),
+        ("b.csv", 2): ("created", None), ("d.csv", 1): ("created", None), ("d.csv", 2): ("created", None),
+    }
+    assert {r["path"]: (r["created"], r["skipped"], r["failed"], list(r["errors"])) for r in imports.tally(got).collect()}["a.csv"] == (1, 2, 1, ["line 4: field '名称' is required"])
+    forced = imports.imported(rows.filter("path = 'c.csv'").unionByName(spark.createDataFrame([("c.csv", 2, ["1", "2"])], rows.schema)), FIELDS, existing)
+    assert [r["reason"] for r in forced.collect()] == ["the header names no field"]
+    free = imports.imported(rows.filter("path = 'd.csv'"), [], existing)
+    assert sorted(tuple(sorted(r["data"].items())) for r in free.collect()) == [(("col_1", "D"), ("col_2", "4")), (("col_1", "E"),)]
+    assert imports.imported(rows.limit(0), FIELDS, existing).count() == 0
+
+
+def test_headers_and_keys(spark):
+    def guess(rows):
+        return spark.createDataFrame([(rows,)], "r array<array<string>>").select(imports.header_guess(F.col("r"), imports.fields_of([])).alias("v")).head()["v"]
+
+    assert guess([["x", "y"], ["1", "2"]]) and not guess([["1", "2"]]) and guess([["番号", "数量"]]) and guess([["qty"]]) and not guess([["ab", "c"], ["d", "e"]])
+    keys = spark.createDataFrame([(["Unit Price", "単価", "", "unit price", "Price ($)", "__"],)], "h array<string>").select(imports.inferred_fields(F.col("h"))["key"].alias("k")).head()["k"]
+    assert keys == ["unit_price", "col_2", "unit_price_4", "col_5", "col_6"]
+    types = spark.createDataFrame([(1, [("Name!", "N", True, None)]), (2, [("a", "A", False, False)]), (3, [("a", "A", True, False), ("A", "B", True, False)]), (4, []), (5, [("a", " ", True, True)])], "type_id int, fields array<struct<key:string,label:string,matchable:boolean,required:boolean>>")
+    checked = {r["type_id"]: r["error"] or [f["key"] for f in r["fields"]] for r in imports.checked_fields(types).collect()}
+    assert checked == {1: ["name_"], 2: "at least one field must be matchable", 3: "duplicate field key: a", 4: [], 5: "every field needs a key and a label"}
+
+
+def test_links_are_carried_through(spark):
+    matches = spark.createDataFrame([(str(i), "r1" if i < 4 else "r2", "m", "name", t, "株式会社甲", s, None, None) for i, (t, s) in enumerate([("株式会社申", "suggested"), ("株式会社申", "suggested"), ("株式会社甲", "suggested"), ("x", "linked"), ("株式会社申 \"", "suggested")])], "id string, ocr_result_id string, master_record_id string, field_key string, matched_text string, master_value string, status string, linked_by string, linked_at timestamp")
+    results = spark.createDataFrame([("r1", "株式会社申 御中 株式会社申", '{"m": "株式会社申"}'), ("r2", 'a 株式会社申 " b', '{"m": "株式会社申 \\""}')], "id string, markdown string, layout_json string")
+    records = spark.createDataFrame([("m", {"name": "株式会社甲"}, None)], "id string, data map<string,string>, aliases array<struct<field_key:string,text:string>>")
+    chosen = spark.createDataFrame([(i, "u", datetime(2024, 1, 1)) for i in ("0", "1", "2", "3", "4", "9")], "id string, linked_by string, linked_at timestamp")
+    got = matching.linked(matches, results, records, chosen)
+    assert {r["id"]: r["status"] for r in got.matches.collect()} == {"0": "linked", "1": "suggested", "2": "linked", "3": "linked", "4": "linked"}
+    assert {r["id"]: (r["markdown"], r["layout_json"]) for r in got.results.collect()} == {"r1": ("株式会社甲 御中 株式会社甲", '{"m": "株式会社甲"}'), "r2": ("a 株式会社甲 b", '{"m": "株式会社甲"}')}
+    assert sorted(shared(got.refused.collect())) == [("1", "matched text no longer there"), ("9", "no such match")]
+    assert {a["text"] for a in got.records.head()["aliases"]} == {"株式会社申", '株式会社申 "'}
+    assert {(r["match_id"], r["corrected_markdown"], r["status"]) for r in got.corrections.collect()} == {("0", "株式会社甲 御中 株式会社甲", "approved"), ("4", "a 株式会社甲 b", "approved")}
+    assert matching.dismissed(matches, chosen.limit(1)).filter("status = 'dismissed'").count() == 1
+
+
+def test_field_matches(spark):
+    stored = json.dumps({"fields": [{"key": "to", "value": "株式会社甲 御中", "page_number": 1, "type": "text"}, {"key": "total", "value": "1", "page_number": 1, "type": "amount"}, {"key": "none", "value": " ", "page_number": 1}, {"key": "far", "value": "株式会社甲", "page_number": 2}]})
+    documents = spark.createDataFrame([("d", stored), ("e", None), ("f", "{broken")], "document_id string, extracted_json string")
+    pages = spark.createDataFrame([("p", "d", 1), ("q", "d", 2)], "id string, document_id string, page_number int")
+    matches = spark.createDataFrame([("m1", "p", "株式会社申", "株式会社甲", 0.9, "suggested"), ("m2", "p", "御中", "御中", 0.8, "linked"), ("m3", "p", "株式会社甲", "株式会社甲", 1.0, "dismissed")], "id string, page_id string, matched_text string, master_value string, score double, status string")
+    assert shared(matching.document_field_matches(documents, pages, matches).collect()) == [("d", "to", "m1", 0.9)]
+
+
+def test_prefix_that_all_share_is_no_key(spark):
+    """Names that begin alike meet only the units that have what is their own."""
+    own = [chr(0x4E00 + 7 * i) + chr(0x5000 + 5 * i) + chr(0x5800 + 3 * i) + chr(0x6000 + 11 * i) + chr(0x6800 + 13 * i) + chr(0x7000 + 17 * i) for i in range(60)]
+    values = spark.createDataFrame([("c", f"株式会社{x}") for x in own], "company_id string, norm string")
+    found = values.withColumnRenamed("norm", "unit_norm")
+    cut = found.select("company_id", "unit_norm", F.explode(matching._grams(F.col("unit_norm"), 3)).alias("k"))
+    keyed = matching.rarest_keys(values, "norm", F.floor(18 * F.length("norm") / 100) + 1, cut, "company_id")
+    met = keyed.join(cut, ["company_id", "k"])
+    assert met.count() == 2 * 60 and matching.candidates(values, found).filter("norm = unit_norm").count() == 60
+
+
+def test_candidates_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(2, 16))) for _ in range(120)]
+    spoilt = ["".join(c if r.random() > 0.1 else r.choice("abcd") for c in w) + r.choice(["", "x", " yz"]) for w in words]
+    values = spark.createDataFrame([("c", w) for w in words], "company_id string, norm string")
+    found = spark.createDataFrame([("c", w) for w in spoilt + ["", "a"]], "company_id string, unit_norm string")
+    every = values.crossJoin(found.select("unit_norm").distinct()).withColumn("score", matching.score(F.col("norm"), F.col("unit_norm"))).filter("score is not null").select("norm", "unit_norm").distinct()
+    assert sorted(shared(matching.candidates(values, found).select("norm", "unit_norm").collect())) == sorted(shared(every.collect()))
+    lines = found.withColumnRenamed("unit_norm", "line")
+    got = matching.contained(lines.distinct(), values, "company_id", "line", "norm").select("line", "norm")
+    want = lines.distinct().crossJoin(values.select("norm").distinct()).filter(F.contains("line", "norm")).select("line", "norm")
+    assert sorted(shared(got.collect())) == sorted(shared(want.collect()))
 
 
 def test_files_and_sinks(spark, tmp_path):
@@ -317,8 +393,9 @@ def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "in" / "y.txt").write_bytes(b"2")
     got = {r["name"]: r["mime_type"] for r in files.documents(spark, str(tmp_path / "in")).collect()}
     assert got == {"x.PDF": "application/pdf", "y.txt": None}
-    digest = sinks.folder_digest(files.documents(spark, str(tmp_path / "in"))).head()["digest"]
-    assert len(digest) == 64
+    import hashlib
+
+    assert shared(sinks.folder_digest(files.documents(spark, str(tmp_path / "in"))).select("digest").collect()) == [(hashlib.sha256(b"x.PDF1y.txt2").hexdigest(),)]
     (tmp_path / "gold" / "s1").mkdir(parents=True)
     (tmp_path / "gold" / "s1" / "input.png").write_bytes(b"1")
     (tmp_path / "gold" / "s1" / "expected.md").write_text("# 請求書")
