@@ -186,3 +186,38 @@ def block_region(label: Column, content: Column) -> Column:
     table = F.when(F.lower(content).contains("<table"), html_table(content)).otherwise(content)
     markdown = F.when(kind == "table", table).when(kind == "title", F.concat(F.lit("## "), body)).when(kind == "figure", F.lit("")).otherwise(body)
     return F.struct(kind.alias("kind"), markdown.alias("markdown"), label.contains("vert").alias("vertical"))
+
+
+_EDITED = "array<struct<kind:string,text:string,rows:array<array<string>>>>"
+
+
+def edited_blocks(text: Column) -> Column:
+    """array<struct<kind, text, rows>>: tables (their rows of unescaped cells, rules left out), images and lines of text, as an editor shows them.
+
+    A blank line ends a table. :func:`serialized` writes them back.
+    """
+    right = lambda x: F.regexp_replace(x, rf"{WS}+$", "")
+    cells = lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"(?<!\\)\|", -1), lambda c: F.replace(F.replace(strip(c), F.lit("\\|"), F.lit("|")), F.lit("<br>"), F.lit("\n")))
+    kind = lambda x: F.when(x.rlike(r"^\|[\s\-:|]+\|$"), "rule").when(x.startswith("|") & x.endswith("|") & (F.length(x) > 1), "table").when(strip(x) == "", "blank").when(strip(x).rlike(r"^!\[[^\]]*\]\(.+\)$"), "image").otherwise("text")
+    state = f"struct<done:{_EDITED},open:boolean>"
+    lines_of = F.transform(F.transform(F.split(text, "\n", -1), right), lambda x: F.struct(kind(x).alias("kind"), x.alias("line"), F.when(kind(x) == "table", cells(x)).alias("cells")))
+
+    def add(s: Column, x: Column) -> Column:
+        last = F.try_element_at(s["done"], F.lit(-1))
+        longer = F.struct(last["kind"].alias("kind"), last["text"].alias("text"), F.array_append(last["rows"], x["cells"]).alias("rows"))
+        new = F.struct(x["kind"].alias("kind"), F.when(x["kind"] != "table", strip(x["line"])).alias("text"), F.when(x["kind"] == "table", F.array(x["cells"])).alias("rows"))
+        done = (
+            F.when(x["kind"].isin("rule", "blank"), s["done"])
+            .when((x["kind"] == "table") & s["open"], F.concat(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.array(longer).cast(_EDITED)))
+            .otherwise(F.concat(s["done"], F.array(new).cast(_EDITED)))
+        )
+        return F.struct(done.alias("done"), F.when(x["kind"] == "rule", s["open"]).otherwise(x["kind"] == "table").alias("open")).cast(state)
+
+    return F.aggregate(lines_of, F.struct(F.array().cast(_EDITED).alias("done"), F.lit(False).alias("open")).cast(state), add)["done"]
+
+
+def serialized(blocks: Column) -> Column:
+    """The Markdown of :func:`edited_blocks`, a blank line between them; empty rows, tables and texts are left out."""
+    filled = lambda rows: F.filter(rows, lambda r: F.exists(r, lambda c: strip(c) != ""))
+    drawn = F.transform(blocks, lambda b: F.when(b["kind"] == "table", rendered_table(filled(b["rows"]))).otherwise(b["text"]))
+    return F.array_join(F.filter(drawn, lambda t: t != ""), "\n\n")

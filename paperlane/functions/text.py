@@ -153,3 +153,53 @@ def common_affix(a: Column, b: Column) -> Column:
     prefix = run(lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)), n)
     ends = F.transform(F.array(prefix), lambda p: F.struct(p.alias("prefix"), run(lambda i: F.substring(a, F.length(a) - i + 1, F.lit(1)) == F.substring(b, F.length(b) - i + 1, F.lit(1)), n - p).alias("suffix")))
     return ends[0]
+
+
+# Chinese forms of characters that multilingual recognisers emit in Japanese text, and the Japanese forms.
+CHINESE = "爱纳单稅额别况錄录览覽历歷详确变變拔拨处處间问开关报设计记货价顾顯机级组线编认证验险务员购销费资质选达运邮银钱铁总统继续绝终结给绿网"
+JAPANESE = "愛納単税額別況録録覧覧歴歴詳確変変抜抜処処間問開関報設計記貨価顧顕機級組線編認証験険務員購銷費資質選達運郵銀銭鉄総統継続絶終結給緑網"
+
+
+def japanese_forms(text: Column) -> Column:
+    """Text with the Japanese forms of characters that a recogniser gave in Chinese ones."""
+    return F.translate(text, CHINESE, JAPANESE)
+
+
+def site_slug(text: Column) -> Column:
+    """As :func:`name_slug`, of at most 63 characters."""
+    return F.substring(name_slug(text), 1, 63)
+
+
+def original_path(company: Column, document: Column, name: Column) -> Column:
+    """Where the file of a document is stored, below the data folder."""
+    return F.concat_ws("/", company, F.lit("documents"), document, F.concat(F.lit("original"), F.coalesce(F.nullif(suffix(name), F.lit("")), F.lit(".bin"))))
+
+
+def page_image_path(company: Column, document: Column, page_number: Column) -> Column:
+    return F.concat_ws("/", company, F.lit("documents"), document, F.lit("pages"), F.concat(F.lit("p"), page_number.cast("string"), F.lit(".png")))
+
+
+def markdown_path(company: Column, document: Column) -> Column:
+    return F.concat_ws("/", company, F.lit("documents"), document, F.lit("results"), F.lit("document.md"))
+
+
+def folder_path(typed: Column) -> Column:
+    """A folder's path as typed or pasted, without the white space and the quotes around it."""
+    bare = strip(F.coalesce(typed, F.lit("")))
+    return F.when((F.length(bare) >= 2) & bare.startswith('"') & bare.endswith('"'), strip(F.regexp_replace(bare, '^"|"$', ""))).otherwise(bare)
+
+
+def first_needle(kind: Column, markdown: Column) -> Column:
+    """What of a region is looked for in a page: the first 30 characters, of a table's first filled cell."""
+    cells = F.filter(F.transform(F.split(F.get(F.split(markdown, "\n"), F.lit(0)), r"\|", -1), strip), lambda c: (c != "") & ~c.rlike(r"^[-\s]+$"))
+    return F.substring(collapsed(F.when(kind == "table", F.coalesce(F.get(cells, F.lit(0)), F.lit(""))).otherwise(markdown)), 1, 30)
+
+
+def record_summary(values: Column) -> Column:
+    """The first two filled values of an array, joined by a dash."""
+    return F.array_join(F.slice(F.filter(values, lambda v: v.isNotNull() & (v != "")), 1, 2), " — ")
+
+
+def online(last_seen: Column, now: Column) -> Column:
+    """Whether a device was seen less than ten minutes ago; never seen is no."""
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(last_seen) < 600_000_000, F.lit(False))

@@ -53,11 +53,18 @@ def gate(rows: DataFrame, gain: float = 0.02, worse_cer: float = 0.005, worse_f1
 
 
 def holdout(rows: DataFrame, key: str, scope: str, share: float = 0.1, seed: str = "42") -> DataFrame:
-    """Rows (one per key) with ``holdout``: the share of each scope, at least one, that comes first by hash of seed and key."""
-    hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
-    sizes = hashed.groupBy(scope).agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count("*"))).alias("__most"))
-    order = Window.partitionBy(scope).orderBy("__h", key)
-    return hashed.join(sizes, scope).withColumn("holdout", F.row_number().over(order) <= F.col("__most")).drop("__h", "__most")
+    """Rows (one per key) with ``holdout``: the share of each scope, at least one, that comes first by hash of seed and key.
+
+    No scope is sorted whole: counts of hash prefixes tell which prefix has the border, and only the keys of that prefix are ranked.
+    """
+    hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("__prefix", F.substring("__h", 1, 4))
+    prefixes = hashed.groupBy(scope, "__prefix").agg(F.count("*").alias("__n"))  # at most 65,536 of a scope
+    running = Window.partitionBy(scope).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = prefixes.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).withColumn("__most", F.greatest(F.lit(1), F.floor(F.lit(share) * F.sum("__n").over(Window.partitionBy(scope)))))
+    placed = hashed.withColumn("__s", F.coalesce(F.col(scope).cast("string"), F.lit("\x00"))).join(sizes.withColumn("__s", F.coalesce(F.col(scope).cast("string"), F.lit("\x00"))).drop(scope, "__n"), ["__s", "__prefix"])
+    order = Window.partitionBy("__s", "__prefix").orderBy("__h", key)
+    ranked = placed.withColumn("__rank", F.row_number().over(order))
+    return ranked.withColumn("holdout", F.col("__before") + F.col("__rank") <= F.col("__most")).drop("__h", "__prefix", "__s", "__before", "__most", "__rank").select(*rows.columns, "holdout")
 
 
 def shuffled_holdout(keys: list[str], share: float = 0.1, seed: int = 42) -> set[str]:
@@ -76,3 +83,20 @@ def split_rows(rows: DataFrame, key: str, scope: str, share: float = 0.1) -> Dat
 def confidence(lines: Column) -> Column:
     """Mean confidence of an array of numbers; NULL if it is empty."""
     return F.when(F.size(lines) > 0, F.aggregate(lines, F.lit(0.0), lambda a, x: a + x) / F.size(lines))
+
+
+def approved_corrections(corrections: DataFrame, pages: DataFrame) -> DataFrame:
+    """Approved corrections that change something, with the document of their page, first made first: what a training set is built of."""
+    changed = corrections.filter("status = 'approved' and not (original_markdown <=> corrected_markdown)")
+    return changed.join(pages.select(F.col("id").alias("page_id"), "document_id"), "page_id").orderBy("created_at", "id")
+
+
+def training_set(corrections: DataFrame, pages: DataFrame, share: float = 0.1) -> DataFrame:
+    """(document_id, page_id, original_markdown, corrected_markdown, split): no document is on both sides."""
+    rows = approved_corrections(corrections, pages).withColumn("__all", F.lit(""))
+    return split_rows(rows, "document_id", "__all", share).select("document_id", "page_id", "original_markdown", "corrected_markdown", "split")
+
+
+def set_sizes(rows: DataFrame) -> DataFrame:
+    """(total, train, holdout) of a training set."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "holdout").alias("holdout"))

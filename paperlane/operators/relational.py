@@ -49,6 +49,11 @@ def visible(rows: DataFrame, who: Principal, owner: str = "uploaded_by_user_id")
     return scoped if who.admin else scoped.filter((F.col("visibility") == "shared") | (F.col(owner) == F.lit(who.user_id)))
 
 
+def visible_to(rows: DataFrame, users: DataFrame, owner: str = "uploaded_by_user_id") -> DataFrame:
+    """The rows that each of ``users`` (company_id, user_id, one of a company) sees of its company, as :func:`visible` has them, with user_id."""
+    return rows.join(users.select("company_id", "user_id"), "company_id").filter((F.col("visibility") == "shared") | (F.col(owner) == F.col("user_id")))
+
+
 def within_days(moment: Column, since: date | None, until: date | None) -> Column:
     """From the start of ``since`` to the end of ``until``, as bare comparisons that reach the scan."""
     at = lambda d: F.lit(datetime(d.year, d.month, d.day))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperlane.operators import lifecycle
 from paperlane.operators import relational as R
 from paperlane.sources import table
 
@@ -100,8 +101,7 @@ def document_list_total(spark: SparkSession, folder: str) -> DataFrame:
 def visible_documents(spark: SparkSession, folder: str) -> DataFrame:
     """What the first user of each company sees of it."""
     rows = table(spark, folder, "scan_documents")
-    users = rows.groupBy("company_id").agg(F.min("uploaded_by_user_id").alias("me"))
-    return rows.join(users, "company_id").filter((F.col("visibility") == "shared") | (F.col("uploaded_by_user_id") == F.col("me"))).select("id")
+    return R.visible_to(rows, rows.groupBy("company_id").agg(F.min("uploaded_by_user_id").alias("user_id"))).select("id")
 
 
 @query("SELECT id, status FROM scan_documents WHERE status IN ('failed', 'partially_failed', 'processing') AND error_message IS NOT NULL AND doc_type IS NULL")
@@ -247,11 +247,11 @@ def current_results(spark: SparkSession, folder: str) -> DataFrame:
     return R.latest_per(table(spark, folder, "ocr_results"), "page_id", "created_at", "id", "id")
 
 
-@query("SELECT p.id AS page_id, p.document_id FROM ocr_pages p WHERE EXISTS (SELECT 1 FROM scan_documents d WHERE d.id = p.document_id AND d.status <> 'failed')")
+@query("SELECT p.id AS page_id, p.document_id FROM ocr_pages p WHERE NOT EXISTS (SELECT 1 FROM scan_documents d WHERE d.id = p.document_id AND d.status = 'failed')")
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that are left when failed documents are deleted with theirs."""
-    gone = table(spark, folder, "scan_documents").filter("status <> 'failed'").select(F.col("id").alias("document_id"))
-    return table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), "document_id").join(gone, "document_id", "left_semi").select("page_id", "document_id")
+    gone = table(spark, folder, "scan_documents").filter("status = 'failed'")
+    return lifecycle.without(table(spark, folder, "ocr_pages").select(F.col("id").alias("page_id"), "document_id"), gone, "document_id")
 
 
 @query("SELECT company_id, count(DISTINCT uploaded_by_user_id) AS used, count(DISTINCT uploaded_by_user_id) < 5 AS may_add FROM scan_documents GROUP BY 1")

@@ -7,12 +7,40 @@ from pyspark.sql import functions as F
 
 from paperlane.functions import geometry as G
 from paperlane.functions import markdown as M
+from paperlane.functions import text as X
 from paperlane.operators import diffs, engines, extraction, layout
+from paperlane.plans.text_queries import SQL_EOL, sql_strip
 from paperlane.sources import sinks, table
 
 _REGION = "struct<bbox:array<double>,kind:string,markdown:string,confidence:double,vertical:boolean,lines:array<struct<text:string,score:double,box:array<array<double>>>>>"
 _TABLE = "'| 品目 | 数量 | 単価 | 金額 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| サンプル品目A | 2 | ¥1,000 | ¥2,000 |' || chr(10) || '| サンプル品目B | 1 | ¥5,000 | ¥5,000 |'"
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _guarded(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '^[=+\\-@\\t\\r]') THEN chr(39) || {x} ELSE {x} END"
+
+
+_LABEL = " ".join(f"WHEN '{kind}' THEN '{label}'" for kind, label in X.CATEGORY_LABELS.items())
+_CELL = sql_strip("regexp_replace(" + sql_strip("x") + r", '(?i)<br\s*/?>', ' ', 'g')")
+_LINE, _ANY_LINE = sql_strip("unnest(string_split(markdown, chr(10)))"), sql_strip(f"unnest(regexp_split_to_array(t, '{SQL_EOL}'))")
+_ROW = _escaped("regexp_replace(regexp_replace(line, '^[|][ \\t]*', ''), '[ \\t]*[|]$', '')")
 SQL = {
+    "html_pages": rf"""WITH p AS (SELECT page_id, markdown FROM ocr_results WHERE is_current AND markdown IS NOT NULL), l AS (SELECT page_id, {_LINE} AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS i FROM p),
+k AS (SELECT *, CASE WHEN line LIKE '|%' THEN 'table' WHEN regexp_matches(line, '^!\[[^\]]*\]\([^)]*\)') THEN 'image' ELSE 'text' END AS kind FROM l WHERE line <> ''),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY i) AS b FROM (SELECT *, CASE WHEN kind = 'table' AND lag(kind) OVER (PARTITION BY page_id ORDER BY i) = 'table' THEN 0 ELSE 1 END AS fresh FROM k)),
+h AS (SELECT page_id, b, CASE WHEN any_value(kind) = 'table' THEN '<table>' || coalesce(string_agg('<tr><td>' || replace({_ROW}, ' | ', '</td><td>') || '</td></tr>', '' ORDER BY i) FILTER (NOT regexp_full_match(line, '[\s\-:|]+')), '') || '</table>'
+ELSE '<p>' || {_escaped("any_value(line)")} || '</p>' END AS html FROM g GROUP BY 1, 2), w AS (SELECT page_id, string_agg(html, '' ORDER BY b) AS html FROM h GROUP BY 1)
+SELECT p.page_id, '<html><body>' || coalesce(w.html, '') || '</body></html>' AS html FROM p LEFT JOIN w USING (page_id)""",
+    "bulk_export": rf"""WITH m AS (SELECT p.document_id, string_agg(coalesce(r.markdown, '<!-- page ' || p.page_number || ': no text -->'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p.page_number, p.id) AS t FROM ocr_pages p LEFT JOIN ocr_results r ON r.page_id = p.id AND r.is_current GROUP BY 1),
+l AS (SELECT document_id, {_ANY_LINE} AS line, generate_subscripts(regexp_split_to_array(t, '{SQL_EOL}'), 1) AS i FROM m),
+f AS (SELECT document_id, string_agg(CASE WHEN line LIKE '|%' THEN array_to_string([y FOR y IN [{_CELL} FOR x IN string_split(regexp_replace(regexp_replace(line, '^[|]', ''), '[|]$', ''), '|')] IF y <> ''], '  ') ELSE regexp_replace(line, '(?i)<br\s*/?>', chr(10), 'g') END, chr(10) ORDER BY i) AS t FROM l
+WHERE line <> '' AND NOT starts_with(line, '![') AND NOT (line LIKE '|%' AND regexp_full_match(line, '[\s\-:|]+')) GROUP BY 1),
+d AS (SELECT d.original_filename AS n, coalesce(d.doc_type, 'other') AS k, strftime(d.created_at, '%Y/%m/%d') AS day, {sql_strip("coalesce(f.t, '')")} AS t FROM scan_documents d JOIN m ON m.document_id = d.id LEFT JOIN f ON f.document_id = d.id), c AS (SELECT *, CASE k {_LABEL} ELSE k END AS c FROM d)
+SELECT {_guarded("n")} AS name, {_guarded("c")} AS category, day, {_guarded("t")} AS text FROM c""",
     "mock_regions": f"""SELECT p.id || '.png' AS name, r.* REPLACE (replace(r.markdown, '@', p.id) AS markdown) FROM ocr_pages p, (VALUES (50.0, 40.0, 550.0, 80.0, 'title', '# 請求書', 0.99, false),
 (50.0, 100.0, 550.0, 140.0, 'text', '株式会社サンプル 御中 (mock page: @)', 0.97, false), (50.0, 160.0, 550.0, 320.0, 'table', {_TABLE}, 0.93, false), (300.0, 340.0, 550.0, 380.0, 'text', '合計: ¥7,000 (税込)', 0.95, false)) r(x0, y0, x1, y1, kind, markdown, confidence, vertical)"""
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlane.plans import document_queries, layout_queries, nested_queries, text_queries
+from paperlane.plans import case_queries, document_queries, layout_queries, nested_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [nested_queries, document_queries, text_queries, layout_queries]
+_MODULES = [nested_queries, document_queries, text_queries, layout_queries, case_queries]
 
 
 def queries() -> dict[str, Query]:

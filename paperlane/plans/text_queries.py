@@ -10,7 +10,8 @@ from paperlane.functions import markdown as M
 from paperlane.functions import text as X
 from paperlane.operators import lifecycle, matching, quality
 from paperlane.operators import relational as R
-from paperlane.sources import table
+from paperlane.sources import sinks, table
+from paperlane.streaming import intake
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -73,7 +74,7 @@ def guarded_cells(spark: SparkSession, folder: str) -> DataFrame:
 def field_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Each record's values as one fully quoted CSV line."""
     values = F.filter(F.map_values("data"), lambda v: v.isNotNull())
-    return table(spark, folder, "master_records").select("id", F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))), ",").alias("line"))
+    return table(spark, folder, "master_records").select("id", sinks.csv_line(values).alias("line"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, trim(line) AS line FROM l WHERE trim(line) LIKE '|%|' AND length(trim(line)) > 1),
@@ -167,12 +168,38 @@ def _upper_learned(records: DataFrame) -> DataFrame:
     return records.select("id", F.array_join(F.array_sort(spelled), "|").alias("aliases"))
 
 
-@query()
-def result_cell_f1(spark: SparkSession, folder: str) -> DataFrame:
-    """Table cells of superseded results against the current result of their page."""
+#: White space and line ends as :mod:`functions.text` has them, for DuckDB.
+SQL_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL_EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
+
+
+def _superseded(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "ocr_results").select("id", "page_id", "markdown", "is_current")
     now = rows.filter("is_current").select("page_id", F.col("markdown").alias("reference"))
-    return quality.golden_evaluation(rows.filter("not is_current").join(now, "page_id"), "id", "reference", "markdown")
+    return rows.filter("not is_current").join(now, "page_id")
+
+
+_LINE, _CELL = sql_strip(f"unnest(regexp_split_to_array(t, '{SQL_EOL}'))"), sql_strip(f"regexp_replace(x, '{SQL_WS}+', ' ', 'g')")
+
+
+@query(f"""WITH p AS (SELECT o.id, unnest(['a', 'b']) AS side, unnest([coalesce(n.markdown, ''), coalesce(o.markdown, '')]) AS t FROM ocr_results o JOIN ocr_results n ON n.page_id = o.page_id AND n.is_current WHERE NOT o.is_current),
+l AS (SELECT id, side, {_LINE} AS line FROM p), r AS (SELECT id, side, [{_CELL} FOR x IN string_split(line[2:-2], '|')] AS cells FROM l WHERE line LIKE '|%|' AND length(line) > 1),
+c AS (SELECT id, side, cell, count(*) AS n FROM (SELECT id, side, unnest(cells) AS cell FROM r WHERE len(list_filter(cells, lambda x: NOT regexp_full_match(x, ':?-{{3,}}:?'))) > 0) WHERE cell <> '' GROUP BY ALL),
+s AS (SELECT id, sum(least(a, b)) AS common, sum(a) AS a, sum(b) AS b FROM (SELECT id, cell, coalesce(sum(n) FILTER (side = 'a'), 0) AS a, coalesce(sum(n) FILTER (side = 'b'), 0) AS b FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT i.id, CASE WHEN a IS NULL THEN 1.0::DOUBLE WHEN a = 0 OR b = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * common / (a + b), 9) END AS f1 FROM (SELECT DISTINCT id FROM p) i LEFT JOIN s USING (id)""")
+def result_cell_f1(spark: SparkSession, folder: str) -> DataFrame:
+    """Table cells of superseded results against the current result of their page."""
+    return quality.cell_f1(_superseded(spark, folder), "id", "reference", "markdown").select("id", F.round("f1", 9).alias("f1"))
+
+
+@query()
+def result_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Error rate and cells of superseded results against the current result of their page."""
+    return quality.golden_evaluation(_superseded(spark, folder), "id", "reference", "markdown")
 
 
 @query("""SELECT name, CASE WHEN NOT (CASE WHEN bh > 0 THEN (bh - nh) / bh ELSE 0 END >= 0.02) THEN 'too little improvement' WHEN ng - bg > 0.005 THEN 'golden error rate is worse' WHEN bf - nf > 0.01 THEN 'table cells are worse' ELSE 'passed' END AS reason
@@ -205,8 +232,7 @@ def batch_counters(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT company_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'pending') > 1 AS rejected FROM ocr_pages GROUP BY 1")
 def backpressure(spark: SparkSession, folder: str) -> DataFrame:
     """Companies whose pending pages exceed the limit, here 1."""
-    rows = table(spark, folder, "ocr_pages").groupBy("company_id").agg(F.count_if(F.col("status") == "pending").alias("pending"))
-    return rows.withColumn("rejected", F.col("pending") > 1)
+    return intake.within_limit(table(spark, folder, "ocr_pages"), 1).select("company_id", "pending", (~F.col("accepted")).alias("rejected"))
 
 
 @query("SELECT id, CASE WHEN status = 'processing' AND created_at < TIMESTAMPTZ '2025-01-01 00:00:00+00' THEN 'failed' ELSE status END AS status FROM scan_documents")
