@@ -395,13 +395,12 @@ def divided_words(cuts: DataFrame, counted: DataFrame, train: int = 20_000) -> D
 
 
 def page_numbers(known: DataFrame) -> DataFrame:
-    """The edge lines (row_id, doc, page_number, pages, k, line, form) of pages as read, with ``own``, whether the line is the page's number, and
-    ``beside``, what stands beside a number that is the page's.
+    """(row_id, k, own, beside) of the edge lines of pages as read that have their page's number: whether the line is that number, and else what
+    stands beside it.
 
     A shape's share of lines that carry their page's number is counted over second and later pages, without the line itself, and starts from
     the share of its masked shape.
     """
-    edges = known.select("row_id", "doc", "page_number", "pages", F.explode("edges").alias("edge")).select("row_id", "doc", "page_number", "pages", "edge.*")
     of = known.filter("page_number is not null").select("row_id", "page_number", F.explode("numbers").alias("number")).select("row_id", "page_number", "number.*")
     of = of.withColumn("equal", (F.col("value") == F.col("page_number")).cast("int")).withColumn("later", (F.col("page_number") > 1).cast("int"))
     judged = of
@@ -413,22 +412,24 @@ def page_numbers(known: DataFrame) -> DataFrame:
     likely = judged.filter(share > 0.5)
     own = likely.groupBy("row_id", "k").agg(F.max(F.when(F.col("beside").isNull(), 1)).alias("alone"), F.max("beside").alias("beside"))
     # with something beside it, whether the line is furniture decides
-    return edges.join(own, ["row_id", "k"], "left").withColumn("own", F.col("alone").isNotNull() & F.col("beside").isNull()).drop("alone")
+    return own.select("row_id", "k", (F.col("alone").isNotNull() & F.col("beside").isNull()).alias("own"), "beside")
 
 
 _FORM = "row_id string, k int, form string, beside boolean"
 
 
-def furniture(edges: DataFrame, train: int = 20_000) -> DataFrame:
+def furniture(known: DataFrame, own: DataFrame, train: int = 20_000) -> DataFrame:
     """(row_id, k, form, beside) of the edge lines that are running headers or footers; ``beside`` tells of a page number on the line.
 
-    ``edges`` are those of :func:`page_numbers` with (doc, pages); a page's outermost lines that aren't its number are judged.
+    A page's outermost lines that aren't its number (``own``, of :func:`page_numbers`) are judged, where its document has several pages.
     """
-    left = edges.filter("not own and doc is not null and page_number is not null and pages > 1")
-    ends = left.groupBy("row_id", "doc", "page_number").agg(F.min_by(F.struct("k", "line", "form", "beside"), "k").alias("first"), F.max_by(F.struct("k", "line", "form", "beside"), "k").alias("last"))
+    slim = F.transform("edges", lambda e: F.struct(e["k"].alias("k"), e["line"].rlike("^[|#]").alias("barred"), e["form"].alias("form")))
+    several = known.filter("doc is not null and page_number is not null and pages > 1").select("row_id", "doc", "page_number", F.explode(slim).alias("e")).select("row_id", "doc", "page_number", "e.*")
+    left = several.join(own, ["row_id", "k"], "left").filter("own is null or not own")
+    ends = left.groupBy("row_id", "doc", "page_number").agg(*[pick(F.struct("k", "barred", "form", "beside"), "k").alias(n) for pick, n in ((F.min_by, "first"), (F.max_by, "last"))])
     both = ends.select("row_id", "doc", "page_number", F.explode(F.array(F.struct(F.lit(1).alias("top"), F.col("first").alias("l")), F.struct(F.lit(0).alias("top"), F.col("last").alias("l")))).alias("e"))
-    lines = both.select("row_id", "doc", "page_number", "e.top", "e.l.k", "e.l.line", F.coalesce(_form_of()("e.l.beside"), "e.l.form").alias("form"), F.col("e.l.beside").isNotNull().alias("beside"))
-    lines = checkpoints.cut(lines.filter(~F.col("line").rlike("^[|#]")).dropDuplicates(["row_id", "k"]))
+    lines = both.filter("not e.l.barred").select("row_id", "doc", "page_number", "e.top", "e.l.k", F.coalesce(_form_of()("e.l.beside"), "e.l.form").alias("form"), F.col("e.l.beside").isNotNull().alias("beside"))
+    lines = checkpoints.cut(lines.dropDuplicates(["row_id", "k"]))
 
     page_lines = lines.select("doc", "page_number", "form").distinct()
     per_form = page_lines.groupBy("doc", "form").agg(F.count("*").alias("on_pages"))
@@ -504,9 +505,9 @@ def found(pages: DataFrame) -> Found:
     known = read(pages.filter("text is not null and row_id is not null"))
     replace, counted = misreadings(known)
     cuts = known.select("row_id", F.explode("cuts").alias("cut")).select("row_id", *[F.col("cut")[i].alias(n) for i, n in enumerate(("left", "right", "mark"))])
-    edges = checkpoints.cut(page_numbers(known))
-    lines = checkpoints.cut(furniture(edges))
-    numbers = edges.filter("own").select("row_id", "k").unionByName(lines.filter("beside").select("row_id", "k"))
+    own = checkpoints.cut(page_numbers(known))
+    lines = checkpoints.cut(furniture(known, own))
+    numbers = own.filter("own").select("row_id", "k").unionByName(lines.filter("beside").select("row_id", "k"))
     return Found(known, checkpoints.cut(replace), divided_words(cuts, counted), lines, numbers)
 
 

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
 import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,23 +92,60 @@ def fold(word: Column, ranks: Column) -> Column:
     return F.transform(done["pieces"], lambda p: _rank(ranks, p))
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word by the same merges, the next one taken from a heap."""
+    n = len(word)
+    start, end, nxt, before = list(range(n)), list(range(1, n + 1)), [*range(1, n), -1], list(range(-1, n - 1))
+    alive = [True] * n
+
+    def pair(i: int) -> int | None:
+        return ranks.get(word[start[i] : end[nxt[i]]]) if nxt[i] >= 0 else None
+
+    heap = [(r, i, end[nxt[i]]) for i in range(n) if (r := pair(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not alive[i] or nxt[i] < 0 or end[nxt[i]] != stop or start[nxt[i]] != end[i]:  # one of the two was merged since
+            continue
+        j = nxt[i]
+        end[i], nxt[i], alive[j] = end[j], nxt[j], False
+        if nxt[i] >= 0:
+            before[nxt[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := pair(k)) is not None:
+                heapq.heappush(heap, (r, k, end[nxt[k]]))
+    return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
+
+
 def words(text: Column) -> Column:
     """The pieces of text that merges never cross."""
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def encode(documents: DataFrame, text: str, out: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", frequent: int = 20_000) -> DataFrame:
+def encode(documents: DataFrame, text: str, out: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", frequent: int = 20_000, longest: int = 256) -> DataFrame:
     """``documents`` with the ids of ``text`` in ``out``.
 
-    ``frequent`` bounds the words whose ids are found once and looked up; it changes speed only, not results.
+    ``frequent`` bounds the words whose ids are found once and looked up, ``longest`` the bytes of words that are folded; they change speed only,
+    not results.
     """
+    by_bytes = load_ranks(vocabulary)
+
+    @F.pandas_udf("array<array<int>>")
+    def long_ids(found: pd.Series) -> pd.Series:
+        return pd.Series([None if ws is None else [merged(w.encode(), by_bytes) for w in ws] for ws in found])
+
     ranks = _bucketed({piece.hex().upper(): rank for piece, rank in load_ranks(vocabulary).items()}, "int", BUCKETS)
     counted = documents.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").count()
     top = counted.filter((F.col("count") > 1) & (F.length("word") <= 200)).orderBy(F.desc("count"), "word").limit(frequent).select("word", fold(F.col("word"), ranks).alias("ids"))
     known_ids = {row["word"]: list(row["ids"]) for row in top.collect()}  # at most `frequent` words of at most 200 characters
     known = _bucketed(known_ids, "array<int>", BUCKETS)
-    ids = F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(_lookup(known, w, BUCKETS), fold(w, ranks))))
-    return documents.withColumn(out, F.coalesce(ids, F.array().cast("array<int>")))
+    long = F.array_distinct(F.filter(words(F.col(text)), lambda w: F.octet_length(w) > longest))
+    # no text without a run of so many bytes has a long word: most rows send nothing to Python
+    some = F.when(F.octet_length(text) > longest, F.when(F.size(long) > 0, long))
+    held = documents.withColumn("__long", some).withColumn("__ids", long_ids(F.col("__long")))
+    of_long = lambda w: F.get(F.col("__ids"), F.array_position("__long", w).cast("int") - 1)
+    ids = F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(_lookup(known, w, BUCKETS), F.when(F.octet_length(w) > longest, of_long(w)).otherwise(fold(w, ranks)))))
+    return held.withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("__long", "__ids")
 
 
 def decode(ids: Column, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> Column:

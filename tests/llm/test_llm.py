@@ -78,6 +78,23 @@ def test_tokens_equal_the_library(spark):
     assert tokenize.encode(rows.limit(0), "text", "ids").count() == 0
 
 
+def test_long_words_take_no_quadratic_time(spark):
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = f"{tokenize.TOKENIZERS}/byte_bpe_50k"
+    reference = tokenizers.Tokenizer.from_file(f"{path}.json")
+    ranks, r = tokenize.load_ranks(f"{path}.tiktoken"), random.Random(18)
+    for text in ["a", "aaaa", "banana", "".join(r.choice("abcdeé日") for _ in range(3000))]:
+        assert tokenize.merged(text.encode(), ranks) == reference.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    tokenize.merged(("".join(r.choice("abcdefgh") for _ in range(100_000))).encode(), ranks)
+    assert time.time() - began < 10
+    text = "start " + "".join(r.choice("abcde日本") for _ in range(20_000)) + " end"
+    got = tokenize.encode(spark.createDataFrame([(1, text), (2, "short")], "k int, text string"), "text", "ids").collect()
+    assert list(got[0]["ids"]) == reference.encode(text, add_special_tokens=False).ids and got[0].__fields__ == ["k", "text", "ids"]
+
+
 # leaks
 
 
