@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperlane.functions import geometry as G
 from paperlane.functions import markdown as M
 from paperlane.functions import text as X
-from paperlane.operators import diffs, extraction, imports, layout, matching, nested, quality
+from paperlane.operators import diffs, extraction, imports, layout, lifecycle, matching, nested, quality
 from paperlane.sources import sinks
 
 SQL: dict[str, str] = {}
@@ -335,3 +335,97 @@ def nested_link_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Objects within arrays with their parents: nested, at the top, in JSON within JSON; broken and empty records have none."""
     rows = [("a", '{"r": [{"l": [{"t": 1}, {"t": 2}, 3]}, 4]}'), ("b", '[{"k": null}]'), ("c", json.dumps('{"x": [{}]}')), ("d", '{"x": [{"a": 1'), ("e", ""), ("f", None), ("g", "{}")]
     return nested.nodes(spark.createDataFrame(rows, "record_id string, json string"), "record_id", "json").filter("is_element").select("record_id", "parent_path", "node_path")
+
+
+@known("text, normal, key, number_like, amount_like, broken, hidden",
+       ("Ａ １２３ ｶﾅ ", "A 123 カナ", "a123カナ", False, True, "Ａ １２３ ｶﾅ ", "Ａ １２３ ｶﾅ "), ("¥1,234円", "¥1,234円", "¥1,234円", False, True, "¥1,234円", "¥1,234円"), ("2024年5月1日", "2024年5月1日", "2024年5月1日", True, True, "2024年5月1日", "2024年5月1日"),
+       ("a<br>b<BR />c", "a<br>b<BR />c", "a<br>b<br/>c", False, False, "a\nb\nc", "a<br>b<BR />c"), ("key=s3cret!", "key=s3cret!", "key=s3cret!", False, False, "key=s3cret!", "key=***!"), ("", "", "", False, False, "", ""))
+def text_function_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Normal form, label form, what looks like figures or amounts, line breaks, secrets left out."""
+    t = F.col("text")
+    rows = spark.createDataFrame([("Ａ １２３ ｶﾅ ",), ("¥1,234円",), ("2024年5月1日",), ("a<br>b<BR />c",), ("key=s3cret!",), ("",)], "text string")
+    return rows.select("text", X.normal_form(t).alias("normal"), X.key_form(t).alias("key"), X.numberish(t).alias("number_like"), X.looks_amount(t).alias("amount_like"), X.without_breaks(t).alias("broken"), X.without_secret(t, "s3cret").alias("hidden"))
+
+
+@known("n, prefix, suffix", (1, 2, 1), (2, 3, 0), (3, 0, 0), (4, 2, 0))
+def common_affix_cases(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "abcd", "abxd"), (2, "abc", "abc"), (3, "", "x"), (4, "aa", "aaa")], "n int, a string, b string")
+    return rows.select("n", X.common_affix(F.col("a"), F.col("b")).alias("s")).select("n", "s.*")
+
+
+@known("n, text", (1, "T\nA  B\n1  2\nend"), (2, ""), (3, "a\nb"))
+def plain_text_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown as plain text: cells two spaces apart, no rules, images or blank lines."""
+    rows = spark.createDataFrame([(1, "T\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n![i](x)\nend"), (2, ""), (3, "a<br>b")], "n int, t string")
+    return rows.select("n", M.plain_text(F.col("t")).alias("text"))
+
+
+@known("label, kind, markdown, vertical", ("doc_title", "title", "## 請求書", False), ("table", "table", "| a | b |\n| --- | --- |", False), ("image", "figure", "", False), ("vertical_text", "text", "x & y", True), (None, "text", "plain", False))
+def block_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Recognised layout blocks as regions, by their labels."""
+    rows = spark.createDataFrame([("doc_title", " 請求書 "), ("table", "<table><tr><td>a</td><td>b</td></tr></table>"), ("image", "noise"), ("vertical_text", "x &amp; y"), (None, "plain")], "label string, content string")
+    return rows.select("label", M.block_region(F.col("label"), F.col("content")).alias("r")).select("label", "r.kind", "r.markdown", "r.vertical")
+
+
+@known("n, x0, y0, x1, y1, mean", (1, 0.0, 0.0, 30.0, 20.0, 0.7), (2, 0.0, 0.0, 0.0, 0.0, None))
+def box_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes around points, and mean confidences."""
+    rows = spark.createDataFrame([(1, [[0.0, 0.0], [30.0, 5.0], [10.0, 20.0]], [0.6, 0.8]), (2, [], [])], "n int, p array<array<double>>, c array<double>")
+    return rows.select("n", G.box_of_points(F.col("p")).alias("b"), F.round(quality.confidence(F.col("c")), 4).alias("mean")).select("n", "b.*", "mean")
+
+
+@known("ord, x0, x1", (0, 0.0, 10.0), (1, 40.0, 60.0), (2, 100.0, 120.0))
+def merged_box_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Seen boxes, and the computed ones that overlap none kept before them."""
+    kept = layout.merged_boxes([(0.0, 0.0, 10.0, 10.0), (100.0, 50.0, 120.0, 60.0)], [(1.0, 0.0, 11.0, 10.0), (40.0, 20.0, 60.0, 30.0), (42.0, 20.0, 61.0, 30.0)])
+    return spark.createDataFrame([(i, b[0], b[2]) for i, b in enumerate(kept)], "ord int, x0 double, x1 double")
+
+
+@known("n, kind, text", (1, "text", "株式会社ソナス\n合計"), (3, "table", "| 小計 | 5 |\n| --- | --- |"))
+def payload_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """A recogniser's answer: its text where it gave no lines, nothing where they are blank, else tables and lines."""
+    answers = [(1, "株式会社ソナス\n合計", []), (2, "keep", [layout.Box(0, 0, 1, 1, "  ")]), (3, "x", [layout.Box(0, 0, 40, 20, "小計"), layout.Box(70, 0, 80, 20, "5")])]
+    return spark.createDataFrame([(n, b.kind, b.text) for n, t, lines in answers for b in layout.payload_regions(t, lines)], "n int, kind string, text string")
+
+
+_STEPS = [(1, "draft", "submitted"), (2, "approved", "submitted"), (3, "submitted", "approved"), (4, "submitted", "used_in_training")]
+
+
+@known("id, status, reason", (1, "submitted", None), (2, "approved", "not from approved"), (3, "approved", None), (4, "submitted", "not from submitted"), (9, None, "not found"))
+def transition_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of state: allowed ones are made, others refused with their reason."""
+    rows = spark.createDataFrame([(i, s) for i, s, _ in _STEPS], "id int, status string")
+    wanted = spark.createDataFrame([(i, to) for i, _, to in _STEPS] + [(9, "submitted")], "id int, to string")
+    after, refused = lifecycle.applied(rows, wanted, "id")
+    return after.join(refused.select("id", "reason"), "id", "full").select("id", "status", "reason")
+
+
+@known("step, id, value", ("current", "a1", "false"), ("current", "a2", "true"), ("current", "b1", "true"), ("active", "1", "retired"), ("active", "2", "active"), ("active", "3", "active"), ("seeded", "x", "old"), ("seeded", "y", "new"), ("unlinked", "10", None), ("unlinked", "11", "2"), ("dismissed", "1", "dismissed"), ("dismissed", "2", "suggested"))
+def snapshot_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """New rows from old ones and changes: the newest result current, one active version, seeds where absent, links to deleted rows cleared, dismissals."""
+    results = spark.createDataFrame([("a1", "a", 1, True), ("a2", "a", 2, False), ("b1", "b", 1, False)], "id string, page string, at int, is_current boolean")
+    versions = spark.createDataFrame([("1", None, "k", "active"), ("2", None, "k", "candidate"), ("3", "c", "k", "active")], "id string, company_id string, kind string, status string")
+    old, seeds = (spark.createDataFrame(r, "id string, value string") for r in ([("x", "old")], [("x", "new"), ("y", "new")]))
+    children = spark.createDataFrame([("10", "1"), ("11", "2")], "id string, parent string")
+    parts = {
+        "current": lifecycle.flipped(results, "page", "id", "at").select("id", F.col("is_current").cast("string").alias("value")),
+        "active": lifecycle.activated(versions, spark.createDataFrame([("2",)], "id string")).select("id", F.col("status").alias("value")),
+        "seeded": lifecycle.added_if_absent(old, seeds, "id"),
+        "unlinked": lifecycle.unlinked(children, spark.createDataFrame([("1",)], "id string"), "parent").select("id", F.col("parent").alias("value")),
+        "dismissed": matching.dismissed(_decided(spark).withColumn("status", F.lit("suggested")), spark.createDataFrame([("1",)], "id string")).select("id", F.col("status").alias("value")),
+    }
+    every = None
+    for step, rows in parts.items():
+        named = rows.select(F.lit(step).alias("step"), "id", "value")
+        every = named if every is None else every.unionByName(named)
+    return every
+
+
+@known("id, texts", ("full", "a"), ("same", "a,bb"), ("none", "a"), ("variant", "a,ＡＢ"))
+def alias_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Spellings learned once, only genuine variants, and one removed."""
+    rows = spark.createDataFrame([("full", "a", "b"), ("same", "bb", "value"), ("none", "x", "x"), ("variant", "ＡＢ", "value")], "id string, text string, value string")
+    known_aliases = F.array(F.struct(F.lit("name").alias("field_key"), F.lit("a").alias("text")))
+    learned = matching.learned_aliases(known_aliases, F.lit("name"), F.col("text"), X.normal_form(F.col("value")), F.lit(None).cast("string"))
+    removed = F.when(F.col("id") == "full", matching.without_alias(F.array_append(known_aliases, F.struct(F.lit("name").alias("field_key"), F.lit("b").alias("text"))), F.lit("name"), F.lit("b"))).otherwise(learned)
+    return rows.select("id", F.array_join(F.array_sort(removed["text"]), ",").alias("texts"))

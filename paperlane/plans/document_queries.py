@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperlane.functions import text as X
 from paperlane.operators import lifecycle
 from paperlane.operators import relational as R
 from paperlane.sources import table
@@ -300,3 +301,49 @@ def best_per_group(spark: SparkSession, folder: str) -> DataFrame:
     """The two dearest lines of each order."""
     best = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey")
     return table(spark, folder, "lineitem").withColumn("k", F.row_number().over(best)).filter("k <= 2").select("l_orderkey", "k", "l_partkey", "l_extendedprice")
+
+
+@query("SELECT id, n AS page_number FROM scan_documents, range(1, 10000) r(n) WHERE n <= page_count")
+def page_fanout(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that documents are to have."""
+    rows = table(spark, folder, "scan_documents").filter("page_count > 0")
+    return rows.select("id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"))
+
+
+@query(r"""SELECT d.id, d.company_id || '/documents/' || d.id || '/original' || coalesce(nullif(lower(regexp_extract(original_filename, '[^/\\.](\.[^./\\]*)$', 1)), ''), '.bin') AS original, d.company_id || '/documents/' || d.id || '/results/document.md' AS markdown FROM scan_documents d""")
+def document_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Where documents and their Markdown are stored."""
+    rows = table(spark, folder, "scan_documents")
+    return rows.select("id", X.original_path(F.col("company_id"), F.col("id"), F.col("original_filename")).alias("original"), X.markdown_path(F.col("company_id"), F.col("id")).alias("markdown"))
+
+
+@query("""SELECT device_id, path, state, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated FROM (SELECT DISTINCT device_id, path, state, updated_at FROM upload_journal WHERE state IN ('pending', 'failed')) ORDER BY updated_at DESC, device_id, path, state LIMIT 100""")
+def journal_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred newest journal entries that are still to be sent: the listing's page."""
+    rows = table(spark, folder, "upload_journal").filter(F.col("state").isin("pending", "failed")).select("device_id", "path", "state", "updated_at").distinct()
+    newest = R.page_of(rows, 1, 100, F.desc("updated_at"), F.asc("device_id"), F.asc("path"), F.asc("state"))
+    return newest.select("device_id", "path", "state", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated"))
+
+
+@query("SELECT id, kind, row_number() OVER (PARTITION BY company_id ORDER BY kind, created_at, id) AS place FROM master_types")
+def types_in_listing_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Each company's types as its listing has them: by kind, then by age."""
+    order = Window.partitionBy("company_id").orderBy("kind", "created_at", "id")
+    return table(spark, folder, "master_types").select("id", "kind", F.row_number().over(order).alias("place"))
+
+
+@query("""WITH p AS (SELECT id, document_id, page_number FROM ocr_pages WHERE page_number IN (1, 2)) SELECT p.document_id, p.page_number, count(*) AS n, max(m.score) AS best FROM (SELECT DISTINCT * FROM master_matches) m JOIN p ON p.id = m.page_id JOIN master_records r ON r.id = m.master_record_id WHERE m.status <> 'dismissed' GROUP BY 1, 2""")
+def matches_by_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The matches of a set of pages with their records, by page."""
+    pages = table(spark, folder, "ocr_pages").filter(F.col("page_number").isin(1, 2)).select(F.col("id").alias("page_id"), "document_id", "page_number")
+    matches = table(spark, folder, "master_matches").filter("status <> 'dismissed'").distinct()
+    records = table(spark, folder, "master_records").select(F.col("id").alias("master_record_id"))
+    return matches.join(pages, "page_id").join(records, "master_record_id").groupBy("document_id", "page_number").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
+@query("SELECT device_id, path, CASE WHEN state = 'uploading' THEN 'pending' ELSE state END AS state, count(*) AS n FROM upload_journal GROUP BY 1, 2, 3")
+def journal_after_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """Journal entries after a restart: what was on its way waits again."""
+    rows = table(spark, folder, "upload_journal").withColumn("status", F.col("state"))
+    waiting = lifecycle.swept(rows, F.lit("9999-01-01").cast("timestamp"), ("uploading",), "pending", "updated_at")
+    return waiting.groupBy("device_id", "path", F.col("status").alias("state")).agg(F.count("*").alias("n"))

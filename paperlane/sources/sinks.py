@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlane.functions.markdown import blocks, plain_text, unescaped_cells
-from paperlane.functions.text import category_label, guarded_cell, without_breaks
+from paperlane.functions.text import category_label, guarded_cell, markdown_path, without_breaks
 
 PAGE_BREAK = "\n\n---\n\n"
 
@@ -22,6 +25,31 @@ def write_markdown(documents: DataFrame, path: str, parts: int | None = None) ->
     rows.write.mode("overwrite").parquet(path)
 
 
+def write_document_files(documents: DataFrame, root: str) -> DataFrame:
+    """(document_id, path, bytes) of the files that documents (company_id, document_id, markdown) are written to below ``root``: one UTF-8 file per
+    document, replaced if it is there.
+
+    The result must be consumed for the files to be written. For many documents :func:`write_markdown` is the layout that scales.
+    """
+    rows = documents.filter("markdown is not null").select(F.col("document_id").cast("string").alias("document_id"), markdown_path(F.col("company_id"), F.col("document_id")).alias("path"), "markdown")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch["path"], batch["markdown"], strict=True):
+                data = text.encode()
+                files.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(f"{base}/{path}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield batch[["document_id", "path"]].assign(bytes=sizes)
+
+    return rows.mapInPandas(run, "document_id string, path string, bytes long")
+
+
 def spreadsheet_rows(documents: DataFrame) -> DataFrame:
     """What a bulk export has per document (original_filename, doc_type, created_at, markdown): name, category, day, text; no formulas."""
     return documents.select(

@@ -425,3 +425,12 @@ def test_no_machine_local_folder_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(RuntimeError):
         checkpoints.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_document_files(spark, tmp_path):
+    rows = spark.createDataFrame([("c", "d1", "# 請求書\nx"), ("c", "d2", ""), ("c", "d3", None)], "company_id string, document_id string, markdown string")
+    assert files.document_texts(rows.drop("markdown"), str(tmp_path / "none")).filter("markdown = ''").count() == 3
+    for _ in range(2):  # again replaces
+        assert {r["document_id"] for r in sinks.write_document_files(rows, str(tmp_path / "store")).collect()} == {"d1", "d2"}
+    got = {r["document_id"]: r["markdown"] for r in files.document_texts(rows.drop("markdown"), str(tmp_path / "store")).collect()}
+    assert got == {"d1": "# 請求書\nx", "d2": "", "d3": ""}

@@ -38,7 +38,8 @@ def duck(small):
 def test_query(spark, small, duck, name):
     got = registry.queries()[name](spark, small)
     if name not in registry.oracle_sql():
-        assert got.columns and got.count() >= 0
+        first = rows(got.toPandas())  # no result to compare with: at least two runs give the same rows
+        assert got.columns and first == rows(registry.queries()[name](spark, small).toPandas())
         return
     want = duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
