@@ -65,8 +65,9 @@ def text_units(text: Column) -> Column:
     """
 
     def split(unit: Column) -> Column:
-        words = F.filter(F.split(unit, rf"{WS}+"), lambda w: F.length(w) >= 2)
-        return F.when(F.size(F.filter(F.split(unit, rf"{WS}+"), lambda w: w != "")) > 1, F.concat(F.array(unit), words)).otherwise(F.array(unit))
+        words = F.filter(F.split(unit, rf"{WS}+"), lambda w: w != "")
+        several = lambda ws: F.when(F.size(ws) > 1, F.filter(ws, lambda w: F.length(w) >= 2)).otherwise(F.array().cast(_EMPTY))
+        return F.concat(F.array(unit), F.flatten(F.transform(F.array(words), several)))
 
     running = F.filter(F.transform(lines(text), lambda x: strip(F.regexp_replace(strip(x), "^#+", ""))), lambda x: (x != "") & ~x.startswith("|") & ~x.startswith("!["))
     cells = F.filter(F.flatten(table_cells(text)), lambda c: c != "")

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: White space as Unicode-aware tools understand it; Java's ``\\s`` is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: The same characters; trimming by a list is far cheaper than by a pattern that is tried at every place.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: What ends a line.
 EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -39,7 +41,7 @@ def nfkc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def collapsed(text: Column) -> Column:

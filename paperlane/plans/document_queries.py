@@ -347,3 +347,17 @@ def journal_after_restart(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "upload_journal").withColumn("status", F.col("state"))
     waiting = lifecycle.swept(rows, F.lit("9999-01-01").cast("timestamp"), ("uploading",), "pending", "updated_at")
     return waiting.groupBy("device_id", "path", F.col("status").alias("state")).agg(F.count("*").alias("n"))
+
+
+_KEYWORDS = ", ".join(f"({i}, '{kind}', '{word}')" for i, (kind, word) in enumerate(X.CATEGORY_KEYWORDS))
+
+
+@query(f"""WITH m AS (SELECT p.document_id, string_agg(coalesce(r.markdown, '<!-- page ' || p.page_number || ': no text -->'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY p.page_number, p.id) AS t FROM ocr_pages p LEFT JOIN ocr_results r ON r.page_id = p.id AND r.is_current GROUP BY 1),
+k(o, kind, word) AS (VALUES {_KEYWORDS}), f AS (SELECT m.document_id, arg_min(k.kind, instr(m.t, k.word) * 100 + k.o) AS kind FROM m, k WHERE instr(m.t, k.word) > 0 GROUP BY 1)
+SELECT d.id, CASE WHEN d.doc_type IS NULL OR trim(d.doc_type) IN ('', 'other') THEN coalesce(f.kind, d.doc_type) ELSE d.doc_type END AS doc_type FROM scan_documents d LEFT JOIN f ON f.document_id = d.id WHERE d.status IN ('completed', 'partially_failed')""")
+def reclassified_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished documents with the category of their text where they have none or the general one."""
+    texts = assembled_documents(spark, folder).select(F.col("document_id").alias("id"), X.category(F.col("markdown")).alias("found"))
+    rows = table(spark, folder, "scan_documents").filter(F.col("status").isin("completed", "partially_failed")).select("id", "doc_type").join(texts, "id", "left")
+    open_type = F.col("doc_type").isNull() | F.trim("doc_type").isin("", "other")
+    return rows.select("id", F.when(open_type, F.coalesce("found", "doc_type")).otherwise(F.col("doc_type")).alias("doc_type"))

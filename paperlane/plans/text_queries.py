@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,15 +136,17 @@ def best_matches(spark: SparkSession, folder: str) -> DataFrame:
     return matching.best_matches(_pages(spark, folder), table(spark, folder, "master_records"), table(spark, folder, "master_types"))
 
 
+#: Single characters whose normal form is longer, as the normal form's length counts.
+_EXPANDED = ", ".join(f"'{c}'" for c in map(chr, range(0x80, 0xFF00)) if not 0xD800 <= ord(c) <= 0xDFFF and len(unicodedata.normalize("NFKC", c).strip()) > 1)
 _VALUES = """f AS (SELECT id AS master_type_id, unnest(fields) AS f FROM master_types), v AS (SELECT DISTINCT r.company_id, trim(r.data[f.f.key]) AS value FROM master_records r JOIN f USING (master_type_id) WHERE f.f.matchable AND r.data[f.f.key] IS NOT NULL)"""
 
 
 @query(f"""WITH {_VALUES}, u AS (SELECT company_id, page_id, unnest(string_split(markdown, chr(10))) AS line FROM ocr_results WHERE is_current AND markdown IS NOT NULL)
-SELECT u.page_id, v.value, count(*) AS lines FROM u JOIN v ON v.company_id = u.company_id AND contains(u.line, v.value) WHERE length(v.value) >= 2 GROUP BY 1, 2""")
+SELECT u.page_id, v.value, count(*) AS lines FROM u JOIN v ON v.company_id = u.company_id AND contains(u.line, v.value) 
+WHERE (length(v.value) >= 2 AND NOT regexp_full_match(v.value, '[ｦ-ﾝ][ﾞﾟ]')) OR v.value IN ({_EXPANDED}) GROUP BY 1, 2""")
 def contained_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of each page in which a master value of its company stands, of all values of two characters or more."""
-    fields = table(spark, folder, "master_types").select(F.col("id").alias("master_type_id"), F.explode("fields").alias("f")).filter("f.matchable").select("master_type_id", F.col("f.key").alias("key"))
-    values = table(spark, folder, "master_records").select("company_id", "master_type_id", "data").join(fields, "master_type_id").select("company_id", F.trim(F.try_element_at("data", "key")).alias("value")).filter("length(value) >= 2")
+    """Lines of each page in which a master value of its company stands, of all values whose normal form has two characters or more."""
+    values = matching.matchable_values(table(spark, folder, "master_records"), table(spark, folder, "master_types"))
     lines = _pages(spark, folder).select("company_id", "page_id", F.explode(F.split("markdown", "\n", -1)).alias("line")).filter("line <> ''")
     return matching.contained(lines, values, "company_id", "line", "value").groupBy("page_id", "value").agg(F.count("*").alias("lines"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ NAMES = sorted(registry.queries())
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, bool):
         return str(value)

@@ -131,7 +131,7 @@ def test_text_queries_cover_whole_tables(spark, tmp_path):
         if read is not None:
             a, b = unicodedata.normalize("NFKC", meant), unicodedata.normalize("NFKC", read)
             want[i] = (len(read), edits(a, b) / len(a))
-    assert {x["id"]: (x["characters"], x["cer"]) for x in Q.match_error_rates_all(spark, str(tmp_path)).collect()} == want
+    assert {x["id"]: (x["characters"], x["cer"]) for x in Q.match_error_rates(spark, str(tmp_path)).collect()} == want
 
     names = {"a": "株式会社サンプルx", "b": "大阪", "c": "㈱", "d": "Acme", "e": "ÀB corp", "f": None, "g": "𠮷野家"}
     put("master_types", [("t", [("name", True)])], "id string, fields array<struct<key:string,matchable:boolean>>")
@@ -139,6 +139,6 @@ def test_text_queries_cover_whole_tables(spark, tmp_path):
     pages = {"p": "宛先 株式会社サンプルx 御中\n\n大阪市 大阪\n㈱甲", "q": "Acme 大阪\nAcme\n𠮷野家\nÀB corp"}
     put("ocr_results", [("r" + k, "k", k, t, True) for k, t in pages.items()], "id string, company_id string, page_id string, markdown string, is_current boolean")
     held = {(p, v): n for p, t in pages.items() for v in names.values() if v and (n := sum(v in line for line in t.split("\n")))}
-    assert {(x["page_id"], x["value"]): x["lines"] for x in Q.contained_values_all(spark, str(tmp_path)).collect()} == held
-    got = {x["id"]: x["aliases"] for x in Q.learned_aliases_all(spark, str(tmp_path)).collect()}
+    assert {(x["page_id"], x["value"]): x["lines"] for x in Q.contained_values(spark, str(tmp_path)).collect()} == held
+    got = {x["id"]: x["aliases"] for x in Q.learned_aliases(spark, str(tmp_path)).collect()}
     assert got == {"a": "name:株式会社サンプルX", "b": "", "c": "", "d": ":|name:|name:ACME", "e": ":|name:|name:ÀB CORP", "f": "", "g": ""}
