@@ -242,7 +242,7 @@ def _joined(picked: DataFrame, rows: DataFrame, schema: T.StructType, q: int, wo
 
     posted = checkpoints.cut(rows.mapInPandas(item_grams, f"h long, item_id {item_type}, place long, need int"))
     bit = f"pmod(h, {filter_bits}L)"
-    marked = posted.selectExpr(f"{bit} div 64 as at", f"shiftleft(1L, cast({bit} % 64 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most filter_bits / 64 rows
+    marked = posted.selectExpr(f"{bit} div 64 as at", f"shiftleft(1L, cast({bit} % 64 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow().to_pandas()  # at most filter_bits / 64 rows
     bitmap = np.zeros(filter_bits // 64 + 1, np.int64)
     bitmap[marked["at"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64)
     least = posted.agg(F.min("need")).first()[0] or 1

@@ -301,7 +301,7 @@ def misreadings(known: DataFrame, train_pairs: int = 20_000, weak_pairs: int = 2
         pairs = pairs.join(said, key)
     pairs = checkpoints.cut(pairs)
     by_hash = F.xxhash64("seen", "meant")
-    own, unseen = (pairs.filter(which).orderBy(by_hash).limit(most).toPandas() for which, most in (("yes + no > 0", train_pairs), ("yes + no = 0", weak_pairs)))
+    own, unseen = (pairs.filter(which).orderBy(by_hash).limit(most).toArrow().to_pandas() for which, most in (("yes + no > 0", train_pairs), ("yes + no = 0", weak_pairs)))
     y = (own["yes"] / (own["yes"] + own["no"])).to_numpy(float)
     weight = np.sqrt(own["yes"] + own["no"]).to_numpy(float)
     if len(own):
@@ -384,7 +384,7 @@ def divided_words(cuts: DataFrame, counted: DataFrame, train: int = 20_000) -> D
     found = checkpoints.cut(found.fillna(0, ["n_joined", "n_left", "n_right"]).withColumn("odd", (~F.col("mark").isin("-")).cast("int")))
     x = [F.log1p(c) for c in ("n_joined", "n_left", "n_right")] + [F.col("odd").cast("double")]
     sure = F.when((F.col("n_joined") >= 5) | ((F.col("odd") == 1) & (F.col("n_left") + F.col("n_right") == 0)), 1.0).when((F.col("n_joined") <= 1) & (F.col("n_left") >= 20) & (F.col("n_right") >= 20) & (F.col("odd") == 0), 0.0)
-    rows = found.withColumn("y", sure).filter("y is not null").orderBy(F.xxhash64("left", "right", "row_id")).limit(train).select("y", *[c.alias(f"x{i}") for i, c in enumerate(x)]).toPandas()
+    rows = found.withColumn("y", sure).filter("y is not null").orderBy(F.xxhash64("left", "right", "row_id")).limit(train).select("y", *[c.alias(f"x{i}") for i, c in enumerate(x)]).toArrow().to_pandas()
     beta = np.array([-1.0, 1.2, -0.3, -0.3, 3.0])
     if len(rows) and 0 < rows["y"].mean() < 1:
         beta = _logistic(rows[[f"x{i}" for i in range(4)]].to_numpy(float), rows["y"].to_numpy(float), np.ones(len(rows)))
@@ -450,7 +450,7 @@ def furniture(known: DataFrame, own: DataFrame, train: int = 20_000) -> DataFram
     rows = rows.withColumn("shape", shape).join(by_doc, ["doc", "shape"]).join(by_shape, "shape")
     further = F.col("doc_pages") - 1 - F.col("beside_pages")
     rows = checkpoints.cut(rows.withColumn("label", F.when(further > 0, (F.col("on_pages") - 1 - F.col("same_beside") > 0).cast("int"))))
-    sample = rows.filter("label is not null").orderBy(F.xxhash64("row_id", "k")).limit(train).select("label", "form", "top", "alike", "on_pages", "again", "docs", "docs_again").toPandas()
+    sample = rows.filter("label is not null").orderBy(F.xxhash64("row_id", "k")).limit(train).select("label", "form", "top", "alike", "on_pages", "again", "docs", "docs_again").toArrow().to_pandas()
     # what is known before any page is read: a line that comes again is furniture, one that doesn't isn't
     prior = [[1 - k / 40, top, 3, 0, 0, 0, 0, 0, 0.5, 1] for k in range(5) for top in (0, 1)] + [[k / 8, top, 3, 0, 0, 0, 0, 0, 0.05, 1] for k in range(5) for top in (0, 1)]
     x = np.concatenate((_line_matrix(sample, False), prior))
