@@ -25,6 +25,8 @@ from paperlane.functions.text import normal_form
 from paperlane.sources import checkpoints
 
 THRESHOLD = 0.82
+#: Keys of 8 bytes that are broadcast at most; more of them are joined by shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def matchable_values(records: DataFrame, types: DataFrame) -> DataFrame:
@@ -76,16 +78,31 @@ def _least_places(counts: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def rarest_keys(values: DataFrame, text: str, wanted: Column, cut: DataFrame, scope: str) -> DataFrame:
-    """(scope, text, k): of each value ``wanted`` trigrams that don't overlap and that fewest rows of ``cut`` (scope, k) have.
+def rarest_keys(values: DataFrame, text: str, wanted: Column, units: DataFrame, unit: str, scope: str) -> DataFrame:
+    """(scope, text, key): of each value ``wanted`` trigrams that don't overlap and that fewest ``units`` (scope, unit) have.
 
-    A trigram that no row has gives no key, as no row can have it.
+    A trigram that no unit has gives no key, as no unit can match by it.  A key is the hash of scope and trigram.
     """
-    grams = values.select(scope, text, wanted.cast("int").alias("__wanted"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).alias("place", "k"))
-    df = cut.groupBy(scope, "k").agg(F.count("*").alias("__df"))
-    counted = grams.join(df, [scope, "k"], "left").groupBy(scope, text, "__wanted").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("__df", F.lit(0)).alias("df"), "k"))).alias("__grams"))  # of one value
+    grams = values.select(scope, text, wanted.cast("int").alias("__wanted"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).alias("place", "k")).withColumn("key", F.xxhash64(scope, "k"))
+    df = _with_keys(units, unit, 3, scope, grams).groupBy("key").agg(F.count("*").alias("__df"))
+    counted = grams.join(df, "key", "left").groupBy(scope, text, "__wanted").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("__df", F.lit(0)).alias("df"), "key"))).alias("__grams"))  # of one value
     placed = counted.withColumn("__places", _least_places(F.col("__grams.df"), "__wanted"))
-    return placed.select(scope, text, F.explode(F.filter(F.transform("__places", lambda p: F.get("__grams", p)), lambda g: g["df"] > 0)["k"]).alias("k")).distinct()
+    return placed.select(scope, text, F.explode(F.filter(F.transform("__places", lambda p: F.get("__grams", p)), lambda g: g["df"] > 0)["key"]).alias("key")).distinct()
+
+
+def _with_keys(units: DataFrame, unit: str, k: int, scope: str, keyed: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(scope, unit, key) of the grams of ``units`` whose key ``keyed`` has.
+
+    At most ``most_broadcast`` keys of 8 bytes are broadcast, so that only grams that matter leave the scan; more of them are joined by shuffle.
+    """
+    keys = keyed.select("key").distinct()
+    grams = units.select(scope, unit, F.explode(_grams(F.col(unit), k)).alias("k")).select(scope, unit, F.xxhash64(scope, "k").alias("key"))
+    return grams.join(F.broadcast(keys) if keys.count() <= most_broadcast else keys, "key", "left_semi")
+
+
+def _meeting(units: DataFrame, unit: str, k: int, scope: str, keyed: DataFrame, text: str) -> DataFrame:
+    """(scope, text, unit) of the pairs that share a key."""
+    return _with_keys(units, unit, k, scope, keyed).join(keyed.select(F.col(scope).alias("__scope"), text, "key"), "key").filter(F.col(scope) == F.col("__scope")).select(scope, text, unit)
 
 
 def _grams(norm: Column, k: int) -> Column:
@@ -99,12 +116,12 @@ def candidates(values: DataFrame, found: DataFrame, scope: str = "company_id") -
     Texts are made distinct before they are cut up; keys that no value has are dropped by the join's bloom filter or broadcast.
     """
     v, u = values.select(scope, "norm").distinct(), found.select(scope, "unit_norm").distinct()
-    long, short = v.filter(F.length("norm") >= 3), v.filter(F.length("norm") == 2)
-    cut = checkpoints.cut(u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), 3)).alias("k")))
-    met = rarest_keys(long, "norm", F.floor(18 * F.length("norm") / 100) + 1, cut, scope).join(cut, [scope, "k"]).select(scope, "norm", "unit_norm")
-    pairs = short.join(u.select(scope, "unit_norm", F.explode(_grams(F.col("unit_norm"), 2)).alias("norm")), [scope, "norm"]).select(scope, "norm", "unit_norm")
+    u = checkpoints.cut(u)
+    long, short = v.filter(F.length("norm") >= 3), v.filter(F.length("norm") == 2).withColumn("key", F.xxhash64(scope, "norm"))
+    keyed = checkpoints.cut(rarest_keys(long, "norm", F.floor(18 * F.length("norm") / 100) + 1, u, "unit_norm", scope))
+    pairs = _meeting(u, "unit_norm", 3, scope, keyed, "norm").unionByName(_meeting(u, "unit_norm", 2, scope, short, "norm"))
     # most pairs share a trigram by chance: the score is checked before pairs are made distinct
-    return met.unionByName(pairs).withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null").distinct()
+    return pairs.withColumn("score", score(F.col("norm"), F.col("unit_norm"))).filter("score is not null").distinct()
 
 
 def contained(lines: DataFrame, values: DataFrame, scope: str, line: str, value: str) -> DataFrame:
@@ -113,11 +130,12 @@ def contained(lines: DataFrame, values: DataFrame, scope: str, line: str, value:
     Lines are made distinct before they are cut up; a value is looked up by the rarest of its trigrams (shorter ones by themselves).
     """
     v, u = values.select(scope, value).distinct(), lines.select(scope, line).distinct()
-    cut = checkpoints.cut(u.select(scope, line, F.explode(_grams(F.col(line), 3)).alias("k")))
-    met = rarest_keys(v.filter(F.length(value) >= 3), value, F.lit(1), cut, scope).join(cut, [scope, "k"]).filter(F.contains(line, value)).select(scope, line, value)
+    u = checkpoints.cut(u)
+    keyed = checkpoints.cut(rarest_keys(v.filter(F.length(value) >= 3), value, F.lit(1), u, line, scope))
+    met = _meeting(u, line, 3, scope, keyed, value)
     for k in (2, 1):
-        met = met.unionByName(v.filter(F.length(value) == k).join(u.select(scope, line, F.explode(_grams(F.col(line), k)).alias(value)), [scope, value]).select(scope, line, value))
-    return lines.join(met, [scope, line])
+        met = met.unionByName(_meeting(u, line, k, scope, v.filter(F.length(value) == k).withColumn("key", F.xxhash64(scope, value)), value))
+    return lines.join(met.filter(F.contains(line, value)).distinct(), [scope, line])
 
 
 def best_matches(pages: DataFrame, records: DataFrame, types: DataFrame) -> DataFrame:
@@ -128,9 +146,13 @@ def best_matches(pages: DataFrame, records: DataFrame, types: DataFrame) -> Data
     """
     values = matchable_values(records, types)
     found = checkpoints.cut(units(pages, "company_id", "page_id", "ocr_result_id"))
-    scored = candidates(values, found)
-    canonical = values.join(scored, ["company_id", "norm"]).join(found, ["company_id", "unit_norm"]).withColumn("pass", F.lit(0)).withColumn("alias_ord", F.lit(0))
-    learned = alias_values(records, values).join(found, (F.col("alias_norm") == F.col("unit_norm")) & (values["company_id"] == found["company_id"])).drop(found["company_id"]).withColumn("score", F.lit(1.0)).withColumn("pass", F.lit(1))
+    scored = checkpoints.cut(candidates(values, found))
+    spelled = checkpoints.cut(alias_values(records, values))
+    # only units that some value or spelling meets are moved
+    keys = scored.select(F.xxhash64("company_id", "unit_norm").alias("key")).unionByName(spelled.select(F.xxhash64("company_id", "alias_norm").alias("key"))).distinct()
+    met = checkpoints.cut(found.withColumn("key", F.xxhash64("company_id", "unit_norm")).join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "key", "left_semi").drop("key"))
+    canonical = values.join(scored, ["company_id", "norm"]).join(met, ["company_id", "unit_norm"]).withColumn("pass", F.lit(0)).withColumn("alias_ord", F.lit(0))
+    learned = spelled.join(met.withColumnRenamed("company_id", "__company"), (F.col("alias_norm") == F.col("unit_norm")) & (F.col("company_id") == F.col("__company"))).drop("__company").withColumn("score", F.lit(1.0)).withColumn("pass", F.lit(1))
     columns = ["company_id", "page_id", "ocr_result_id", "master_record_id", "master_type_id", "field_key", "value", "norm", "unit", "unit_norm", "unit_ord", "score", "pass", "alias_ord"]
     every = canonical.select(*columns).unionByName(learned.select(*columns))
     rank = F.struct(F.col("score"), -F.col("pass"), -F.col("alias_ord"), -F.col("unit_ord"))

@@ -365,9 +365,8 @@ def test_prefix_that_all_share_is_no_key(spark):
     own = [chr(0x4E00 + 7 * i) + chr(0x5000 + 5 * i) + chr(0x5800 + 3 * i) + chr(0x6000 + 11 * i) + chr(0x6800 + 13 * i) + chr(0x7000 + 17 * i) for i in range(60)]
     values = spark.createDataFrame([("c", f"株式会社{x}") for x in own], "company_id string, norm string")
     found = values.withColumnRenamed("norm", "unit_norm")
-    cut = found.select("company_id", "unit_norm", F.explode(matching._grams(F.col("unit_norm"), 3)).alias("k"))
-    keyed = matching.rarest_keys(values, "norm", F.floor(18 * F.length("norm") / 100) + 1, cut, "company_id")
-    met = keyed.join(cut, ["company_id", "k"])
+    keyed = matching.rarest_keys(values, "norm", F.floor(18 * F.length("norm") / 100) + 1, found, "unit_norm", "company_id")
+    met = matching._meeting(found, "unit_norm", 3, "company_id", keyed, "norm")
     assert met.count() == 2 * 60 and matching.candidates(values, found).filter("norm = unit_norm").count() == 60
 
 
