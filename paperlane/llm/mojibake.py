@@ -13,17 +13,20 @@ plausible, or if it has characters that only wrong decoding leaves behind (repla
 private use).
 
 Sizes: neighbours are counted over all rows in ``BUCKETS`` hash buckets, a table of fixed size however large the corpus
-is; that is all that is sent to the executors besides the learned transformations.  Twins are a sample: of each stripped text the ``twins``
-least and the ``twins`` most plausible different values.  They only teach the transformations and runs; every value is judged.
+is; that is all that is sent to the executors besides the learned transformations.  No twins are left out.  A stripped text
+with at most ``twins`` different values pairs them all; where it has more, a run meets the runs at its place that are written with the
+bytes that it was read from (of lost places, with a few of the bytes around them), and only values that differ in such runs are paired: the same
+twins without all pairs.  Twins only teach the transformations and runs; every value is judged.
 
 Defined results: NULL, empty and ASCII values are never garbled; lost bytes leave ``restored`` NULL unless at most
-half of the value's characters are lost and twins show all of its runs; repeated values are judged alike.
+half of the value's characters are lost and twins that aren't garbled show all of its runs; repeated values are judged alike.
 """
 
 from __future__ import annotations
 
 import codecs
 import functools
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ from encodings.aliases import aliases
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlane.sources import checkpoints
@@ -237,8 +240,95 @@ def neighbour_counts(values: DataFrame) -> np.ndarray:
     return counts
 
 
-def twin_runs(distinct: DataFrame, plausible: Judge, twins: int) -> DataFrame:
-    """(garbled, run, clean_run, ways) of the runs of twins that some transformation explains."""
+def marks(run: str) -> set[bytes]:
+    """What a clean run of :func:`signs` has in common with ``run`` as the garbled one, whichever transformation explains the two.
+
+    That is all its bytes; of bytes with lost places those that it begins with, else ends with, else two of its longest piece.
+    """
+    out = set()
+    for name, pieces in _read(run):
+        if len(pieces) == 1:
+            out.add(b"=" + pieces[0])
+            try:
+                again = _bytes(pieces[0].decode("utf-8"), name)
+            except UnicodeDecodeError:
+                continue
+            if again:
+                out.add(b"=" + again)
+        elif pieces[0]:
+            out.add(b"^" + pieces[0][:3])
+        else:
+            out.add(b"$" + pieces[-1][-3:] if pieces[-1] else b"~" + max(pieces, key=len)[:2])
+    return out
+
+
+def signs(run: str, lost: bool) -> set[bytes]:
+    """The :func:`marks` that runs garbled from ``run`` may have, with ``lost`` those of runs with lost places, too."""
+    out = {b"=" + whole for whole in _written(run)}
+    if lost:
+        for whole in _written(run):
+            out.update(b"^" + whole[:n] for n in (1, 2, 3))
+            out.update(b"$" + whole[-n:] for n in (1, 2, 3))
+            out.update(b"~" + whole[i : i + n] for i in range(len(whole)) for n in (1, 2))
+    return out
+
+
+def _digest(*parts: object) -> bytes:
+    return hashlib.blake2b(repr(parts).encode(), digest_size=16).digest()
+
+
+def _places(stripped: str, value: str) -> Iterator[tuple[bytes, str]]:
+    """(place, run) of the runs that :func:`aligned` may pair with another value's of the same stripped text; of a pair both are at one place."""
+    if stripped.startswith("w"):
+        words = [(i, w) for i, w in enumerate(value.split(" ")) if not w.isascii()]
+        yield from ((_digest("w", stripped, i), w) for i, w in words)
+        if all(_RUN.fullmatch(w) for _, w in words):  # then its runs are its words
+            return
+    yield from ((_digest("c", stripped, _RUN.sub("", value), i), x) for i, x in enumerate(re.split(r"[\x00-\x7F]", value)) if x)
+
+
+def _by_marks(members: DataFrame) -> DataFrame:
+    """(garbled, clean) of the members (stripped, value) that differ in a run that some transformation explains, without pairing all."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(at, run, v) for s, v in zip(batch["stripped"], batch["value"], strict=True) for at, run in _places(s, v)]
+            yield pd.DataFrame(rows, columns=["place", "run", "value"])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "place", "run", "garbled"]
+        for batch in batches:
+            rows = []
+            for at, run, lost in zip(batch["place"], batch["run"], batch["lost"], strict=True):
+                at = bytes(at)
+                rows.extend((hashlib.blake2b(at + m, digest_size=16).digest(), at, run, True) for m in marks(run))
+                if LOST not in run:
+                    rows.extend((hashlib.blake2b(at + m, digest_size=16).digest(), at, run, False) for m in signs(run, bool(lost)))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[bool(explained(a, b)) for a, b in zip(batch["run"], batch["clean_run"], strict=True)]]
+
+    placed = checkpoints.cut(members.mapInPandas(place, "place binary, run string, value string"))
+    runs = placed.select("place", "run").distinct()
+    with_lost = runs.filter(F.contains("run", F.lit(LOST))).select("place").distinct().withColumn("lost", F.lit(True))
+    marked = checkpoints.cut(runs.join(with_lost, "place", "left").withColumn("lost", F.coalesce("lost", F.lit(False))).mapInPandas(mark, "key binary, place binary, run string, garbled boolean"))
+    clean = marked.filter(~F.col("garbled")).select("key", F.col("run").alias("clean_run"))
+    met = marked.filter("garbled").select("key", "place", "run").join(clean, "key").filter(F.col("run") != F.col("clean_run"))
+    met = met.select("place", "run", "clean_run").distinct().mapInPandas(confirm, "place binary, run string, clean_run string")
+    known = placed.filter(~F.contains("value", F.lit(LOST))).select("place", F.col("run").alias("clean_run"), F.col("value").alias("clean"))
+    return met.join(placed.withColumnRenamed("value", "garbled"), ["place", "run"]).join(known, ["place", "clean_run"]).select("garbled", "clean")
+
+
+def twin_runs(distinct: DataFrame, twins: int) -> DataFrame:
+    """(garbled, clean, run, clean_run, ways) of the runs of all twins that some transformation explains.
+
+    The values of a stripped text that has at most ``twins`` of them are paired with each other, those of any other by the bytes of their runs.
+    """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -247,8 +337,8 @@ def twin_runs(distinct: DataFrame, plausible: Judge, twins: int) -> DataFrame:
                 words = value.split(" ")
                 other = " ".join(w for w in words if not w.isascii())  # what the value's own numbers and codes don't tell apart
                 keys = {f"c{_RUN.sub('', other)}": other, "w" + " ".join(w if w.isascii() else LOST for w in words): value}
-                rows.extend((k, v, plausible.score(v)) for k, v in keys.items() if re.search("[0-9A-Za-z]", k[1:]))
-            yield pd.DataFrame(rows, columns=["stripped", "value", "score"])
+                rows.extend((k, v) for k, v in keys.items() if re.search("[0-9A-Za-z]", k[1:]))
+            yield pd.DataFrame(rows, columns=["stripped", "value"])
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,14 +347,18 @@ def twin_runs(distinct: DataFrame, plausible: Judge, twins: int) -> DataFrame:
                 runs = aligned(g, c) or []
                 ways = [explained(a, b) for a, b in runs]
                 if ways and (common := set.intersection(*ways)):
-                    rows.extend((g, a, b, sorted(common)) for a, b in runs)
-            yield pd.DataFrame(rows, columns=["garbled", "run", "clean_run", "ways"])
-
-    keyed = checkpoints.cut(distinct.mapInPandas(keys, "stripped string, value string, score double").distinct())
-    ends = [keyed.withColumn("__at", F.row_number().over(Window.partitionBy("stripped").orderBy(order, "value"))).filter(F.col("__at") <= twins).select("stripped", "value") for order in (F.asc("score"), F.desc("score"))]
-    pairs = ends[0].withColumnRenamed("value", "garbled").join(ends[1].withColumnRenamed("value", "clean"), "stripped").filter((F.col("garbled") != F.col("clean")) & ~F.contains("clean", F.lit(LOST)))
+                    rows.extend((g, c, a, b, sorted(common)) for a, b in runs)
+            yield pd.DataFrame(rows, columns=["garbled", "clean", "run", "clean_run", "ways"])
+
+    keyed = checkpoints.cut(distinct.mapInPandas(keys, "stripped string, value string").distinct())
+    sizes = keyed.groupBy("stripped").agg(F.count("*").alias("__n"), F.min(F.contains("value", F.lit(LOST))).alias("__all_lost")).filter((F.col("__n") > 1) & ~F.col("__all_lost"))
+    members = checkpoints.cut(keyed.join(sizes.select("stripped", "__n"), "stripped"))
+    few, many = (members.filter(f).select("stripped", "value") for f in (F.col("__n") <= twins, F.col("__n") > twins))
+    pairs = few.withColumnRenamed("value", "garbled").join(few.withColumnRenamed("value", "clean"), "stripped").filter((F.col("garbled") != F.col("clean")) & ~F.contains("clean", F.lit(LOST))).select("garbled", "clean")
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_by_marks(many))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("garbled", "clean").distinct().repartition(parts, "garbled").mapInPandas(align, "garbled string, run string, clean_run string, ways array<string>")
+    return pairs.distinct().repartition(parts, "garbled").mapInPandas(align, "garbled string, clean string, run string, clean_run string, ways array<string>")
 
 
 def covering(counted: list[tuple[frozenset[str], int]], support: int) -> list[str]:
@@ -291,20 +385,29 @@ def covering(counted: list[tuple[frozenset[str], int]], support: int) -> list[st
 def learn(values: DataFrame, distinct: DataFrame, support: int = 4, twins: int = 12) -> tuple[Judge, DataFrame]:
     """(judge, (run, clean_run)): the transformations that twins show, and the runs that they show to mean one other run."""
     counts = neighbour_counts(values)
-    found = checkpoints.cut(twin_runs(distinct, Judge(counts, []), twins))
+    found = checkpoints.cut(twin_runs(distinct, twins))
     # letters that differ may be two words (Möller, Müller), so one for one counts once; more characters than letters are hardly chance
     shown = F.when(F.length("run") > F.length("clean_run"), F.length("run") * F.count("*")).otherwise(F.length("run"))
     by_ways = found.groupBy("ways", "run", "clean_run").agg(shown.alias("n")).groupBy("ways").agg(F.sum("n").alias("n")).collect()  # sets of transformations, not values
     learned = covering([(frozenset(r["ways"]), r["n"]) for r in by_ways], support)
+    judge = Judge(counts, learned)
+
+    def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[not judge.judge(c)[0] for c in batch["clean"]]]
+
     known = found.filter(F.arrays_overlap("ways", F.array(*map(F.lit, learned))) if learned else F.lit(False))
+    # one reading of a text may look like another one's bytes, and what is garbled itself shows no clean run
+    known = known.join(known.select("clean").distinct().mapInPandas(sound, "clean string"), "clean")
     runs = known.groupBy("run").agg(F.min("clean_run").alias("clean_run"), F.max("clean_run").alias("__other"), F.count_distinct("garbled").alias("n"))
-    return Judge(counts, learned), runs.filter((F.col("clean_run") == F.col("__other")) & (F.col("n") > 1)).select("run", "clean_run")
+    return judge, runs.filter((F.col("clean_run") == F.col("__other")) & (F.col("n") > 1)).select("run", "clean_run")
 
 
 def garbled_values(values: DataFrame, carry: list[str], value: str = "value", support: int = 4, twins: int = 12) -> DataFrame:
     """Columns ``carry``, restored and transformation of each garbled value.
 
-    ``support`` is the number of aligned characters that a transformation needs, ``twins`` bounds those that are looked at (see above).
+    ``support`` is the number of aligned characters that a transformation needs.  Stripped texts with more than ``twins`` values find theirs
+    by bytes and not by pairing all, with the same result (see above).
     """
     picked = values.filter(F.col(value).isNotNull() & F.col(value).rlike(NOT_ASCII)).select(*carry, F.col(value).alias("value"))
     # values are short and costly to judge: many small parts, which no later plan puts together

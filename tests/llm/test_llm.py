@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import unicodedata
 
 import pytest
@@ -372,6 +373,52 @@ def test_twins_teach_encodings_no_list_names(spark):
     assert mojibake.covering(sets, 2) == ["utf_8>cp1252"]
 
 
+def test_no_twins_are_left_out(spark):
+    """Twins are found between any number of values with one stripped text, also if others of it are more and less plausible."""
+    words = ["Берёза", "Груша", "Слива", "Вишня", "Яблоня", "Рябина", "Калина", "Осина"]
+    bad = {f"b{i}": (mojibake.garble(f"{t} 7", "koi8_r", "mac_cyrillic"), f"{t} 7") for i, t in enumerate(words)}
+    common = [f"{a}{b}部 7" for a in "東西南北" for b in "営業経理"]
+    rare = ["".join(chr(0x3400 + 97 * i + 31 * j) for j in range(4)) + " 7" for i in range(20)]
+    rows = [(f"c{i}", f"{t} 7") for i, t in enumerate(words * 4)] + [(f"m{i}", t) for i, t in enumerate(common * 20)] + [(f"r{i}", t) for i, t in enumerate(rare)] + [(k, g) for k, (g, _) in bad.items()]
+    frame = spark.createDataFrame(rows, "k string, value string")
+    got = {x["k"]: x["restored"] for x in mojibake.garbled_values(frame, ["k"]).collect()}
+    assert got == {k: t for k, (_, t) in bad.items()}
+
+
+def test_twins_by_bytes_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    words = ["Größe", "Möwe", "éta", "株式会社", "風車", "Берёза", "Größé", "検査係", "ë", "灯"]
+    ways = [("utf-8", "cp1252"), ("utf-8", "cp932"), ("utf-8", "mac_roman"), ("cp932", "latin-1"), ("cp932", "utf-8"), ("utf-8", "utf-8"), ("utf-8*2", "cp1252"), ("koi8_r", "mac_cyrillic")]
+    values = {" ".join((*w, "4")) for a in words for b in words for w in [(a,), (a, b)]}
+    for text in sorted(values):
+        for _ in range(3):
+            true, wrong = r.choice(ways)
+            parts = [mojibake.garble(w, true, wrong, "keep") if r.random() < 0.7 else w for w in text.split(" ")]  # some in part
+            if None not in parts:
+                form = " ".join(parts)
+                values.add("".join(mojibake.LOST if not c.isascii() and r.random() < 0.1 else c for c in form))
+    groups: dict[str, set[str]] = {}
+    for v in values:
+        other = " ".join(w for w in v.split(" ") if not w.isascii())
+        groups.setdefault("w" + " ".join(w if w.isascii() else mojibake.LOST for w in v.split(" ")), set()).add(v)
+        if re.search("[0-9A-Za-z]", letters := re.sub(r"[^\x00-\x7F]", "", other)):
+            groups.setdefault(f"c{letters}", set()).add(other)
+    want = set()
+    for members in groups.values():
+        for g in members:
+            for c in members:
+                if g != c and mojibake.LOST not in c:
+                    runs = mojibake.aligned(g, c) or []
+                    explained = [mojibake.explained(a, b) for a, b in runs]
+                    if explained and (common := set.intersection(*explained)):
+                        want.update((g, a, b, tuple(sorted(common))) for a, b in runs)
+    frame = spark.createDataFrame([(v,) for v in sorted(values)], "value string")
+    for twins in (12, 1, 10_000):
+        assert {(x["garbled"], x["run"], x["clean_run"], tuple(x["ways"])) for x in mojibake.twin_runs(frame, twins).collect()} == want
+    assert any(mojibake.LOST in g for g, *_ in want) and len({g for g, *_ in want}) > 100
+    assert mojibake.twin_runs(frame.limit(0), 12).count() == 0
+
+
 # personal information
 
 
