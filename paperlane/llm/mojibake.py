@@ -288,7 +288,7 @@ def _places(stripped: str, value: str) -> Iterator[tuple[bytes, str]]:
 
 
 def _by_marks(members: DataFrame) -> DataFrame:
-    """(garbled, clean) of the members (stripped, value) that differ in a run that some transformation explains, without pairing all."""
+    """(garbled, clean) of the members (stripped, value) for each run in which they differ and that some transformation explains, without pairing all."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -313,13 +313,15 @@ def _by_marks(members: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[[bool(explained(a, b)) for a, b in zip(batch["run"], batch["clean_run"], strict=True)]]
 
-    placed = checkpoints.cut(members.mapInPandas(place, "place binary, run string, value string"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, costly to compare: no part is put together with others
+    placed = checkpoints.cut(members.repartition(parts).mapInPandas(place, "place binary, run string, value string"))
     runs = placed.select("place", "run").distinct()
     with_lost = runs.filter(F.contains("run", F.lit(LOST))).select("place").distinct().withColumn("lost", F.lit(True))
-    marked = checkpoints.cut(runs.join(with_lost, "place", "left").withColumn("lost", F.coalesce("lost", F.lit(False))).mapInPandas(mark, "key binary, place binary, run string, garbled boolean"))
+    marked = checkpoints.cut(runs.join(with_lost, "place", "left").withColumn("lost", F.coalesce("lost", F.lit(False))).repartition(parts).mapInPandas(mark, "key binary, place binary, run string, garbled boolean"))
     clean = marked.filter(~F.col("garbled")).select("key", F.col("run").alias("clean_run"))
     met = marked.filter("garbled").select("key", "place", "run").join(clean, "key").filter(F.col("run") != F.col("clean_run"))
-    met = met.select("place", "run", "clean_run").distinct().mapInPandas(confirm, "place binary, run string, clean_run string")
+    # a clean run is written once for all that it meets
+    met = met.select("place", "run", "clean_run").distinct().repartition(parts, "clean_run").sortWithinPartitions("clean_run").mapInPandas(confirm, "place binary, run string, clean_run string")
     known = placed.filter(~F.contains("value", F.lit(LOST))).select("place", F.col("run").alias("clean_run"), F.col("value").alias("clean"))
     return met.join(placed.withColumnRenamed("value", "garbled"), ["place", "run"]).join(known, ["place", "clean_run"]).select("garbled", "clean")
 
@@ -343,8 +345,10 @@ def twin_runs(distinct: DataFrame, twins: int) -> DataFrame:
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for g, c in zip(batch["garbled"], batch["clean"], strict=True):
+            for g, c, most in zip(batch["garbled"], batch["clean"], batch["most"], strict=True):
                 runs = aligned(g, c) or []
+                if len(runs) > most:
+                    continue
                 ways = [explained(a, b) for a, b in runs]
                 if ways and (common := set.intersection(*ways)):
                     rows.extend((g, c, a, b, sorted(common)) for a, b in runs)
@@ -354,11 +358,12 @@ def twin_runs(distinct: DataFrame, twins: int) -> DataFrame:
     sizes = keyed.groupBy("stripped").agg(F.count("*").alias("__n"), F.min(F.contains("value", F.lit(LOST))).alias("__all_lost")).filter((F.col("__n") > 1) & ~F.col("__all_lost"))
     members = checkpoints.cut(keyed.join(sizes.select("stripped", "__n"), "stripped"))
     few, many = (members.filter(f).select("stripped", "value") for f in (F.col("__n") <= twins, F.col("__n") > twins))
-    pairs = few.withColumnRenamed("value", "garbled").join(few.withColumnRenamed("value", "clean"), "stripped").filter((F.col("garbled") != F.col("clean")) & ~F.contains("clean", F.lit(LOST))).select("garbled", "clean")
+    pairs = few.withColumnRenamed("value", "garbled").join(few.withColumnRenamed("value", "clean"), "stripped").filter((F.col("garbled") != F.col("clean")) & ~F.contains("clean", F.lit(LOST))).select("garbled", "clean", F.lit(1 << 31).alias("most"))
     if not many.isEmpty():
-        pairs = pairs.unionByName(_by_marks(many))
+        pairs = pairs.unionByName(_by_marks(many).withColumn("most", F.lit(1).cast("long")))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.distinct().repartition(parts, "garbled").mapInPandas(align, "garbled string, clean string, run string, clean_run string, ways array<string>")
+    pairs = pairs.groupBy("garbled", "clean").agg(F.sum("most").alias("most"))  # how many runs may be explained, at most
+    return pairs.repartition(parts, "garbled").mapInPandas(align, "garbled string, clean string, run string, clean_run string, ways array<string>")
 
 
 def covering(counted: list[tuple[frozenset[str], int]], support: int) -> list[str]:
@@ -398,7 +403,7 @@ def learn(values: DataFrame, distinct: DataFrame, support: int = 4, twins: int =
 
     known = found.filter(F.arrays_overlap("ways", F.array(*map(F.lit, learned))) if learned else F.lit(False))
     # one reading of a text may look like another one's bytes, and what is garbled itself shows no clean run
-    known = known.join(known.select("clean").distinct().mapInPandas(sound, "clean string"), "clean")
+    known = known.join(known.select("clean").distinct().repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(sound, "clean string"), "clean")
     runs = known.groupBy("run").agg(F.min("clean_run").alias("clean_run"), F.max("clean_run").alias("__other"), F.count_distinct("garbled").alias("n"))
     return judge, runs.filter((F.col("clean_run") == F.col("__other")) & (F.col("n") > 1)).select("run", "clean_run")
 
